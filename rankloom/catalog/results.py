@@ -1 +1,195 @@
+"""Search-result queries: S6, S14, J4, J5, J13, K4, K5, A18, A22, W6, Q13–Q15."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rankloom.catalog.registry import Tables, half_up, query
+from rankloom.catalog.scalars import CACHE_KEY_SQL, cache_key_of_search
+from rankloom.functions.numbers import rounded
+from rankloom.operators.upsert import replace_children
+from rankloom.plans import serp
+from rankloom.plans.keywords import saturation_by_search
+from rankloom.sources import vendor
+
+RESULTS_CTE = """
+    results AS (
+        SELECT serp_search_id, CAST(row_number() OVER (PARTITION BY serp_search_id ORDER BY rank_absolute, url, domain, item_id) AS INTEGER) AS position,
+               result_type, domain, url FROM {serp_items} WHERE result_type = 'organic'
+        UNION ALL
+        SELECT serp_search_id, rank_absolute, result_type, domain, url FROM {serp_items} WHERE result_type = 'paid')"""
+FOLD = "regexp_replace(lower({0}), '^www[.]', '')"
+
+
+def ranks_cte(name: str, targets: str, target_id: str, searches: str = "{searches}") -> str:
+    """Rank of each target domain in each search, written as the plain suffix test."""
+    host, target = FOLD.format("r.domain"), FOLD.format("t.domain")
+    return f"""
+    {name} AS (
+        SELECT serp_search_id, project_id, {target_id}, position AS rank, url FROM (
+            SELECT r.serp_search_id, s.project_id, t.{target_id}, r.position, r.url,
+                   row_number() OVER (PARTITION BY r.serp_search_id, t.{target_id} ORDER BY r.position, r.url) AS rn
+            FROM results r JOIN {searches} s ON s.serp_search_id = r.serp_search_id
+            JOIN {targets} t ON t.project_id = s.project_id
+            WHERE r.result_type = 'organic' AND ({host} = {target} OR {host} LIKE '%.' || {target} OR {target} LIKE '%.' || {host}))
+        WHERE rn = 1)"""
+
+
+def results_of(t: Tables):
+    return vendor.renumber_flat_items(t.serp_items)
+
+
+@query("s6_w6_renumbered_results", f"""
+    WITH {RESULTS_CTE}
+    SELECT serp_search_id, result_type, position, domain, url, count(*) AS copies
+    FROM results GROUP BY serp_search_id, result_type, position, domain, url""")
+def renumbered(t: Tables):
+    return results_of(t).groupBy("serp_search_id", "result_type", "position", "domain", "url").agg(
+        F.count("*").alias("copies"))
+
+
+def _payloads(t: Tables):
+    """Vendor-shaped payload per page: a short list of items built from its columns."""
+    n = F.col("o_orderkey")
+
+    def item(kind, rank, url, inner=None):
+        none = F.lit(None).cast("string")
+        nested = F.when(F.lit(inner is not None), F.array(F.struct(
+            F.lit(inner).cast("string").alias("title"), none.alias("url"), none.alias("domain"), none.alias("description"))))
+        return F.struct(F.lit(kind).alias("type"), rank.cast("int").alias("rank_absolute"),
+                        F.lit(9).alias("rank_group"), F.lit(url).cast("string").alias("url"), none.alias("title"),
+                        none.alias("description"), nested.alias("items"))
+
+    items = F.array(item("Organic", 1 + n % 4, "https://B.example.com/b"), item("paid", n % 3, "https://ads.example.com/"),
+                    item("organic", F.lit(2), "https://a.example.com/a"), item("featured_snippet", F.lit(1), None, "FS"),
+                    item("carousel", F.lit(1), None), item("related_searches", F.lit(None), None))
+    return t.orders.select(n.alias("serp_search_id"), items.alias("items"))
+
+
+@query("s6_vendor_payload_results", """
+    WITH i AS (
+        SELECT o_orderkey AS serp_search_id, 'organic' AS result_type, 1 + o_orderkey % 4 AS p, 0 AS n, 'b.example.com' AS domain FROM orders
+        UNION ALL SELECT o_orderkey, 'paid', CASE WHEN o_orderkey % 3 = 0 THEN 9 ELSE o_orderkey % 3 END, 1, 'ads.example.com' FROM orders
+        UNION ALL SELECT o_orderkey, 'organic', 2, 2, 'a.example.com' FROM orders)
+    SELECT serp_search_id, result_type, domain,
+           CAST(CASE WHEN result_type = 'paid' THEN p ELSE row_number() OVER (PARTITION BY serp_search_id, result_type ORDER BY p, n) END AS INTEGER) AS position
+    FROM i""")
+def payload_results(t: Tables):
+    return vendor.serp_results(_payloads(t)).select("serp_search_id", "result_type", "domain", "position")
+
+
+@query("s6_vendor_payload_features", """
+    SELECT o_orderkey AS serp_search_id, 'featured_snippet' AS feature_type, 1 AS position, 'FS' AS title FROM orders
+    UNION ALL SELECT o_orderkey, 'related_searches', 9, NULL FROM orders""")
+def payload_features(t: Tables):
+    return vendor.serp_features(_payloads(t)).select(
+        "serp_search_id", "feature_type", "position", F.col("data.title").alias("title"))
+
+
+@query("j4_find_rank", f"""
+    WITH {RESULTS_CTE}, {ranks_cte('ranks', '{competitors}', 'competitor_id')}
+    SELECT serp_search_id, project_id, competitor_id, rank, url FROM ranks""")
+def find_rank(t: Tables):
+    return serp.find_ranks(results_of(t), t.searches, t.competitors, "competitor_id")
+
+
+LATEST_CTE = """
+    latest AS (SELECT * EXCLUDE (rn) FROM (
+        SELECT serp_search_id, project_id, trim(regexp_replace(trim(lower(keyword)), '\\s+', ' ', 'g'), ' .,;:!?') AS normalized_keyword,
+               country, device, searched_at,
+               row_number() OVER (PARTITION BY project_id, trim(regexp_replace(trim(lower(keyword)), '\\s+', ' ', 'g'), ' .,;:!?'), country, device
+                                  ORDER BY searched_at DESC, serp_search_id) AS rn
+        FROM {searches}) WHERE rn = 1)"""
+
+
+@query("j5_latest_search", f"WITH {LATEST_CTE} SELECT serp_search_id, project_id, normalized_keyword, country, device FROM latest")
+def latest_search(t: Tables):
+    return serp.latest_searches(t.searches).select(
+        "serp_search_id", "project_id", "normalized_keyword", "country", "device")
+
+
+@query("s14_rank_observations", f"""
+    WITH {RESULTS_CTE}, {ranks_cte('ranks', '(SELECT *, project_id AS own FROM {projects})', 'own')},
+    kinds AS (SELECT serp_search_id, string_agg(DISTINCT feature_type, ',' ORDER BY feature_type) AS features FROM {{serp_features}} GROUP BY serp_search_id)
+    SELECT s.serp_search_id, s.project_id, r.rank, r.url AS ranking_url, k.features
+    FROM {{searches}} s LEFT JOIN ranks r ON r.serp_search_id = s.serp_search_id
+    LEFT JOIN kinds k ON k.serp_search_id = s.serp_search_id""")
+def observed_ranks(t: Tables):
+    rows = serp.rank_observations(t.searches, results_of(t), t.serp_features, t.projects)
+    return rows.select("serp_search_id", "project_id", "rank", "ranking_url",
+                       F.array_join("serp_features", ",").alias("features"))
+
+
+@query("q13_competitor_overview", f"""
+    WITH {RESULTS_CTE}, {ranks_cte('ranks', '{competitors}', 'competitor_id')}
+    SELECT c.project_id, c.competitor_id, c.domain, coalesce(n, 0) AS serp_appearances, avg_position
+    FROM {{competitors}} c LEFT JOIN (
+        SELECT competitor_id, count(*) AS n, {half_up('avg(rank)', 1)} AS avg_position FROM ranks GROUP BY competitor_id) r
+        ON r.competitor_id = c.competitor_id""")
+def competitor_overview(t: Tables):
+    return serp.competitor_overview(results_of(t), t.searches, t.competitors)
+
+
+@query("a18_competitor_top_pages", f"""
+    WITH {RESULTS_CTE}, {ranks_cte('ranks', '{competitors}', 'competitor_id')},
+    p AS (SELECT project_id, competitor_id, url, count(*) AS keywords, min(rank) AS best_rank FROM ranks WHERE url <> '' GROUP BY project_id, competitor_id, url)
+    SELECT project_id, competitor_id, url, keywords, best_rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY competitor_id ORDER BY keywords DESC, best_rank, url) AS rn FROM p) WHERE rn <= 20""")
+def competitor_top_pages(t: Tables):
+    return serp.competitor_top_pages(results_of(t), t.searches, t.competitors)
+
+
+@query("a22_saturation", f"""
+    WITH {RESULTS_CTE}
+    SELECT serp_search_id, {half_up("avg(CASE WHEN len(string_split(domain, '.')) <= 2 AND length(domain) <= 20 THEN 1.0e0 ELSE 0.0e0 END)", 4)} AS saturation
+    FROM results WHERE result_type = 'organic' AND position <= 10 GROUP BY serp_search_id""")
+def saturation(t: Tables):
+    return saturation_by_search(results_of(t)).withColumn("saturation", rounded(F.col("saturation"), 4))
+
+
+@query("q14_serp_history", """
+    SELECT s.serp_search_id, s.project_id, s.keyword, coalesce(n, 0) AS results, coalesce(f, 0) AS features
+    FROM {searches} s
+    LEFT JOIN (SELECT serp_search_id, count(*) AS n FROM {serp_items} GROUP BY serp_search_id) r ON r.serp_search_id = s.serp_search_id
+    LEFT JOIN (SELECT serp_search_id, count(*) AS f FROM {serp_features} GROUP BY serp_search_id) x ON x.serp_search_id = s.serp_search_id""")
+def serp_history(t: Tables):
+    return serp.serp_history(t.searches, t.serp_items, t.serp_features).select(
+        "serp_search_id", "project_id", "keyword", "results", "features")
+
+
+@query("q15_serp_detail", f"""
+    WITH {RESULTS_CTE}
+    SELECT s.serp_search_id, project_id, keyword, position, result_type, domain, url
+    FROM {{searches}} s JOIN results r ON r.serp_search_id = s.serp_search_id""")
+def serp_detail(t: Tables):
+    return serp.serp_detail(t.searches, results_of(t))
+
+
+@query("k5_cache_lookup", f"""
+    WITH c AS (SELECT *, {CACHE_KEY_SQL} AS cache_key FROM {{searches}}),
+    newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY searched_at DESC, serp_search_id) AS rn FROM c) WHERE rn = 1)
+    SELECT c.serp_search_id AS request_id, coalesce(c.serp_search_id % 5 <> 0 AND n.searched_at >= TIMESTAMP '1998-08-01 00:00:00' - INTERVAL 7 DAY, FALSE) AS from_cache,
+           CASE WHEN c.serp_search_id % 5 <> 0 AND n.searched_at >= TIMESTAMP '1998-08-01 00:00:00' - INTERVAL 7 DAY THEN n.serp_search_id END AS reused_search_id
+    FROM c LEFT JOIN newest n ON n.cache_key = c.cache_key""")
+def cache_lookup(t: Tables):
+    keyed = t.searches.withColumn("cache_key", cache_key_of_search())
+    requests = keyed.select("cache_key", F.col("serp_search_id").alias("request_id"),
+                            (F.col("serp_search_id") % 5 == 0).alias("force_refresh"))
+    found = serp.cache_lookup(requests, keyed, F.lit("1998-08-01").cast("timestamp_ntz"))
+    return found.select("request_id", "from_cache", "reused_search_id")
+
+
+@query("k4_replace_snapshots", f"""
+    WITH {RESULTS_CTE}, c AS (SELECT *, {CACHE_KEY_SQL} AS cache_key FROM {{searches}}),
+    n AS (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY searched_at DESC, serp_search_id DESC) AS rn,
+                 min(serp_search_id) OVER (PARTITION BY cache_key) AS kept_id FROM c)
+    SELECT kept_id AS serp_search_id, position, result_type, domain, url
+    FROM n JOIN results r ON r.serp_search_id = n.serp_search_id WHERE rn = 1""")
+def replace_snapshots(t: Tables):
+    keyed = t.searches.withColumn("cache_key", cache_key_of_search())
+    kept = serp.replace_snapshots(keyed).select("snapshot_id", "serp_search_id")
+    columns = ["serp_search_id", "position", "result_type", "domain", "url"]
+    results = results_of(t).select(*columns)
+    fresh = (results.withColumnRenamed("serp_search_id", "snapshot_id").join(kept, "snapshot_id")
+             .select(*columns))
+    return replace_children(results, fresh, "serp_search_id", keyed.select("serp_search_id"))

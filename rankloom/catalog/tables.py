@@ -223,6 +223,17 @@ DERIVED = {
         SELECT l_orderkey AS report_id, l_linenumber AS export_no, l_partkey AS export_part,
                CASE WHEN l_returnflag = 'R' THEN 'PDF' ELSE 'CSV' END AS format, l_shipdate AS created_at
         FROM {lineitem}""",
+    "raw_urls": """
+        SELECT page_id,
+               CASE page_id % 8 WHEN 0 THEN url
+                    WHEN 1 THEN concat(' HTTPS://', upper(split_part(url, '/', 3)), '/Path/?utm_source=x&a=1&B=&c#frag ')
+                    WHEN 2 THEN concat('http://', split_part(url, '/', 3), ':80/x;p=1?gclid=1')
+                    WHEN 3 THEN concat('https://', split_part(url, '/', 3), ':443?q=a%20b+c&UTM_Medium=z&empty&=v')
+                    WHEN 4 THEN concat('HTTP://WWW.', split_part(url, '/', 3), ':8080')
+                    WHEN 5 THEN concat('https://', split_part(url, '/', 3), '/a;b/c;d=1?x=%7Etilde*&y=%zz&&')
+                    WHEN 6 THEN concat('ftp://user:pw@', split_part(url, '/', 3), '/')
+                    ELSE concat(url, '?fbclid=9&ref=2&r=%C3%A9') END AS raw
+        FROM {pages}""",
     "robots_files": """
         SELECT page_id AS site, concat('https://h', CAST(page_id AS STRING), '.example.com') AS origin,
                concat('# rules of host ', CAST(page_id AS STRING), chr(10),
@@ -258,7 +269,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def placeholders(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
+    names = dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", text))
+    return [n for n in names if n in GIVEN or n in DERIVED]
+
+
+def _unbraced(text: str) -> str:
+    for name in placeholders(text):
+        text = text.replace("{" + name + "}", name)
+    return text.strip()
 
 
 def check_sql(text: str) -> str:
@@ -274,10 +292,10 @@ def check_sql(text: str) -> str:
 
     for name in placeholders(text):
         need(name)
-    plain = re.sub(r"\{(\w+)\}", r"\1", text).strip()
+    plain = _unbraced(text)
     if not needed:
         return plain
-    clauses = ",\n".join(f"{n} AS ({re.sub(r'{(\w+)}', r'\1', sql).strip()})" for n, sql in needed.items())
+    clauses = ",\n".join(f"{n} AS ({_unbraced(sql)})" for n, sql in needed.items())
     own = re.match(r"WITH\s+(RECURSIVE\s+)?", plain)
     if own:
         return f"WITH {own.group(1) or ''}{clauses},\n{plain[own.end():]}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,43 +17,49 @@ TRACKING_PARAMS = [
 # Fixed value: accepted domain names.
 DOMAIN_PATTERN = r"(?i)^(?!-)[a-z0-9-]{1,63}(\.[a-z0-9-]{1,63})*\.[a-z]{2,}$"
 
-# RFC 3986, appendix B: scheme, authority, path, query, fragment.
-_PARTS = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+# RFC 3986, appendix B: scheme, authority, path, query; the fragment is left out.
+_PARTS = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+_GAP = "\x01"
 
-_SKIPPED_HREFS = r"^(#|mailto:|tel:|javascript:)"
 MAX_URL_LENGTH = 2000
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Compute a value once and use it in several places of an expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _tidy(url: Column) -> Column:
-    trimmed = F.regexp_replace(url, r"^[\x00-\x20 ]+|[\x00-\x20 ]+$", "")
+    trimmed = F.regexp_replace(url, r"^[\x00-\x20 ]+|[\x00-\x20 ]+$", "")
     return F.regexp_replace(trimmed, r"[\t\r\n]", "")
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(_tidy(url), _PARTS, group)
+def _parts(url: Column) -> Column:
+    """[scheme, authority, path, query] from a single pass over the URL."""
+    return F.split(F.regexp_replace(_tidy(url), _PARTS, f"$1{_GAP}$2{_GAP}$3{_GAP}$4"), _GAP)
 
 
 def scheme_of(url: Column) -> Column:
-    return F.lower(_part(url, 1))
+    return F.lower(F.regexp_extract(_tidy(url), r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1))
 
 
-def _host_port(url: Column) -> Column:
-    return F.regexp_replace(_part(url, 2), r"^.*@", "")
+def _authority(url: Column) -> Column:
+    return F.regexp_extract(_tidy(url), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)", 1)
 
 
-def _host_in(host_port: Column) -> Column:
-    bracketed = F.regexp_extract(host_port, r"^\[([^\]]*)\]", 1)
-    return F.lower(F.when(bracketed != "", bracketed)
-                   .otherwise(F.substring_index(host_port, ":", 1)))
+def _host_in(authority: Column) -> Column:
+    # Up to the port, or what brackets enclose; user information is skipped.
+    return F.lower(F.regexp_replace(
+        F.regexp_extract(authority, r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1), r"[\[\]]", ""))
 
 
 def host_of(url: Column) -> Column:
     """Lower-case host of a URL, empty when there is none."""
-    return F.coalesce(_host_in(_host_port(url)), F.lit(""))
+    return F.coalesce(_host_in(_authority(url)), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
-    return _part(url, 3)
+    return F.element_at(_parts(url), 3)
 
 
 def _quoted(piece: Column) -> Column:
@@ -62,16 +70,33 @@ def _quoted(piece: Column) -> Column:
 
 
 def _canonical_query(query: Column) -> Column:
-    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(
+        _quoted(F.substring_index(p, "=", 1)).alias("key"),
+        _quoted(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).alias("value")))
+    kept = F.filter(pairs, lambda p: ~F.lower(p["key"]).isin(TRACKING_PARAMS))
+    return F.array_join(F.transform(kept, lambda p: F.concat(p["key"], F.lit("="), p["value"])), "&")
+
+
+def _query_suffix(query: Column) -> Column:
+    # The pair-by-pair rewrite only runs for URLs that carry a query.
+    canonical = F.when(query == "", F.lit("")).otherwise(_canonical_query(query))
+    return let(canonical, lambda q: F.when(q == "", q).otherwise(F.concat(F.lit("?"), q)))
+
 
-    def key(p: Column) -> Column:
-        return _quoted(F.substring_index(p, "=", 1))
+def _port_suffix(scheme: Column, port_text: Column) -> Column:
+    """``:port``, empty for the default one, null for what is no port."""
+    port = port_text.try_cast("int")
+    default = ((scheme == "http") & (port == 80)) | ((scheme == "https") & (port == 443))
+    return (F.when((port_text == "") | default, F.lit(""))
+            .when(port.between(0, 65535), F.concat(F.lit(":"), port.cast("string"))))
 
-    def value(p: Column) -> Column:
-        return _quoted(F.regexp_extract(p, r"^[^=]*=(.*)$", 1))
 
-    kept = F.filter(pairs, lambda p: ~F.lower(key(p)).isin(TRACKING_PARAMS))
-    return F.array_join(F.transform(kept, lambda p: F.concat(key(p), F.lit("="), value(p))), "&")
+def _rebuilt(p: Column) -> Column:
+    scheme = F.when(p[0] == "", F.lit("http")).otherwise(F.lower(p[0]))
+    path = F.regexp_replace(p[2], r";[^/]*$", "")
+    return F.concat(scheme, F.lit("://"), _host_in(p[1]),
+                    _port_suffix(scheme, F.regexp_extract(p[1], r":([^:\]@]*)$", 1)),
+                    F.when(path == "", F.lit("/")).otherwise(path), _query_suffix(p[3]))
 
 
 def normalize_url(url: Column) -> Column:
@@ -81,22 +106,7 @@ def normalize_url(url: Column) -> Column:
     parameters dropped; other parameters keep their order and blanks.  A port that is not a
     number yields null.
     """
-    scheme = F.when(scheme_of(url) == "", F.lit("http")).otherwise(scheme_of(url))
-    host_port = _host_port(url)
-    port_text = F.regexp_extract(host_port, r":([^:\]]*)$", 1)
-    port = port_text.try_cast("int")
-    bad_port = (port_text != "") & (port.isNull() | (port < 0) | (port > 65535))
-    default_port = (((scheme == "http") & (port == 80)) | ((scheme == "https") & (port == 443)))
-    netloc = F.when((port_text == "") | default_port, _host_in(host_port)).otherwise(
-        F.concat(_host_in(host_port), F.lit(":"), port.cast("string")))
-    bare_path = F.regexp_replace(path_of(url), r"^((?:[^;]*/)?[^/;]*);[^/]*$", "$1")
-    path = F.when(bare_path == "", F.lit("/")).otherwise(bare_path)
-    raw_query = _part(url, 4)
-    # The pair-by-pair rewrite only runs for URLs that carry a query.
-    query = F.when(raw_query == "", F.lit("")).otherwise(_canonical_query(raw_query))
-    return F.when(url.isNull() | bad_port, F.lit(None).cast("string")).otherwise(
-        F.concat(scheme, F.lit("://"), netloc, path,
-                 F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))))
+    return F.when(url.isNotNull(), let(_parts(url), _rebuilt))
 
 
 def fold_www(host: Column) -> Column:
@@ -106,8 +116,8 @@ def fold_www(host: Column) -> Column:
 
 def same_site(left_host: Column, right_host: Column) -> Column:
     """Same host after folding ``www.``; subdomains are other sites."""
-    return F.coalesce((fold_www(left_host) == fold_www(right_host))
-                      & (fold_www(left_host) != ""), F.lit(False))
+    pair = F.struct(fold_www(left_host).alias("a"), fold_www(right_host).alias("b"))
+    return let(pair, lambda x: F.coalesce((x["a"] == x["b"]) & (x["a"] != ""), F.lit(False)))
 
 
 def is_http_url(url: Column) -> Column:
@@ -127,7 +137,7 @@ def is_valid_domain(domain: Column) -> Column:
 
 def is_skipped_href(href: Column) -> Column:
     """Anchors that are no page links: empty, fragment, mail, phone, script."""
-    return (F.trim(href) == "") | F.trim(href).rlike(_SKIPPED_HREFS)
+    return href.rlike(r"^\s*(?:$|#|mailto:|tel:|javascript:)")
 
 
 def _without_dot_segments(path: Column) -> Column:
@@ -135,30 +145,36 @@ def _without_dot_segments(path: Column) -> Column:
         F.split(path, "/"), F.array().cast("array<string>"),
         lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
         .when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
-    tail = F.when(path.rlike(r"(^|/)\.\.?$"), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(tail, "/")).otherwise(path)
+    tail = F.when(path.rlike(r"(^|/)\.\.?$"), F.array(F.lit(""))).otherwise(
+        F.array().cast("array<string>"))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(F.concat(folded, tail), "/")).otherwise(path)
 
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of a link found on a page (F19): ``//h/x``, ``/x``, ``?q``, ``x``, ``../x``."""
-    link = _tidy(href)
-    origin = F.concat(scheme_of(base), F.lit("://"), _part(base, 2))
-    base_path = F.when(path_of(base) == "", F.lit("/")).otherwise(path_of(base))
-    base_dir = F.regexp_extract(base_path, r"^(.*/)", 1)
-    link_path = F.regexp_extract(link, r"^[^?#]*", 0)
-    link_tail = F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
-    rooted = F.when(link_path.startswith("/"), link_path).otherwise(F.concat(base_dir, link_path))
-    return (F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), link)
-            .when(link.startswith("//"), F.concat(scheme_of(base), F.lit(":"), link))
-            .when(link.startswith("?"), F.concat(origin, base_path, link))
-            .otherwise(F.concat(origin, _without_dot_segments(rooted), link_tail)))
+    def joined(x: Column) -> Column:
+        b, link = x["b"], x["link"]
+        scheme = F.lower(b[0])
+        origin = F.concat(scheme, F.lit("://"), b[1])
+        base_path = F.when(b[2] == "", F.lit("/")).otherwise(b[2])
+        # A rooted link replaces the base path, any other starts in its folder.
+        rooted = F.when(link.startswith("/"), F.lit("")).otherwise(
+            F.regexp_extract(base_path, r"^(.*/)", 1))
+        path = F.concat(rooted, F.regexp_extract(link, r"^[^?#]*", 0))
+        tail = F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+        return (F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), link)
+                .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+                .when(link.startswith("?"), F.concat(origin, base_path, link))
+                .otherwise(F.concat(origin, let(path, _without_dot_segments), tail)))
+
+    return let(F.struct(_parts(base).alias("b"), _tidy(href).alias("link")), joined)
 
 
 def host_suffixes(host: Column) -> Column:
     """A folded host and each of its parent domains: a.b.c → [a.b.c, b.c, c]."""
-    labels = F.split(fold_www(host), r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)),
-                       lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return let(F.split(fold_www(host), r"\."), lambda labels: F.transform(
+        F.sequence(F.lit(1), F.size(labels)),
+        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
 
 
 # IPv4 networks that are not globally routable.
@@ -178,22 +194,32 @@ def _number(ip: str) -> int:
     return ((a * 256 + b) * 256 + c) * 256 + d
 
 
-def url_reject_reason(url: Column) -> Column:
-    """Why a URL must not be crawled, null when it is safe (static part of F27)."""
-    host = F.regexp_replace(host_of(url), r"\.+$", "")
-    v4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
-    octets = [F.regexp_extract(host, v4, i).try_cast("long") for i in range(1, 5)]
-    number = ((octets[0] * 256 + octets[1]) * 256 + octets[2]) * 256 + octets[3]
+def _reject(x: Column) -> Column:
+    url, scheme, authority, host, number = (x[n] for n in ("url", "scheme", "authority", "host", "number"))
     private_v4 = F.lit(False)
     for network, bits in _PRIVATE_V4:
         low = _number(network)
         private_v4 = private_v4 | number.between(low, low + 2 ** (32 - bits) - 1)
-    is_v6 = host.contains(":")
     return (F.when(url.isNull() | (url == "") | (F.length(url) > MAX_URL_LENGTH), "length")
-            .when(~is_http_url(url), "scheme")
-            .when(_part(url, 2).contains("@"), "userinfo")
+            .when(~scheme.isin("http", "https"), "scheme")
+            .when(authority.contains("@"), "userinfo")
             .when(host == "", "no_host")
             .when(host.isin("localhost", "localhost.localdomain") | host.endswith(".localhost"),
                   "blocked_host")
             .when(F.coalesce(private_v4, F.lit(False)), "private_ip")
-            .when(is_v6 & host.rlike(_PRIVATE_V6), "private_ip"))
+            .when(host.contains(":") & host.rlike(_PRIVATE_V6), "private_ip"))
+
+
+def _v4_number(host: Column) -> Column:
+    """An IPv4 literal as a number, null for other hosts."""
+    octets = F.transform(F.split(host, r"\."), lambda o: o.try_cast("long"))
+    return F.when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.aggregate(
+        octets, F.lit(0).cast("long"), lambda acc, o: acc * 256 + o))
+
+
+def url_reject_reason(url: Column) -> Column:
+    """Why a URL must not be crawled, null when it is safe (static part of F27)."""
+    host = F.regexp_replace(host_of(url), r"\.+$", "")
+    return let(F.struct(url.alias("url"), F.coalesce(scheme_of(url), F.lit("")).alias("scheme"),
+                        _authority(url).alias("authority"), host.alias("host"),
+                        _v4_number(host).alias("number")), _reject)
