@@ -74,9 +74,9 @@ def scored_keywords(t: Tables):
 @query("q7_keyword_list", f"""
     WITH {KEYWORDS_CTE}
     SELECT keyword_id, project_id, keyword, intent, search_volume, difficulty, opportunity FROM scored
-    WHERE normalized_keyword ILIKE '%er%' AND intent = 'TRANSACTIONAL' AND search_volume >= 1000 AND difficulty <= 55""")
+    WHERE normalized_keyword ILIKE '%et%' AND intent = 'TRANSACTIONAL' AND search_volume >= 1000 AND difficulty <= 55""")
 def keyword_list(t: Tables):
-    rows = KP.keyword_list(scored(t), search=" ER ", intent="transactional", min_volume=1000, max_difficulty=55)
+    rows = KP.keyword_list(scored(t), search=" ET ", intent="transactional", min_volume=1000, max_difficulty=55)
     return rows.select("keyword_id", "project_id", "keyword", "intent", "search_volume", "difficulty", "opportunity")
 
 

@@ -69,7 +69,21 @@ DERIVED = {
                       CAST(page_id % 3 AS STRING), '.example.com/p', CAST(page_id AS STRING)) AS url,
                concat(CASE WHEN page_id % 17 = 2 THEN 'http' ELSE 'https' END, '://site',
                       CAST(page_id % 3 AS STRING), '.example.com/p', CAST(page_id AS STRING)) AS normalized_url,
-               html,
+               replace(replace(html, '<head>', concat('<head>',
+                   CASE WHEN page_id % 4 <> 0 THEN concat('<meta name="description" content=" About page ',
+                        CAST(page_id % 40 AS STRING), ' &amp; more ">') ELSE '' END,
+                   CASE WHEN page_id % 19 = 3 THEN '<META name="robots" content=NOINDEX,nofollow>' ELSE '' END,
+                   CASE page_id % 11 WHEN 0 THEN '' WHEN 1 THEN '<link rel="canonical" href="/gone">'
+                        ELSE concat('<link href=" /p', CAST(page_id AS STRING), '" rel="canonical"/>') END,
+                   concat('<meta property="og:title" content="OG ', CAST(page_id AS STRING), '"><meta name="twitter:card" content="summary">'),
+                   CASE WHEN page_id % 5 = 0 THEN '<link rel="alternate" hreflang="EN" href="/en">' ELSE '' END,
+                   CASE WHEN page_id % 10 = 0 THEN '<link rel="alternate" hreflang="english" href="/x">' ELSE '' END,
+                   CASE WHEN page_id % 3 = 0 THEN concat('<script type="application/ld+json">', chr(123), '"@type":"Person","a":',
+                        chr(123), '"@type" : "Article"', chr(125), chr(125), '</script>') ELSE '' END)),
+                   '<body>', concat('<body>', CASE WHEN page_id % 6 < 2 THEN '<h1>Second <i>head</i>ing</h1>' ELSE '' END,
+                   '<img src="/a.png" alt="ok">', CASE WHEN page_id % 4 > 0 THEN '<img src=/b.png alt=" ">' ELSE '' END,
+                   '<a href="https://other.example.org/x?utm_source=y" rel="nofollow">o</a><a href="mailto:a@b.c">m</a><a href="#top">t</a>',
+                   '<a href="../up/./d?x=1#f">u</a><a href="//WWW.site', CAST(page_id % 3 AS STRING), '.example.com/w">w</a>')) AS html,
                CASE WHEN page_id < 3 THEN 0 ELSE CAST(1 + page_id % 4 AS INT) END AS depth,
                CASE WHEN page_id = 1 THEN 503 WHEN page_id % 23 = 5 THEN 404
                     WHEN page_id % 23 = 11 THEN 503 WHEN page_id % 23 = 17 THEN 301
@@ -153,7 +167,8 @@ DERIVED = {
         FROM {region}""",
     "searches": """
         SELECT o_orderkey AS serp_search_id, o_custkey % 25 AS project_id,
-               concat('Keyword ', CAST(o_custkey % 60 AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN '!' ELSE '' END) AS keyword,
+               concat(CASE WHEN o_custkey % 3 = 0 THEN 'Buy ' ELSE '' END, 'Keyword ', CAST(o_custkey % 60 AS STRING),
+                      CASE WHEN o_orderkey % 2 = 0 THEN '!' ELSE '' END) AS keyword,
                CASE WHEN o_orderkey % 3 = 0 THEN 'GB' ELSE 'US' END AS country,
                CASE WHEN o_orderkey % 4 = 0 THEN 'MOBILE' ELSE 'DESKTOP' END AS device,
                'google' AS engine, 'en' AS language, 'vendor' AS provider, o_orderdate AS searched_at
@@ -175,8 +190,8 @@ DERIVED = {
     "tracked_keywords": """
         SELECT c_custkey AS tracked_keyword_id, c_custkey % 25 AS project_id,
                (c_custkey % 25) % 5 AS organization_id,
-               concat('keyword ', CAST(c_custkey % 60 AS STRING)) AS keyword,
-               concat('keyword ', CAST(c_custkey % 60 AS STRING)) AS normalized_keyword,
+               concat(CASE WHEN c_custkey % 3 = 0 THEN 'buy ' ELSE '' END, 'keyword ', CAST(c_custkey % 60 AS STRING)) AS keyword,
+               concat(CASE WHEN c_custkey % 3 = 0 THEN 'buy ' ELSE '' END, 'keyword ', CAST(c_custkey % 60 AS STRING)) AS normalized_keyword,
                CASE WHEN c_custkey % 3 = 0 THEN 'GB' ELSE 'US' END AS country, 'en' AS language,
                'DESKTOP' AS device, 'google' AS engine,
                CASE WHEN c_custkey % 10 = 0 THEN c_custkey % 60 END AS keyword_id,
@@ -187,8 +202,8 @@ DERIVED = {
                CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 25 END AS project_id,
                CASE WHEN p_partkey % 3 = 0 THEN 'gb' ELSE 'us' END AS country, 'EN' AS language,
                CASE WHEN p_partkey % 97 = 50 THEN ' ?! '
-                    WHEN p_partkey % 10 < 6 THEN concat(CASE WHEN p_partkey % 4 = 1 THEN '  Keyword ' ELSE 'keyword ' END,
-                         CAST(p_partkey % 60 AS STRING))
+                    WHEN p_partkey % 10 < 6 THEN concat(CASE WHEN p_partkey % 4 = 1 THEN '  ' ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN 'buy ' ELSE '' END,
+                         CASE WHEN p_partkey % 4 = 1 THEN 'Keyword ' ELSE 'keyword ' END, CAST(p_partkey % 60 AS STRING))
                     ELSE concat(CASE p_partkey % 6 WHEN 0 THEN 'buy ' WHEN 1 THEN 'best ' WHEN 2 THEN 'how to '
                          WHEN 3 THEN 'near me ' WHEN 4 THEN 'login ' ELSE '' END, p_name,
                          CASE WHEN p_partkey % 8 = 7 THEN concat(' ', CAST(p_partkey AS STRING)) ELSE '' END) END AS keyword,

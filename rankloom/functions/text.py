@@ -12,7 +12,8 @@ WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 
 # One tag with quoted or bare attributes; possessive so that a long tag cannot backtrack.
 ATTRS = r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+"
-ANY_TAG = r"<[/?!]?[a-zA-Z]" + ATTRS + r">"
+# A tag that the end of the page cuts off is no text either.
+ANY_TAG = r"<[/?!]?[a-zA-Z]" + ATTRS + r"(?:>|\z)"
 COMMENT = r"<!--(?s:(.*?))(?:-->|\z)"
 
 

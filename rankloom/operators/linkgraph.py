@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators.ranking import latest
 from rankloom.operators.skew import find_heavy_keys, repeated_dims, salted_facts
-from rankloom.session import ensure_checkpoint_dir
+from rankloom.session import stage
 
 EDGE = ["crawl_run_id", "from_url"]
 
@@ -27,33 +27,33 @@ def click_depth(seeds: DataFrame, links: DataFrame, max_rounds: int | None = Non
     """Clicks from the seeds to every reachable URL.
 
     ``seeds``: crawl_run_id, url, depth (0 homepage, 1 sitemap); ``links``: crawl_run_id,
-    from_url, to_url.  One join per level: the frontier meets the edges, already visited URLs
-    drop out.  Heavy source pages are found once and their edges stay salted through all
-    rounds.  Every round is checkpointed, so the plan does not grow and a lost executor costs
-    one round at most; the loop ends when a round finds nothing new.
+    from_url, to_url.  One join per level: the URLs of a level meet the edges, already visited
+    ones drop out.  Heavy source pages are found once and their edges stay salted through all
+    rounds.  Each round writes only its own new URLs to the shared folder, so plans do not grow
+    and a lost executor costs one round at most; the loop ends when a level is empty.
     """
-    spark = seeds.sparkSession
-    ensure_checkpoint_dir(spark)
-    edges = links.select("crawl_run_id", "from_url", "to_url").distinct()
-    heavy = find_heavy_keys(edges, EDGE).checkpoint()
-    edges = salted_facts(edges, EDGE, heavy).checkpoint()
-    reached = (seeds.groupBy("crawl_run_id", "url").agg(F.min("depth").alias("depth"))
-               .checkpoint())
-    # Depth-1 seeds wait for their level, so depths stay minimal.
-    level, rounds = 0, 0
-    while max_rounds is None or rounds < max_rounds:
-        frontier = reached.where(F.col("depth") == level).select(
-            "crawl_run_id", F.col("url").alias("from_url"))
-        sources = repeated_dims(frontier, EDGE, heavy)
-        found = (edges.join(sources, [*EDGE, "_salt"])
-                 .select("crawl_run_id", F.col("to_url").alias("url")).distinct()
-                 .withColumn("depth", F.lit(level + 1)))
-        fresh = found.join(reached.where(F.col("depth") <= level + 1), ["crawl_run_id", "url"],
-                           "left_anti").checkpoint()
-        rounds += 1
-        if fresh.isEmpty() and reached.where(F.col("depth") > level).isEmpty():
-            return reached
-        reached = reached.join(fresh.select("crawl_run_id", "url"), ["crawl_run_id", "url"],
-                               "left_anti").unionByName(fresh).checkpoint()
+    key = ["crawl_run_id", "url"]
+    edges = links.select(*EDGE, "to_url").distinct()
+    heavy = stage(find_heavy_keys(edges, EDGE))
+    edges = stage(salted_facts(edges, EDGE, heavy))
+    start = stage(seeds.groupBy(*key).agg(F.min("depth").alias("depth")))
+    waiting = start.where(F.col("depth") > 0)
+    level_rows, levels, level = start.where(F.col("depth") == 0), [], 0
+    while True:
+        levels.append(level_rows.withColumn("depth", F.lit(level)))
+        last = max_rounds is not None and level >= max_rounds
+        if last or (level > 0 and level_rows.isEmpty()):
+            break
+        sources = repeated_dims(level_rows.select("crawl_run_id", F.col("url").alias("from_url")), EDGE, heavy)
+        found = edges.join(sources, [*EDGE, "_salt"]).select("crawl_run_id", F.col("to_url").alias("url"))
         level += 1
-    return reached
+        # Seeds of this depth join the level they belong to.
+        due = waiting.where(F.col("depth") == level).select(*key)
+        seen = levels[0].select(*key)
+        for rows in levels[1:]:
+            seen = seen.unionByName(rows.select(*key))
+        level_rows = stage(found.unionByName(due).distinct().join(seen, key, "left_anti"))
+    reached = levels[0]
+    for rows in levels[1:]:
+        reached = reached.unionByName(rows)
+    return reached.select(*key, "depth")

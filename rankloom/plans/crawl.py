@@ -21,16 +21,13 @@ def crawl_pages(fetched: DataFrame) -> DataFrame:
     parse = F.coalesce((F.col("status_code") == 200) & T.is_html_response(F.col("content_type"))
                        & ~F.coalesce("is_robots_blocked", F.lit(False)), F.lit(False))
     body = fetched.withColumn("html", F.when(parse, F.col("html"))).withColumn("_parsed", parse)
-    carried = [c for c in body.columns if c not in ("html",)]
     signals = page_signals(body)
     label = T.indexability(
         F.col("status_code"), F.col("error"), F.coalesce("redirect_target", F.lit("")) != "",
-        F.col("is_noindex"), F.col("is_robots_blocked"),
-        F.col("_parsed"))
-    return (signals.withColumn("indexability", label)
-            .select(*[c for c in carried if c != "_parsed"],
-                    *[c for c in signals.columns if c not in (*carried, "html", "links")],
-                    "indexability"))
+        F.col("is_noindex"), F.col("is_robots_blocked"), F.col("_parsed"))
+    # An unparsed page has no content to compare with others.
+    return (signals.withColumn("content_hash", F.when(F.col("_parsed"), F.col("content_hash")))
+            .withColumn("indexability", label).drop("html", "links", "_parsed"))
 
 
 def coverage(fetches: DataFrame, discovered: DataFrame | None = None) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job relies on; all can be set on a session that already runs.
 JOB_CONF = {
@@ -40,19 +41,31 @@ def local_session(cores: str = "*", app: str = "rankloom") -> SparkSession:
     return prepare(spark)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: what ``spark.checkpoint.dir`` names.
 
-    ``spark.checkpoint.dir`` wins.  Only a local master may fall back to a temporary
-    folder: on a cluster a machine-local path would not survive a lost executor.
+    Only a local master may fall back to a temporary folder; on a cluster a machine-local
+    path would not survive a lost executor.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder for iterative jobs")
+    if sc.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured:
+            sc.setCheckpointDir(configured)
+        elif sc.master.startswith("local"):
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return sc.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a table once to the shared folder and read it back.
+
+    Cuts the lineage like a checkpoint, but columnar: every later reader scans just the
+    columns it needs, and losing executors costs no recomputation of what lies before.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

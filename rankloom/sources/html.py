@@ -28,7 +28,7 @@ def _tag_struct(tag: Column) -> Column:
     body = F.regexp_replace(tag, r"^<[a-zA-Z0-9]+", "")
     return F.struct(
         F.lower(F.regexp_extract(tag, r"^<([a-zA-Z0-9]+)", 1)).alias("name"),
-        F.transform(_extract_all(body, _ATTR, 1), F.lower).alias("keys"),
+        F.transform(_extract_all(body, _ATTR, 1), lambda k: F.lower(k)).alias("keys"),
         _extract_all(body, _ATTR, 2).alias("values"))
 
 
@@ -77,7 +77,7 @@ def with_page_parts(pages: DataFrame, url: str = "url", body: str = "html") -> D
     anchors = F.filter(_named(F.col("_tags"), "a"), lambda t: F.array_contains(t["keys"], "href"))
     headings = F.transform(
         _extract_all(F.col("_clean"), _H1, 1),
-        lambda h: F.array_join(F.filter(F.transform(F.split(h, T.ANY_TAG), F.trim),
+        lambda h: F.array_join(F.filter(F.transform(F.split(h, T.ANY_TAG), lambda s: F.trim(s)),
                                         lambda s: s != ""), " "))
     return (pages.withColumn("_clean", clean)
             .withColumn("_tags", F.transform(_extract_all(F.col("_clean"), _TAGS, 0), _tag_struct))
