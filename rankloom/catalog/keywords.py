@@ -8,6 +8,7 @@ from rankloom.catalog.registry import Tables, query
 from rankloom.catalog.scalars import DIFFICULTY, _intent_case, opportunity_sql
 from rankloom.operators.ranking import page_of
 from rankloom.plans import keywords as KP
+from rankloom.session import stage
 from rankloom.sources import vendor
 
 NORM = "trim(regexp_replace(trim(lower(keyword)), '\\s+', ' ', 'g'), ' .,;:!?\"''()[]{}')"
@@ -27,11 +28,15 @@ KEYWORDS_CTE = f"""
     scored AS (SELECT *, {opportunity_sql('difficulty', 'intent')} AS opportunity FROM graded)"""
 
 
+def stored_from(batch):
+    """Keywords, metrics and intents after a batch; each is written once, then read."""
+    items = stage(KP.clean_batch(batch))
+    keywords = stage(KP.stored_keywords(items))
+    return keywords, KP.metric_snapshots(items, keywords), KP.keyword_intents(items, keywords)
+
+
 def stored(t: Tables):
-    """Keywords, metrics and intents after the whole batch."""
-    batch = t.keyword_batch
-    keywords = KP.stored_keywords(batch)
-    return keywords, KP.metric_snapshots(batch, keywords), KP.keyword_intents(batch, keywords)
+    return stored_from(t.keyword_batch)
 
 
 def scored(t: Tables):
@@ -40,9 +45,9 @@ def scored(t: Tables):
 
 @query("k3_stored_keywords", f"WITH {KEYWORDS_CTE} SELECT * FROM keywords")
 def stored_keywords(t: Tables):
-    batch = t.keyword_batch
-    early = KP.stored_keywords(batch.where(F.col("seq") < 700))
-    return KP.stored_keywords(batch.where(F.col("seq") >= 700), early).drop("created_on")
+    items = KP.clean_batch(t.keyword_batch)
+    early = KP.stored_keywords(items.where(F.col("seq") < 700))
+    return KP.stored_keywords(items.where(F.col("seq") >= 700), early).drop("created_on")
 
 
 @query("k3_intents", f"WITH {KEYWORDS_CTE} SELECT *, 'heuristic' AS method FROM intents")
@@ -137,9 +142,7 @@ def keyword_research(t: Tables):
         F.from_json(F.to_json(F.struct("keyword", "search_volume", "cpc",
                                        (F.col("competition") * 100).alias("competition_index"))),
                     vendor.KEYWORD_ITEM).alias("item"))
-    batch = vendor.keyword_metrics(items)
-    keywords = KP.stored_keywords(batch)
-    rows = KP.scored_keywords(keywords, KP.metric_snapshots(batch, keywords), KP.keyword_intents(batch, keywords))
+    rows = KP.scored_keywords(*stored_from(vendor.keyword_metrics(items)))
     return rows.select("keyword_id", "organization_id", "project_id", "normalized_keyword", "difficulty", "opportunity")
 
 

@@ -12,7 +12,12 @@ from rankloom.catalog.registry import Tables, half_up, query
 from rankloom.plans import audit, overview, rankings, usage
 from rankloom.session import stage
 
-AS_OF = F.lit("2024-01-31").cast("date")
+
+
+def as_of():
+    """Reporting date; the events end on 2024-01-30."""
+    return F.lit("2024-01-31").cast("date")
+
 
 
 @query("q28_project_overview", f"""
@@ -46,14 +51,14 @@ def connected(t: Tables):
     SELECT organization_id, provider, service, operation, CAST(sum(units) AS BIGINT) AS units, count(*) AS calls FROM {provider_usage}
     WHERE created_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY GROUP BY organization_id, provider, service, operation""")
 def usage_summary(t: Tables):
-    return usage.usage_summary(t.provider_usage, AS_OF, 7)
+    return usage.usage_summary(t.provider_usage, as_of(), 7)
 
 
 @query("a15_month_to_date", """
     SELECT organization_id, service, CAST(sum(units) AS BIGINT) AS units FROM {provider_usage}
     WHERE created_at >= TIMESTAMP '2024-01-01 00:00:00' GROUP BY organization_id, service""")
 def month_to_date(t: Tables):
-    return usage.month_to_date(t.provider_usage, AS_OF)
+    return usage.month_to_date(t.provider_usage, as_of())
 
 
 @query("q30_plan_usage", f"""
@@ -69,7 +74,7 @@ def month_to_date(t: Tables):
            {half_up('least(100.0e0, CAST(coalesce(used, 0) AS DOUBLE) / allowed * 100)', 1)} AS percent, coalesce(used, 0) >= allowed AS over_limit
     FROM orgs o JOIN limits l ON l.plan = o.plan LEFT JOIN used u ON u.organization_id = o.organization_id AND u.limit_name = l.limit_name""")
 def plan_usage(t: Tables):
-    return usage.plan_usage(t.organizations, t.projects, t.provider_usage, AS_OF)
+    return usage.plan_usage(t.organizations, t.projects, t.provider_usage, as_of())
 
 
 @query("a16_tracked_limits", """

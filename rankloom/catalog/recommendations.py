@@ -16,12 +16,17 @@ from rankloom.operators.ranking import page_of
 from rankloom.plans import overview
 from rankloom.plans import recommend as R
 
-DECLINE_AS_OF = F.lit("2024-02-20").cast("date")
+
 _STORED_QUERIES = _STORED.format(dim="query")
 SHOWN = ["project_id", "type", "source", "severity", "impact", "effort", "confidence", "score", "title",
          "description", "related_url", "related_keyword", "status"]
 
 
+def decline_as_of():
+    """Splits the thirty given days into eight recent and twenty-two prior ones."""
+    return F.lit("2024-02-20").cast("date")
+
+
 def _score(impact: str, confidence: float, effort: str) -> str:
     return half_up(f"least(100.0e0, greatest(0.0e0, {impact} * {confidence}e0 * 10.0e0 / least(5.0e0, greatest(0.5e0, {effort}))))", 1)
 
@@ -72,7 +77,7 @@ def from_striking_distance(t: Tables):
         "'Clicks fell from ' || format('{:,}', CAST(was_c AS BIGINT)) || ' to ' || format('{:,}', CAST(now_c AS BIGINT)) || ' in 28 days.'", 'query')}
     FROM top WHERE rn <= 10 AND CAST(was_c - now_c AS DOUBLE) / was_c >= 0.3""")
 def from_decliners(t: Tables):
-    return R.from_decliners(stored_queries(t), t.gsc_properties, DECLINE_AS_OF)
+    return R.from_decliners(stored_queries(t), t.gsc_properties, decline_as_of())
 
 
 @query("q22_from_keywords", f"""
@@ -127,7 +132,7 @@ def recalculate(t: Tables):
                                         F.lit(None).cast("string").alias("related_url"),
                                         F.lit(None).cast("string").alias("related_keyword"), "status")
     fresh = [R.from_audit(issues_of(t), t.page_runs), R.from_striking_distance(rows, t.gsc_properties),
-             R.from_decliners(rows, t.gsc_properties, DECLINE_AS_OF),
+             R.from_decliners(rows, t.gsc_properties, decline_as_of()),
              R.from_keywords(scored(t), t.tracked_keywords, t.projects),
              R.from_ranks(t.tracked_keywords, t.rank_observations), R.from_gap(parts(t)[0])]
     return R.source_counts(R.recalculate(existing, fresh))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.catalog.tables import check_sql, load
+from rankloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -16,10 +17,14 @@ class Tables:
     """Attribute access to the tables of one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = prepare(spark), sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return load(self.spark, self.sf_dir, name)
+        if name.startswith("_"):
+            raise AttributeError(name)
+        table = load(self.spark, self.sf_dir, name)
+        setattr(self, name, table)
+        return table
 
 
 def query(name: str, sql: str | None = None):

@@ -11,7 +11,12 @@ from rankloom.plans import gsc
 from rankloom.plans.rankings import share_of_max
 from rankloom.sources import vendor
 
-AS_OF = F.lit("2024-01-31").cast("date")
+
+
+def as_of():
+    """Reporting date; the events end on 2024-01-30."""
+    return F.lit("2024-01-31").cast("date")
+
 
 _STORED = """
     SELECT * EXCLUDE (rn) FROM (
@@ -38,7 +43,7 @@ def stored_pages(t: Tables):
     SELECT property_id, 'pages' AS section, {_MEASURES.format(position='avg_position')} FROM p WHERE date >= DATE '2024-01-03' GROUP BY property_id
     """)
 def gsc_overview(t: Tables):
-    return gsc.overview(stored_queries(t), stored_pages(t), AS_OF)
+    return gsc.overview(stored_queries(t), stored_pages(t), as_of())
 
 
 @query("a10_gsc_daily", f"""
@@ -46,7 +51,7 @@ def gsc_overview(t: Tables):
     SELECT property_id, date, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions
     FROM q WHERE date >= DATE '2024-01-03' GROUP BY property_id, date""")
 def gsc_daily(t: Tables):
-    return gsc.daily(stored_queries(t), AS_OF)
+    return gsc.daily(stored_queries(t), as_of())
 
 
 @query("w10_daily_share_of_max", f"""
@@ -65,7 +70,7 @@ def daily_share(t: Tables):
     SELECT property_id, query, {_MEASURES.format(position='position')} FROM q
     WHERE date >= DATE '2024-01-03' AND query ILIKE '%RY 1%' GROUP BY property_id, query""")
 def gsc_queries(t: Tables):
-    return gsc.by_dimension(stored_queries(t), "query", AS_OF, search="RY 1")
+    return gsc.by_dimension(stored_queries(t), "query", as_of(), search="RY 1")
 
 
 @query("q18_gsc_pages", f"""
@@ -73,7 +78,7 @@ def gsc_queries(t: Tables):
     SELECT property_id, page, {_MEASURES.format(position='position')} FROM p
     WHERE date >= DATE '2024-01-03' GROUP BY property_id, page""")
 def gsc_pages(t: Tables):
-    return gsc.by_dimension(stored_pages(t), "page", AS_OF)
+    return gsc.by_dimension(stored_pages(t), "page", as_of())
 
 
 @query("l1_gsc_queries_page_2", f"""
@@ -82,7 +87,7 @@ def gsc_pages(t: Tables):
     WHERE date >= DATE '2024-01-03' GROUP BY property_id, query
     ORDER BY clicks DESC, property_id, query LIMIT 20 OFFSET 20""")
 def gsc_queries_page(t: Tables):
-    rows = gsc.by_dimension(stored_queries(t), "query", AS_OF)
+    rows = gsc.by_dimension(stored_queries(t), "query", as_of())
     return page_of(rows, gsc.listing_order("clicks", "query"), page=2, size=20)
 
 

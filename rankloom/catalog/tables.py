@@ -10,8 +10,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.session import prepare
-
 # Declared schemas: no inference, and the scan reads just the named columns.
 GIVEN = {
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -277,7 +275,7 @@ DERIVED = {
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table with its declared schema, or a derived one."""
     if name in GIVEN:
-        return prepare(spark).read.schema(GIVEN[name]).parquet(f"{sf_dir}/{name}.parquet")
+        return spark.read.schema(GIVEN[name]).parquet(f"{sf_dir}/{name}.parquet")
     text = DERIVED[name]
     inputs = {t: load(spark, sf_dir, t) for t in placeholders(text)}
     return spark.sql(text, **inputs)

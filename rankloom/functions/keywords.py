@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rankloom.functions.numbers import clamp, rounded
 from rankloom.functions.text import squeeze
@@ -33,7 +35,7 @@ INTENT_VALUE = {"TRANSACTIONAL": 1.0, "COMMERCIAL": 0.9, "LOCAL": 0.85,
 OTHER_INTENT_VALUE = 0.6
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: s if s is None else unicodedata.normalize("NFKC", s))
 
@@ -56,6 +58,19 @@ def with_normalized_keyword(df: DataFrame, source: str = "keyword",
     return ascii_rows.unionByName(other_rows)
 
 
+def _marker_groups() -> list[tuple[str, float, list[str]]]:
+    """Neighbouring markers of one intent with one confidence, in order of precedence."""
+    groups: list[tuple[str, float, list[str]]] = []
+    for intent, markers in INTENT_MARKERS.items():
+        for marker in markers:
+            confidence = round(min(0.95, 0.55 + 0.05 * len(marker.split())), 2)
+            if groups and groups[-1][:2] == (intent, confidence):
+                groups[-1][2].append(marker)
+            else:
+                groups.append((intent, confidence, [marker]))
+    return groups
+
+
 def intent_of(keyword: Column, word_boundary: bool = False) -> Column:
     """Struct(intent, confidence) by marker words.
 
@@ -63,20 +78,15 @@ def intent_of(keyword: Column, word_boundary: bool = False) -> Column:
     words instead.  Confidence is 0.55 plus 0.05 per word of the first marker that hits.
     """
     text = F.lower(F.coalesce(keyword, F.lit("")))
-
-    def hit(marker: str) -> Column:
-        if word_boundary:
-            return text.rlike(r"(?<![a-z0-9])\Q" + marker + r"\E(?![a-z0-9])")
-        return text.contains(marker)
+    edge = (r"(?<![a-z0-9])", r"(?![a-z0-9])") if word_boundary else ("", "")
 
     def answer(intent: str, confidence: float) -> Column:
         return F.struct(F.lit(intent).alias("intent"), F.lit(confidence).alias("confidence"))
 
-    chain = None
-    for intent, markers in INTENT_MARKERS.items():
-        for marker in markers:
-            confidence = round(min(0.95, 0.55 + 0.05 * len(marker.split())), 2)
-            chain = (F if chain is None else chain).when(hit(marker), answer(intent, confidence))
+    chain = F
+    for intent, confidence, markers in _marker_groups():
+        pattern = edge[0] + "(?:" + "|".join(re.escape(m) for m in markers) + ")" + edge[1]
+        chain = chain.when(text.rlike(pattern), answer(intent, confidence))
     return (chain.when(F.trim(text).rlike(QUESTION_FORM), answer("INFORMATIONAL", 0.6))
             .otherwise(answer("INFORMATIONAL", 0.35)))
 

@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 
@@ -17,13 +18,13 @@ ANY_TAG = r"<[/?!]?[a-zA-Z]" + ATTRS + r"(?:>|\z)"
 COMMENT = r"<!--(?s:(.*?))(?:-->|\z)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """HTML character references; the table has no counterpart among the built-ins."""
     return text.map(lambda s: html.unescape(s) if s and "&" in s else s)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def unescape_all(texts: pd.Series) -> pd.Series:
     return texts.map(lambda xs: xs if xs is None else [x and html.unescape(x) for x in xs])
 
@@ -39,34 +40,43 @@ def without_raw_blocks(markup: Column) -> Column:
         markup, r"(?is)<(script|style)\b" + ATTRS + r">.*?(?:</\1\s*+>|\z)", " ")
 
 
-def markup_text(markup: Column) -> Column:
-    """Text nodes of a page, entities still encoded.
+def markup_text(bare: Column) -> Column:
+    """Text nodes of markup without raw blocks, entities still encoded.
 
     Comment and doctype text counts as text, as it does for the text iterator this follows;
     text directly inside noscript, template, svg and canvas does not.
     """
     hidden = r"(?:noscript|template|svg|canvas)"
-    no_head = F.regexp_replace(without_raw_blocks(markup),
-                               r"(?i)(<" + hidden + r"\b" + ATTRS + r">)[^<]*+", "$1")
+    no_head = F.regexp_replace(bare, r"(?i)(<" + hidden + r"\b" + ATTRS + r">)[^<]*+", "$1")
     no_tail = F.regexp_replace(no_head,
                                r"(?i)(</[a-z][^>]*+>|/>)[^<]*+(?=</" + hidden + r"\s*+>)", "$1")
     flat = F.regexp_replace(no_tail, r"(?i)" + COMMENT + r"|<!doctype\s+([^>]*+)>|" + ANY_TAG,
                             " $1$2 ")
-    return squeeze(flat)
+    return flat
 
 
 def visible_text(markup: Column) -> Column:
-    return squeeze(unescape(F.coalesce(markup_text(markup), F.lit(""))))
+    return squeeze(unescape(F.coalesce(markup_text(without_raw_blocks(markup)), F.lit(""))))
+
+
+def words_of(clean: Column) -> Column:
+    """Number of words of squeezed text: blanks plus one."""
+    blanks = F.length(clean) - F.length(F.replace(clean, F.lit(" "), F.lit("")))
+    return F.when(clean == "", F.lit(0)).otherwise(blanks + 1)
+
+
+def hash_of(clean: Column) -> Column:
+    """SHA-256 of squeezed text in lower case."""
+    return F.sha2(F.lower(clean), 256)
 
 
 def word_count(text: Column) -> Column:
-    clean = squeeze(F.coalesce(text, F.lit("")))
-    return F.when(clean == "", F.lit(0)).otherwise(F.size(F.split(clean, " ")))
+    return words_of(squeeze(F.coalesce(text, F.lit(""))))
 
 
 def content_hash(text: Column) -> Column:
     """SHA-256 of the lower-cased, white-space-collapsed text."""
-    return F.sha2(squeeze(F.lower(text)), 256)
+    return hash_of(squeeze(text))
 
 
 def has_noindex(robots_meta: Column) -> Column:

@@ -150,13 +150,20 @@ def _without_dot_segments(path: Column) -> Column:
     return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(F.concat(folded, tail), "/")).otherwise(path)
 
 
-def resolve_url(base: Column, href: Column) -> Column:
-    """Absolute form of a link found on a page (F19): ``//h/x``, ``/x``, ``?q``, ``x``, ``../x``."""
-    def joined(x: Column) -> Column:
-        b, link = x["b"], x["link"]
-        scheme = F.lower(b[0])
-        origin = F.concat(scheme, F.lit("://"), b[1])
-        base_path = F.when(b[2] == "", F.lit("/")).otherwise(b[2])
+def url_parts(url: Column) -> Column:
+    """[scheme, authority, path, query] of a base URL, for ``resolve_from``."""
+    return _parts(url)
+
+
+def resolve_from(base: Column, href: Column) -> Column:
+    """Absolute form of a link, given the parts of its page's URL.
+
+    Handles ``//h/x``, ``/x``, ``?q``, ``x``, ``../x`` and absolute links (F19).
+    """
+    def joined(link: Column) -> Column:
+        scheme = F.lower(base[0])
+        origin = F.concat(scheme, F.lit("://"), base[1])
+        base_path = F.when(base[2] == "", F.lit("/")).otherwise(base[2])
         # A rooted link replaces the base path, any other starts in its folder.
         rooted = F.when(link.startswith("/"), F.lit("")).otherwise(
             F.regexp_extract(base_path, r"^(.*/)", 1))
@@ -165,9 +172,16 @@ def resolve_url(base: Column, href: Column) -> Column:
         return (F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), link)
                 .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
                 .when(link.startswith("?"), F.concat(origin, base_path, link))
+                .when((link == "") | link.startswith("#"), F.concat(
+                    origin, base_path, F.when(base[3] == "", F.lit("")).otherwise(F.concat(F.lit("?"), base[3])), link))
                 .otherwise(F.concat(origin, let(path, _without_dot_segments), tail)))
 
-    return let(F.struct(_parts(base).alias("b"), _tidy(href).alias("link")), joined)
+    return let(_tidy(href), joined)
+
+
+def resolve_url(base: Column, href: Column) -> Column:
+    """Absolute form of a link found on the page ``base``."""
+    return let(_parts(base), lambda parts: resolve_from(parts, href))
 
 
 def host_suffixes(host: Column) -> Column:

@@ -32,18 +32,19 @@ def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column]
 
     ``bucket`` is a coarse value that grows with ``order``.  Rows are counted per (group,
     bucket), the counts are summed up over the buckets of a group, and rows are numbered
-    only inside their own bucket — no window ever spans a whole group of rows.
+    only inside their own bucket — no window ever spans a whole group of rows.  Join and
+    window share the (group, bucket) partitioning, so the rows are shuffled once.  Keys and
+    bucket must not be null.
     """
     rows = df.withColumn("_bucket", bucket)
     sizes = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_bucket",
                            F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    condition = [rows[k].eqNullSafe(offsets[k]) for k in [*keys, "_bucket"]]
-    joined = rows.join(offsets, condition, "inner").select(rows["*"], "_before")
+    joined = rows.join(offsets, [*keys, "_bucket"])
     inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
     return (joined.withColumn(out, (inside + F.col("_before")).cast("int"))
-            .drop("_bucket", "_before"))
+            .select(*df.columns, out))
 
 
 def page_of(df: DataFrame, order: list[Column], page: int = 1, size: int = 50) -> DataFrame:

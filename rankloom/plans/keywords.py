@@ -13,15 +13,16 @@ from rankloom.operators.upsert import insert_if_absent
 NATURAL_KEY = ["organization_id", "normalized_keyword", "country", "language"]
 
 
-def _clean_batch(batch: DataFrame) -> DataFrame:
+def clean_batch(batch: DataFrame) -> DataFrame:
+    """Normalised, non-blank batch rows — the input of the three K3 steps below."""
     folded = (batch.withColumn("country", F.upper("country"))
               .withColumn("language", F.lower("language")))
     return (K.with_normalized_keyword(folded).where(F.col("normalized_keyword") != ""))
 
 
-def stored_keywords(batch: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def stored_keywords(items: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Keyword rows after a batch: first spelling of a new natural key wins (K3)."""
-    rows = _clean_batch(batch).select(
+    rows = items.select(
         F.col("seq").alias("keyword_id"), *NATURAL_KEY, "project_id",
         F.trim("keyword").alias("keyword"), "created_on")
     if existing is None:
@@ -29,18 +30,16 @@ def stored_keywords(batch: DataFrame, existing: DataFrame | None = None) -> Data
     return insert_if_absent(existing, rows, NATURAL_KEY, [F.asc("keyword_id")])
 
 
-def metric_snapshots(batch: DataFrame, keywords: DataFrame) -> DataFrame:
+def metric_snapshots(items: DataFrame, keywords: DataFrame) -> DataFrame:
     """One metric row per batch item, attached to its stored keyword (K3)."""
-    items = _clean_batch(batch)
     ids = keywords.select("keyword_id", *NATURAL_KEY)
     return items.join(ids, NATURAL_KEY).select(
         "keyword_id", "seq", F.col("created_on"), "search_volume", "cpc", "competition",
         "provider", K.intent_of(F.col("keyword"))["intent"].alias("intent"))
 
 
-def keyword_intents(batch: DataFrame, keywords: DataFrame) -> DataFrame:
+def keyword_intents(items: DataFrame, keywords: DataFrame) -> DataFrame:
     """Heuristic intent of each keyword, set once by its first item (K3)."""
-    items = _clean_batch(batch)
     ids = keywords.select("keyword_id", *NATURAL_KEY)
     first = latest(items.join(ids, NATURAL_KEY), ["keyword_id"], [F.asc("seq")])
     guess = K.intent_of(F.col("keyword"))

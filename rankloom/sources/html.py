@@ -73,39 +73,43 @@ def _prefixed(tags: Column, key: str, prefix: str) -> Column:
 def with_page_parts(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
     """Tokenise each page once; everything else reads these parts."""
     markup = F.coalesce(F.col(body), F.lit(""))
-    clean = F.regexp_replace(T.without_raw_blocks(markup), T.COMMENT, "")
     anchors = F.filter(_named(F.col("_tags"), "a"), lambda t: F.array_contains(t["keys"], "href"))
     headings = F.transform(
         _extract_all(F.col("_clean"), _H1, 1),
         lambda h: F.array_join(F.filter(F.transform(F.split(h, T.ANY_TAG), lambda s: F.trim(s)),
                                         lambda s: s != ""), " "))
-    return (pages.withColumn("_clean", clean)
+    return (pages.withColumn("_bare", T.without_raw_blocks(markup))
+            .withColumn("_clean", F.regexp_replace("_bare", T.COMMENT, ""))
+            .withColumn("_base", U.url_parts(F.col(url)))
+            .withColumn("_host", U.fold_www(U.host_of(F.col(url))))
             .withColumn("_tags", F.transform(_extract_all(F.col("_clean"), _TAGS, 0), _tag_struct))
             .withColumn("_json_ld", F.when(markup.contains("ld+json"), _extract_all(markup, _JSON_LD, 1)))
             .withColumn("_h1", T.unescape_all(headings))
             .withColumn("_title", T.unescape(F.regexp_extract("_clean", _TITLE, 1)))
             .withColumn("_description", T.unescape(_meta_content(F.col("_tags"), "name", "description")))
-            .withColumn("_visible", T.unescape(T.markup_text(markup)))
+            .withColumn("_visible", T.unescape(T.squeeze(T.markup_text(F.col("_bare")))))
             .withColumn("_hrefs", T.unescape_all(F.transform(anchors, lambda t: F.trim(_attr(t, "href")))))
             .withColumn("_rels", F.transform(anchors, lambda t: F.nullif(_attr(t, "rel"), F.lit("")))))
 
 
-def _links(base: Column) -> Column:
+def _links() -> Column:
     """Outbound links of a page as an array of structs."""
     pairs = F.arrays_zip(F.col("_hrefs").alias("href"), F.col("_rels").alias("rel"))
     kept = F.filter(pairs, lambda p: ~U.is_skipped_href(p["href"]))
     absolute = F.transform(kept, lambda p: F.struct(
-        U.resolve_url(base, p["href"]).alias("to_url"), p["rel"].alias("rel")))
-    web = F.filter(absolute, lambda p: U.is_http_url(p["to_url"]))
+        U.resolve_from(F.col("_base"), p["href"]).alias("to_url"), p["rel"].alias("rel")))
+    hosted = F.transform(absolute, lambda p: F.struct(
+        p["to_url"], p["rel"], U.fold_www(U.host_of(p["to_url"])).alias("host")))
+    web = F.filter(hosted, lambda p: p["to_url"].rlike("(?i)^https?:"))
     return F.transform(web, lambda p: F.struct(
         p["to_url"].alias("to_url"), p["rel"].alias("rel"),
-        U.same_site(U.host_of(base), U.host_of(p["to_url"])).alias("is_internal")))
+        ((p["host"] == F.col("_host")) & (F.col("_host") != "")).alias("is_internal")))
 
 
 def page_signals(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
     """All signal columns of S2; malformed markup gives empty signals, never an error."""
-    base = F.col(url)
-    parts = with_page_parts(pages, url, body).withColumn("links", _links(base))
+    parts = (with_page_parts(pages, url, body).withColumn("links", _links())
+             .withColumn("_text", T.squeeze(F.coalesce("_visible", F.lit("")))))
     tags = F.col("_tags")
     title = F.nullif(F.trim("_title"), F.lit(""))
     description = F.nullif(F.trim("_description"), F.lit(""))
@@ -116,7 +120,6 @@ def page_signals(pages: DataFrame, url: str = "url", body: str = "html") -> Data
     images = _named(tags, "img")
     languages = F.filter(_named(tags, "link"), lambda t: F.array_contains(t["keys"], "hreflang"))
     kinds = T.schema_types(F.coalesce("_json_ld", F.array().cast("array<string>")))
-    visible = T.squeeze(F.coalesce("_visible", F.lit("")))
 
     def count(items: Column) -> Column:
         return F.size(items)
@@ -127,11 +130,11 @@ def page_signals(pages: DataFrame, url: str = "url", body: str = "html") -> Data
         F.coalesce(F.length(title), F.lit(0)).alias("title_length"),
         F.substring(description, 1, 2000).alias("meta_description"),
         F.coalesce(F.length(description), F.lit(0)).alias("meta_description_length"),
-        F.substring(U.resolve_url(base, canonical), 1, 2000).alias("canonical"),
+        F.substring(U.resolve_from(F.col("_base"), canonical), 1, 2000).alias("canonical"),
         F.substring(robots, 1, 500).alias("robots_meta"),
         count(F.col("_h1")).alias("h1_count"),
         F.slice("_h1", 1, 20).alias("h1_text"),
-        T.word_count(visible).alias("word_count"),
+        T.words_of(F.col("_text")).alias("word_count"),
         F.substring(F.nullif(_attr(_first(_named(tags, "html")), "lang"), F.lit("")), 1, 10).alias("language"),
         count(images).alias("images_count"),
         count(F.filter(images, lambda t: F.trim(F.coalesce(_attr(t, "alt"), F.lit(""))) == ""))
@@ -145,7 +148,7 @@ def page_signals(pages: DataFrame, url: str = "url", body: str = "html") -> Data
         _prefixed(tags, "name", "twitter:").alias("twitter_cards"),
         _map_of(F.transform(languages, lambda t: _entry(F.lower(_attr(t, "hreflang")), _attr(t, "href"))))
         .alias("hreflang"),
-        T.content_hash(visible).alias("content_hash"),
+        T.hash_of(F.col("_text")).alias("content_hash"),
         "links")
 
 
