@@ -81,8 +81,9 @@ def add_competitors(t: Tables):
         U.normalize_domain(F.concat(F.lit("https://www.S"), (n % 400).cast("string"), F.lit(".com/"))).alias("domain"),
         F.when(n % 3 == 0, "new").otherwise("").alias("label"))
     own = t.projects.select("project_id", "domain")
+    first = UP.latest_by_grain(asked.where(U.is_valid_domain(F.col("domain"))), ["project_id", "domain"], [F.asc("request_seq")])
     # A project cannot compete with itself.
-    good = asked.where(U.is_valid_domain(F.col("domain"))).join(own, ["project_id", "domain"], "left_anti")
+    good = first.join(own, ["project_id", "domain"], "left_anti")
     existing = t.competitors.select("project_id", "domain", "label", "is_active")
     return UP.add_or_reactivate(existing, good, ["project_id", "domain"], ["label"])
 

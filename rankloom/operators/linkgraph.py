@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators.ranking import latest
-from rankloom.operators.skew import find_heavy_keys, repeated_dims, salted_facts
+from rankloom.operators.skew import find_heavy_keys, hot_rows, join_parts, other_rows
 from rankloom.session import stage
 
 EDGE = ["crawl_run_id", "from_url"]
@@ -27,15 +27,15 @@ def click_depth(seeds: DataFrame, links: DataFrame, max_rounds: int | None = Non
     """Clicks from the seeds to every reachable URL.
 
     ``seeds``: crawl_run_id, url, depth (0 homepage, 1 sitemap); ``links``: crawl_run_id,
-    from_url, to_url.  One join per level: the URLs of a level meet the edges, already visited
-    ones drop out.  Heavy source pages are found once and their edges stay salted through all
-    rounds.  Each round writes only its own new URLs to the shared folder, so plans do not grow
+    from_url, to_url.  One join per level: the URLs of a level meet the edges, those visited
+    before drop out.  Pages with very many links are found once; their edges stay apart and meet
+    a broadcast of at most 256 rows.  Each round writes only its own new URLs to the shared folder, so plans do not grow
     and a lost executor costs one round at most; the loop ends when a level is empty.
     """
     key = ["crawl_run_id", "url"]
     edges = links.select(*EDGE, "to_url").distinct()
     heavy = stage(find_heavy_keys(edges, EDGE))
-    edges = stage(salted_facts(edges, EDGE, heavy))
+    hot, other = stage(hot_rows(edges, EDGE, heavy)), stage(other_rows(edges, EDGE, heavy))
     start = stage(seeds.groupBy(*key).agg(F.min("depth").alias("depth")))
     waiting = start.where(F.col("depth") > 0)
     level_rows, levels, level = start.where(F.col("depth") == 0), [], 0
@@ -44,15 +44,17 @@ def click_depth(seeds: DataFrame, links: DataFrame, max_rounds: int | None = Non
         last = max_rounds is not None and level >= max_rounds
         if last or (level > 0 and level_rows.isEmpty()):
             break
-        sources = repeated_dims(level_rows.select("crawl_run_id", F.col("url").alias("from_url")), EDGE, heavy)
-        found = edges.join(sources, [*EDGE, "_salt"]).select("crawl_run_id", F.col("to_url").alias("url"))
+        sources = level_rows.select("crawl_run_id", F.col("url").alias("from_url"))
+        found = join_parts(hot, other, sources, EDGE, "inner", heavy).select(
+            "crawl_run_id", F.col("to_url").alias("url"))
         level += 1
         # Seeds of this depth join the level they belong to.
         due = waiting.where(F.col("depth") == level).select(*key)
-        seen = levels[0].select(*key)
-        for rows in levels[1:]:
-            seen = seen.unionByName(rows.select(*key))
-        level_rows = stage(found.unionByName(due).distinct().join(seen, key, "left_anti"))
+        # One combined aggregate tells old from new: no join, and copies merge before the shuffle.
+        marked = found.unionByName(due).withColumn("_new", F.lit(True))
+        for rows in levels:
+            marked = marked.unionByName(rows.select(*key).withColumn("_new", F.lit(False)))
+        level_rows = stage(marked.groupBy(*key).agg(F.min("_new").alias("_new")).where("_new").drop("_new"))
     reached = levels[0]
     for rows in levels[1:]:
         reached = reached.unionByName(rows)

@@ -1,10 +1,12 @@
 """Joins that hold up when one key owns a large share of the rows.
 
-A plain shuffle join sends all rows of a key to one task.  Here the heaviest keys — at most
-``MAX_HEAVY``, so the broadcast list has a fixed bound whatever the data — are split over
-several salts on the fact side and repeated once per salt on the dimension side.  All other
-keys keep salt 0.  The salt only decides where a row is processed, never whether it matches,
-so the result is that of the plain join.
+A plain shuffle join sends all rows of a key to one task.  Here the heaviest keys are taken
+out first.  There are at most ``MAX_HEAVY`` of them, and the dimension side holds one row per
+key, so the dimension rows they need are few whatever the data: those are broadcast and the
+hot fact rows are joined where they lie, without a shuffle.  All other keys take the ordinary
+join.  The two parts are disjoint and complete, so the result is that of the plain join.
+
+Without heavy keys the broadcast list is empty, and adaptive execution drops the hot branch.
 """
 
 from __future__ import annotations
@@ -14,62 +16,55 @@ from pyspark.sql import functions as F
 
 MAX_HEAVY = 256
 # Rows of one key that a single task handles comfortably.
-ROWS_PER_SALT = 500_000
-MAX_SALTS = 1024
-_SALT = "_salt"
-_PARTS = "_parts"
+HEAVY_ROWS = 500_000
 _HEAVY = "_heavy_"
 
 
-def heavy_keys(counts: DataFrame, keys: list[str], count: str = "count",
-               rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """The heaviest keys of an already aggregated ``keys, count`` table and their salt numbers."""
-    parts = F.least(F.lit(MAX_SALTS), F.ceil(F.col(count) / rows_per_salt)).cast("int")
+def heavy_keys(counts: DataFrame, keys: list[str], min_rows: int = HEAVY_ROWS) -> DataFrame:
+    """The heaviest keys of an already aggregated ``keys, count`` table."""
     # Keys are compared null-safe below, so their names are changed to keep both sides apart.
-    return (counts.where(F.col(count) > rows_per_salt)
-            .orderBy(F.desc(count)).limit(MAX_HEAVY)
-            .select(*[F.col(k).alias(_HEAVY + k) for k in keys], parts.alias(_PARTS)))
+    return (counts.where(F.col("count") > min_rows).orderBy(F.desc("count")).limit(MAX_HEAVY)
+            .select(*[F.col(k).alias(_HEAVY + k) for k in keys]))
 
 
-def find_heavy_keys(facts: DataFrame, keys: list[str],
-                    rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def find_heavy_keys(facts: DataFrame, keys: list[str], min_rows: int = HEAVY_ROWS) -> DataFrame:
     """Count rows per key (combined before the shuffle) and keep the heaviest."""
-    return heavy_keys(facts.groupBy(*keys).count(), keys, rows_per_salt=rows_per_salt)
+    return heavy_keys(facts.groupBy(*keys).count(), keys, min_rows)
 
 
-def _on_heavy(keys: list[str]) -> Column:
+def _is_heavy(keys: list[str]) -> Column:
     condition = F.lit(True)
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(_HEAVY + k))
     return condition
 
 
-def salted_facts(facts: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
-    """Give each fact row a salt; derived from its content, so a retried task repeats it."""
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.coalesce(_PARTS, F.lit(1)))
-    return (facts.join(F.broadcast(heavy), _on_heavy(keys), "left")
-            .withColumn(_SALT, spread.cast("int"))
-            .drop(_PARTS, *[_HEAVY + k for k in keys]))
+def hot_rows(rows: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
+    """Rows of the heavy keys; the key list has at most MAX_HEAVY rows."""
+    return rows.join(F.broadcast(heavy), _is_heavy(keys), "left_semi")
+
+
+def other_rows(rows: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(heavy), _is_heavy(keys), "left_anti")
 
 
-def repeated_dims(dims: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
-    """Repeat the rows of heavy keys once per salt."""
-    salts = F.sequence(F.lit(0), F.coalesce(F.col(_PARTS), F.lit(1)) - 1)
-    return (dims.join(F.broadcast(heavy), _on_heavy(keys), "left")
-            .withColumn(_SALT, F.explode(salts))
-            .drop(_PARTS, *[_HEAVY + k for k in keys]))
+def join_parts(hot: DataFrame, other: DataFrame, dims: DataFrame, keys: list[str], how: str,
+               heavy: DataFrame) -> DataFrame:
+    """Join facts that are split into hot and other rows already."""
+    # One dimension row per key: at most MAX_HEAVY rows are broadcast.
+    few = F.broadcast(hot_rows(dims, keys, heavy))
+    return hot.join(few, keys, how).unionByName(other.join(dims, keys, how))
 
 
 def skew_join(facts: DataFrame, dims: DataFrame, keys: list[str], how: str = "inner",
-              heavy: DataFrame | None = None, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """``facts.join(dims, keys, how)`` with the heavy keys of ``facts`` split.
+              heavy: DataFrame | None = None, min_rows: int = HEAVY_ROWS) -> DataFrame:
+    """``facts.join(dims, keys, how)`` with the heavy keys of ``facts`` taken out.
 
-    ``how`` is inner, left, left_semi or left_anti: each fact row meets every matching
-    dimension row exactly once.  Pass ``heavy`` where the counts are known already.
+    ``dims`` must hold one row per key; ``how`` is inner, left, left_semi or left_anti.  Pass
+    ``heavy`` where the counts are known already.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join cannot split a {how} join")
-    heavy = heavy if heavy is not None else find_heavy_keys(facts, keys, rows_per_salt)
-    return (salted_facts(facts, keys, heavy)
-            .join(repeated_dims(dims, keys, heavy), [*keys, _SALT], how)
-            .drop(_SALT))
+    heavy = heavy if heavy is not None else find_heavy_keys(facts, keys, min_rows)
+    return join_parts(hot_rows(facts, keys, heavy), other_rows(facts, keys, heavy), dims, keys,
+                      how, heavy)

@@ -34,8 +34,8 @@ def local_hits(pages: DataFrame, rules: list[Rule]) -> DataFrame:
 def duplicate_hits(pages: DataFrame) -> DataFrame:
     """Pages sharing a title, description or content hash within a run.
 
-    Copies are counted with a combined aggregate; only values seen twice come back, and a
-    value that fills a large part of a run is split over several tasks.
+    Copies are counted with a combined aggregate and only values seen twice come back; rows of a
+    value that fills a large part of a run are matched in place.
     """
     values = F.array(*[F.struct(F.lit(code).alias("code"),
                                 F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))).alias("value"))
@@ -76,8 +76,8 @@ def orphan_hits(pages: DataFrame, links: DataFrame) -> DataFrame:
 def broken_link_hits(pages: DataFrame, links: DataFrame) -> DataFrame:
     """OK pages with a link to a URL that failed in the same run.
 
-    Much-linked targets are split; the many links of one page shrink to one row before the
-    join back to the pages.
+    Links to a much-linked target are matched in place; the many links of one page shrink to
+    one row before the join back to the pages.
     """
     broken = (pages.where(F.coalesce("status_code", F.lit(0)) >= 400)
               .select(RUN, F.col("normalized_url").alias("normalized_to_url")).distinct())

@@ -233,16 +233,34 @@ def test_shared_keywords_reach_every_project_once(spark):
 
 
 def test_skew_join_equals_plain_join(spark):
-    facts = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 40}", None if i % 10 == 0 else i) for i in range(3000)], "i int, k string, v int")
+    facts = spark.createDataFrame([(i, None if i % 7 == 0 else "hot" if i % 3 else f"k{i % 40}", i % 5) for i in range(3000)], "i int, k string, v int")
     dims = spark.createDataFrame([("hot", 1), ("k3", 2), ("k9", 3)], "k string, d int")
+    heavy = skew.find_heavy_keys(facts, ["k"], 100)
+    assert {r[0] for r in heavy.collect()} == {"hot", None}
     for how in ("inner", "left", "left_semi", "left_anti"):
-        a = sorted(map(tuple, skew.skew_join(facts, dims, ["k"], how, rows_per_salt=50).select("i", "k", "v").collect()), key=str)
+        a = sorted(map(tuple, skew.skew_join(facts, dims, ["k"], how, min_rows=100).select("i", "k", "v").collect()), key=str)
         b = sorted(map(tuple, facts.join(dims, ["k"], how).select("i", "k", "v").collect()), key=str)
         assert a == b
-    heavy = skew.find_heavy_keys(facts, ["k"], 50)
-    assert heavy.where("_heavy_k = 'hot'").first()._parts == 40
-    salts = skew.salted_facts(facts, ["k"], heavy).where("k = 'hot'").groupBy("_salt").count()
-    assert salts.count() == 40
+
+
+def test_hot_values_and_targets_do_not_change_the_audit(spark, monkeypatch):
+    pages = [page(f"https://a.com/{i}", title="same" if i % 3 else f"t{i}", content_hash="" if i % 2 else "h", status_code=404 if i == 5 else 200) for i in range(60)]
+    links = [(f"https://a.com/{i}", f"https://a.com/{5 if i % 3 else i + 1}") for i in range(60)]
+    plain = hits(spark, pages, links)
+    for name in ("heavy_keys", "find_heavy_keys"):
+        monkeypatch.setitem(getattr(skew, name).__globals__, "HEAVY_ROWS", 5)
+    monkeypatch.setattr(skew.heavy_keys, "__defaults__", (5,))
+    monkeypatch.setattr(skew.find_heavy_keys, "__defaults__", (5,))
+    monkeypatch.setattr(skew.skew_join, "__defaults__", ("inner", None, 5))
+    assert hits(spark, pages, links) == plain
+
+
+def test_duplicate_marks_on_parsed_pages(spark):
+    rows = [(1, i, f"https://a.com/{i}", "<p>same</p>" if i < 3 else f"<p>{i}</p>", 200, None, "text/html", None, False) for i in range(5)]
+    fetched = spark.createDataFrame(rows, "crawl_run_id int, page_id int, url string, html string, status_code int, error string, "
+                                          "content_type string, redirect_target string, is_robots_blocked boolean")
+    marked = audit.mark_duplicates(crawl.crawl_pages(fetched))
+    assert {r.page_id for r in marked.where("is_duplicate").collect()} == {0, 1, 2}
 
 
 def test_numbered_equals_row_number(spark):
