@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.catalog.registry import Tables, query
+from rankloom.catalog.results import LATEST_CTE, RESULTS_CTE
 from rankloom.catalog.scalars import DIFFICULTY, _intent_case, opportunity_sql
-from rankloom.operators.ranking import page_of
+from rankloom.operators.ranking import latest, page_of
 from rankloom.plans import keywords as KP
+from rankloom.plans import serp
 from rankloom.session import stage
 from rankloom.sources import vendor
 
@@ -76,6 +78,30 @@ def scored_keywords(t: Tables):
                             "cpc", "competition", "provider", "difficulty", "opportunity")
 
 
+_SATURATION = f"""
+    sat AS (SELECT serp_search_id, avg(CASE WHEN len(string_split(domain, '.')) <= 2 AND length(domain) <= 20 THEN 1.0e0 ELSE 0.0e0 END) AS saturation
+            FROM results WHERE result_type = 'organic' AND position <= 10 GROUP BY serp_search_id),
+    seen AS (SELECT k.keyword_id, l.serp_search_id, row_number() OVER (PARTITION BY k.keyword_id ORDER BY l.searched_at DESC, l.serp_search_id) AS rn
+             FROM keywords k JOIN latest l ON l.project_id = k.project_id AND l.normalized_keyword = k.normalized_keyword AND l.country = k.country),
+    measured AS (SELECT keyword_id, saturation FROM seen JOIN sat ON sat.serp_search_id = seen.serp_search_id WHERE rn = 1)"""
+
+
+@query("q6_scored_with_saturation", f"""
+    WITH {KEYWORDS_CTE}, {RESULTS_CTE}, {LATEST_CTE}, {_SATURATION}
+    SELECT f.keyword_id, {DIFFICULTY.replace("0.40e0 * 0.5e0", "0.40e0 * coalesce(saturation, 0.5e0)")} AS difficulty
+    FROM facts f LEFT JOIN measured m ON m.keyword_id = f.keyword_id""")
+def scored_with_saturation(t: Tables):
+    keywords, metrics, guesses = stored(t)
+    newest = serp.latest_searches(t.searches).select(
+        "serp_search_id", "project_id", "normalized_keyword", "country", "searched_at")
+    seen = latest(keywords.select("keyword_id", "project_id", "normalized_keyword", "country")
+                  .join(newest, ["project_id", "normalized_keyword", "country"]), ["keyword_id"],
+                  [F.desc("searched_at"), F.asc("serp_search_id")])
+    measured = seen.join(KP.saturation_by_search(vendor.renumber_flat_items(t.serp_items)), "serp_search_id")
+    rows = KP.scored_keywords(keywords, metrics, guesses, measured.select("keyword_id", "saturation"))
+    return rows.select("keyword_id", "difficulty")
+
+
 @query("q7_keyword_list", f"""
     WITH {KEYWORDS_CTE}
     SELECT keyword_id, project_id, keyword, intent, search_volume, difficulty, opportunity FROM scored

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankloom.catalog.registry import Tables, half_up, query
 from rankloom.functions.numbers import rounded
+from rankloom.operators.ranking import page_of
 from rankloom.plans import rankings
 
 MOVEMENT_CTE = """
@@ -36,6 +37,14 @@ def movement_list(t: Tables):
         "previous_rank", "change", "best_rank", "worst_rank", "observations")
 
 
+@query("l7_tracked_page", """
+    SELECT tracked_keyword_id, project_id, keyword FROM {tracked_keywords} WHERE is_active
+    ORDER BY keyword, tracked_keyword_id LIMIT 100 OFFSET 100""")
+def tracked_page(t: Tables):
+    rows = t.tracked_keywords.where("is_active").select("tracked_keyword_id", "project_id", "keyword")
+    return page_of(rows, rankings.name_order(), page=2, size=100)
+
+
 @query("q11_rank_history", """
     SELECT tracked_keyword_id, event_id, rank, ranking_url FROM {rank_observations}
     WHERE observed_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 14 DAY""")

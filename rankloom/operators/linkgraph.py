@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators.ranking import latest
 from rankloom.operators.skew import find_heavy_keys, hot_rows, join_parts, other_rows
-from rankloom.session import stage
+from rankloom.session import shared_folder, stage
 
 EDGE = ["crawl_run_id", "from_url"]
 
@@ -32,30 +35,37 @@ def click_depth(seeds: DataFrame, links: DataFrame, max_rounds: int | None = Non
     a broadcast of at most 256 rows.  Each round writes only its own new URLs to the shared folder, so plans do not grow
     and a lost executor costs one round at most; the loop ends when a level is empty.
     """
+    spark = seeds.sparkSession
     key = ["crawl_run_id", "url"]
-    edges = links.select(*EDGE, "to_url").distinct()
+    folder = f"{shared_folder(spark)}/depth-{uuid.uuid4().hex}"
+    start = stage(seeds.groupBy(*key).agg(F.min("depth").cast("int").alias("depth")))
+    edges = stage(links.select(*EDGE, "to_url").distinct())
     heavy = stage(find_heavy_keys(edges, EDGE))
-    hot, other = stage(hot_rows(edges, EDGE, heavy)), stage(other_rows(edges, EDGE, heavy))
-    start = stage(seeds.groupBy(*key).agg(F.min("depth").alias("depth")))
-    waiting = start.where(F.col("depth") > 0)
-    level_rows, levels, level = start.where(F.col("depth") == 0), [], 0
-    while True:
-        levels.append(level_rows.withColumn("depth", F.lit(level)))
-        last = max_rounds is not None and level >= max_rounds
-        if last or (level > 0 and level_rows.isEmpty()):
-            break
-        sources = level_rows.select("crawl_run_id", F.col("url").alias("from_url"))
+    hot = hot_rows(edges, EDGE, heavy)
+    # Laid out by source once: the rounds below shuffle only the frontier, never the edges.
+    other = other_rows(edges, EDGE, heavy).repartition(*EDGE).persist(StorageLevel.DISK_ONLY)
+
+    def level_rows(level: int) -> DataFrame:
+        return spark.read.schema(start.select(*key).schema).parquet(f"{folder}/depth={level}")
+
+    def reached() -> DataFrame:
+        return spark.read.schema(start.schema).parquet(folder)
+
+    start.where(F.col("depth") == 0).select(*key).write.parquet(f"{folder}/depth=0")
+    level, last_seed = 0, start.agg(F.max("depth")).first()[0] or 0
+    while max_rounds is None or level < max_rounds:
+        sources = level_rows(level).select("crawl_run_id", F.col("url").alias("from_url"))
         found = join_parts(hot, other, sources, EDGE, "inner", heavy).select(
             "crawl_run_id", F.col("to_url").alias("url"))
         level += 1
         # Seeds of this depth join the level they belong to.
-        due = waiting.where(F.col("depth") == level).select(*key)
+        due = start.where(F.col("depth") == level).select(*key)
         # One combined aggregate tells old from new: no join, and copies merge before the shuffle.
-        marked = found.unionByName(due).withColumn("_new", F.lit(True))
-        for rows in levels:
-            marked = marked.unionByName(rows.select(*key).withColumn("_new", F.lit(False)))
-        level_rows = stage(marked.groupBy(*key).agg(F.min("_new").alias("_new")).where("_new").drop("_new"))
-    reached = levels[0]
-    for rows in levels[1:]:
-        reached = reached.unionByName(rows)
-    return reached.select(*key, "depth")
+        marked = (found.unionByName(due).withColumn("_new", F.lit(True))
+                  .unionByName(reached().select(*key).withColumn("_new", F.lit(False))))
+        fresh = marked.groupBy(*key).agg(F.min("_new").alias("_new")).where("_new").select(*key)
+        fresh.write.parquet(f"{folder}/depth={level}")
+        if level >= last_seed and level_rows(level).isEmpty():
+            break
+    other.unpersist()
+    return reached()

@@ -88,9 +88,17 @@ def keyword_facts(keywords: DataFrame, metrics: DataFrame, intents: DataFrame) -
             .drop("best_intent", "metric_intent"))
 
 
-def scored_keywords(keywords: DataFrame, metrics: DataFrame, intents: DataFrame) -> DataFrame:
-    """Every stored keyword with its scores (Q6)."""
-    return with_scores(keyword_facts(keywords, metrics, intents))
+def scored_keywords(keywords: DataFrame, metrics: DataFrame, intents: DataFrame,
+                    saturation: DataFrame | None = None) -> DataFrame:
+    """Every stored keyword with its scores (Q6).
+
+    Result saturation counts as 0.5 unless ``saturation`` (keyword_id, saturation) brings the
+    measured one.
+    """
+    facts = keyword_facts(keywords, metrics, intents)
+    if saturation is None:
+        return with_scores(facts)
+    return with_scores(facts.join(saturation, "keyword_id", "left"), saturation=F.col("saturation"))
 
 
 def keyword_list(scored: DataFrame, search: str | None = None, intent: str | None = None,

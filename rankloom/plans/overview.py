@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +73,11 @@ REPORT_SECTIONS = {
 }
 
 
+def report(kind: str, builders: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """The section tables of a report type; only its own builders run (Q31)."""
+    return {title: builders[title]() for title in REPORT_SECTIONS[kind]}
+
+
 def section_project(projects: DataFrame) -> DataFrame:
     fields = ["name", "domain", "country", "language", "device"]
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])

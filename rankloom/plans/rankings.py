@@ -40,6 +40,11 @@ def movement_list(tracked: DataFrame, observations: DataFrame) -> DataFrame:
             .withColumn("observations", F.coalesce("observations", F.lit(0))))
 
 
+def name_order() -> list[Column]:
+    """Listing order by keyword."""
+    return [F.asc("keyword"), F.asc("tracked_keyword_id")]
+
+
 def current_rank(observations: DataFrame) -> DataFrame:
     """Newest observation per tracked keyword, its rank possibly null."""
     return latest(observations, ["tracked_keyword_id"], newest_first()).select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
 from rankloom.functions import urls as U
+from rankloom.session import spread
 
 _TAGS = r"(?i)<(title|meta|link|img|a|html)\b" + T.ATTRS + r">"
 _ATTR = r"([^\s=>\"'/]+)\s*=\s*(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)"
@@ -78,7 +79,7 @@ def with_page_parts(pages: DataFrame, url: str = "url", body: str = "html") -> D
         _extract_all(F.col("_clean"), _H1, 1),
         lambda h: F.array_join(F.filter(F.transform(F.split(h, T.ANY_TAG), lambda s: F.trim(s)),
                                         lambda s: s != ""), " "))
-    return (pages.withColumn("_bare", T.without_raw_blocks(markup))
+    return (spread(pages).withColumn("_bare", T.without_raw_blocks(markup))
             .withColumn("_clean", F.regexp_replace("_bare", T.COMMENT, ""))
             .withColumn("_base", U.url_parts(F.col(url)))
             .withColumn("_host", U.fold_www(U.host_of(F.col(url))))

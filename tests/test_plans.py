@@ -332,3 +332,18 @@ def test_replacing_a_run_keeps_the_others(spark, tmp_path):
     assert {(r.crawl_run_id, r.url) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "c")}
     files.append_rows(spark.createDataFrame([(3, "d")], "crawl_run_id int, url string"), str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 1
+
+
+def test_stored_tables(spark, tmp_path):
+    from rankloom import schemas
+
+    root = str(tmp_path)
+    for name, ddl in schemas.TABLES.items():
+        empty = spark.createDataFrame([], ddl)
+        assert set(schemas.NATURAL_KEYS.get(name, [])) <= set(empty.columns)
+        assert set(schemas.PARTITIONS.get(name, [])) <= set(empty.columns)
+    rows = spark.createDataFrame([("p", at(1).date(), "q", "usa", "D", 1, 2, 0.5, 3.0)] * 2 + [("p", at(2).date(), "q", "usa", "D", 1, 2, 0.5, 3.0)],
+                                 schemas.TABLES["gsc_query_data"])
+    schemas.write_table(rows, root, "gsc_query_data")
+    assert schemas.read_table(spark, root, "gsc_query_data", date=at(2).date()).count() == 1
+    assert schemas.duplicate_keys(schemas.read_table(spark, root, "gsc_query_data"), "gsc_query_data").count() == 1
