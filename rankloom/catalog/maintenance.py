@@ -130,4 +130,4 @@ def export_state(t: Tables):
     n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY organization_id) AS nth FROM b)
     SELECT organization_id, CASE WHEN nth = 1 THEN base ELSE base || '-' || CAST(nth AS VARCHAR) END AS slug FROM n""")
 def slugs(t: Tables):
-    return usage.slugs(t.signups, step=256).select("organization_id", "slug")
+    return usage.slugs(t.signups).select("organization_id", "slug")

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankloom.operators.skew import HEAVY_ROWS, find_heavy_keys, hot_rows, other_rows
+from rankloom.session import stage
+
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int,
           rank: str | None = None) -> DataFrame:
@@ -26,25 +29,46 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_n(df, keys, order, 1)
 
 
-def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
-             out: str) -> DataFrame:
-    """``row_number`` over whole groups of any size.
+def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str,
+             min_rows: int = HEAVY_ROWS) -> DataFrame:
+    """``row_number`` over whole groups of any size.
+
+    Groups of ordinary size are numbered by a plain window.  The few heavy ones are sorted over
+    many tasks instead: see ``_numbered_by_range``.  The list of heavy keys is fetched — at most
+    256 rows — so that without any, the plan is just the window.
+    """
+    plain = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    heavy = find_heavy_keys(df, keys, min_rows)
+    found = heavy.collect()
+    if not found:
+        return df.withColumn(out, plain)
+    heavy = df.sparkSession.createDataFrame(found, heavy.schema)
+    return (other_rows(df, keys, heavy).withColumn(out, plain)
+            .unionByName(_numbered_by_range(hot_rows(df, keys, heavy), keys, order, out)))
+
+
+def _numbered_by_range(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """Numbering of groups too large for one task.
 
-    ``bucket`` is a coarse value that grows with ``order``.  Rows are counted per (group,
-    bucket), the counts are summed up over the buckets of a group, and rows are numbered
-    only inside their own bucket — no window ever spans a whole group of rows.  Join and
-    window share the (group, bucket) partitioning, so the rows are shuffled once.  Keys and
-    bucket must not be null.
+    Rows are range-partitioned by key and order, which cuts a large group into even slices,
+    and stored with their slice number.  A slice starts where the earlier slices of its group
+    end; those sums need one row per group and slice.  Full copies are kept apart by a row id.
     """
-    rows = df.withColumn("_bucket", bucket)
-    sizes = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_bucket",
-                           F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    joined = rows.join(offsets, [*keys, "_bucket"])
-    inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
-    return (joined.withColumn(out, (inside + F.col("_before")).cast("int"))
-            .select(*df.columns, out))
+    rows = stage(df).withColumn("_id", F.monotonically_increasing_id())
+    ordered = [*[F.col(k) for k in keys], *order, F.col("_id")]
+    slices = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sliced = stage(rows.repartitionByRange(slices, *ordered).withColumn("_slice", F.spark_partition_id()))
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    starts = (sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_size"))
+              .select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_slice").alias("_key_slice"),
+                      F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")))
+    # Null-safe: a missing key is a group of its own, as in a window.
+    same = F.col("_slice") == F.col("_key_slice")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*order, F.col("_id")))
+    return (sliced.join(starts, same)
+            .withColumn(out, (inside + F.col("_before")).cast("int")).select(*df.columns, out))
 
 
 def page_of(df: DataFrame, order: list[Column], page: int = 1, size: int = 50) -> DataFrame:

@@ -62,8 +62,7 @@ def sparkline(observations: DataFrame) -> DataFrame:
     ranked = observations.where(F.col("rank").isNotNull())
     bounds = ranked.groupBy("tracked_keyword_id").agg(
         F.count("*").alias("_n"), F.min("rank").alias("_low"), F.max("rank").alias("_high"))
-    points = numbered(ranked, ["tracked_keyword_id"], F.date_trunc("hour", F.col("observed_at")),
-                      [F.asc("observed_at"), F.asc("event_id")], "point")
+    points = numbered(ranked, ["tracked_keyword_id"], [F.asc("observed_at"), F.asc("event_id")], "point")
     span = F.greatest(F.lit(1), F.col("_high") - F.col("_low"))
     return (points.join(bounds, "tracked_keyword_id")
             .withColumn("x", (F.col("point") - 1) / F.greatest(F.lit(1), F.col("_n") - 1) * 100)

@@ -91,10 +91,7 @@ def _shared_candidates(shared: DataFrame, tracked: DataFrame, projects: DataFram
     organisation, so each project asks for just that many places: the output is linear in
     projects and tracked keywords, and no (keyword, project) product is formed.
     """
-    # Opportunity has one decimal, so the bucket grows with the order by score and keyword.
-    bucket = F.concat(F.lpad((1000 - F.round(F.col("opportunity") * 10)).cast("int").cast("string"), 4, "0"),
-                      F.substring("keyword", 1, 4))
-    ranked = numbered(shared, ["organization_id"], bucket, best_first(), "place")
+    ranked = numbered(shared, ["organization_id"], best_first(), "place")
     sizes = shared.groupBy("organization_id").agg(F.count("*").alias("_size"))
     held = tracked.groupBy("project_id").agg(F.count("*").alias("_held"))
     quota = (projects.where(~F.col("is_deleted")).select("organization_id", "project_id")

@@ -71,14 +71,13 @@ def scope(rows: DataFrame, projects: DataFrame) -> DataFrame:
     return rows.join(live, ["project_id", "organization_id"], "left_semi")
 
 
-def slugs(names: DataFrame, key: str = "organization_id", step: int = 4096) -> DataFrame:
+def slugs(names: DataFrame, key: str = "organization_id") -> DataFrame:
     """Unique slug per organisation: base, then base-2, base-3 … by id.
 
-    Numbering runs per slice of ids, so a name that a third of all organisations share is not
-    numbered by one task.
+    A name that very many organisations share is numbered by many tasks.
     """
     rows = names.withColumn("slug_base", S.slug_base(F.col("name")))
-    counted = numbered(rows, ["slug_base"], F.floor(F.col(key) / step), [F.asc(key)], "nth")
+    counted = numbered(rows, ["slug_base"], [F.asc(key)], "nth")
     return counted.withColumn("slug", F.when(F.col("nth") == 1, F.col("slug_base")).otherwise(
         F.concat("slug_base", F.lit("-"), F.col("nth").cast("string"))))
 

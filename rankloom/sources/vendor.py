@@ -67,12 +67,10 @@ def serp_features(payloads: DataFrame, key: str = "serp_search_id",
 def renumber_flat_items(items: DataFrame, key: str = "serp_search_id") -> DataFrame:
     """S6 for items that arrive as one row each instead of one array per search.
 
-    The numbering works bucket by bucket of the vendor position, so a search with very many
-    rows is not pulled into one task.
+    A search with very many rows is numbered by many tasks.
     """
     order = [F.asc("rank_absolute"), F.asc("url"), F.asc("domain"), F.asc("item_id")]
-    organic = numbered(items.where(F.col("result_type") == "organic"), [key],
-                       F.col("rank_absolute"), order, "position")
+    organic = numbered(items.where(F.col("result_type") == "organic"), [key], order, "position")
     paid = items.where(F.col("result_type") == "paid").withColumn("position", F.col("rank_absolute"))
     return organic.unionByName(paid)
 

@@ -263,12 +263,18 @@ def test_duplicate_marks_on_parsed_pages(spark):
     assert {r.page_id for r in marked.where("is_duplicate").collect()} == {0, 1, 2}
 
 
-def test_numbered_equals_row_number(spark):
-    rows = spark.createDataFrame([(i % 2, (i * 7919) % 1000, i) for i in range(2000)], "g int, o int, i int")
-    got = numbered(rows, ["g"], F.floor(F.col("o") / 50), [F.asc("o"), F.asc("i")], "n").collect()
-    for g in (0, 1):
-        ordered = sorted((r for r in got if r.g == g), key=lambda r: (r.o, r.i))
-        assert [r.n for r in ordered] == list(range(1, 1001))
+@pytest.mark.parametrize("min_rows", [100, 10_000])
+def test_numbered_equals_row_number(spark, min_rows):
+    # The group without a key is heavy in the first round and full of copies.
+    data = [(None if i % 4 else 1 + i % 3, (i * 7919) % 50, "copy" if i % 2 else f"u{i:05d}") for i in range(2000)]
+    rows = spark.createDataFrame(data, "g int, o int, u string")
+    got = numbered(rows, ["g"], [F.asc("o"), F.desc("u")], "n", min_rows=min_rows).collect()
+    assert len(got) == 2000
+    for g in (None, 1, 2, 3):
+        numbers = {r.n: (r.o, r.u) for r in got if r.g == g}
+        plain = sorted((d[1:] for d in data if d[0] == g), key=lambda d: d[1], reverse=True)
+        plain.sort(key=lambda d: d[0])
+        assert [numbers[i + 1] for i in range(len(plain))] == plain
 
 
 def test_click_depth_equals_breadth_first_search(spark):
