@@ -24,21 +24,27 @@ def find_ranks(results: DataFrame, searches: DataFrame, targets: DataFrame,
     """Best organic rank and URL of each target domain in each search of its project.
 
     A result belongs to a target when the www-folded hosts are equal or one is a subdomain of
-    the other.  That suffix test becomes one equi-join: results offer all suffixes of their
-    host, targets offer themselves (met by any suffix) and their parent domains (met only by a
-    whole host), so each pair can meet just once.
+    the other.  That suffix test becomes one equi-join without false partners: a result offers
+    every suffix of its host to the targets themselves, and its whole host to the parent domains
+    of the targets.  Each pair can meet just once, and a top-level domain meets nobody.
     """
-    probes = (_results_with_project(results, searches)
-              .select("serp_search_id", "project_id", "position", "url", "host",
-                      F.explode(U.host_suffixes(F.col("host"))).alias("probe")))
-    folded = U.fold_www(F.col("domain"))
+    def key(probe: Column, kind: str) -> Column:
+        return F.struct(probe.alias("probe"), F.lit(kind).alias("kind"))
+
+    hits = _results_with_project(results, searches)
+    offered = F.concat(F.transform(U.host_suffixes(F.col("host")), lambda s: key(s, "target")),
+                       F.array(key(F.col("host"), "parent")))
+    probes = hits.select("serp_search_id", "project_id", "position", "url",
+                         F.explode(offered).alias("k")).select("*", "k.*").drop("k")
+    suffixes = U.host_suffixes(F.col("domain"))
+    wanted = F.transform(suffixes, lambda s, i: key(s, "parent").withField(
+        "kind", F.when(i == 0, "target").otherwise("parent")))
     offers = (targets.where(F.col("domain") != "")
-              .select("project_id", target_id, folded.alias("_target"),
-                      F.explode(U.host_suffixes(F.col("domain"))).alias("probe")))
+              .select("project_id", target_id, F.explode(wanted).alias("k"))
+              .select("project_id", target_id, "k.*"))
     # Small target lists are broadcast by their measured size; larger ones are shuffled, and
     # adaptive execution splits a host that holds a large share of the results.
-    met = probes.join(offers, ["project_id", "probe"]).where(
-        (F.col("probe") == F.col("_target")) | (F.col("probe") == F.col("host")))
+    met = probes.join(offers, ["project_id", "probe", "kind"])
     best = F.min(F.struct("position", "url"))
     return (met.groupBy("serp_search_id", "project_id", target_id).agg(best.alias("best"))
             .select("serp_search_id", "project_id", target_id,
