@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankloom.catalog.pages import TEXT_SQL, TITLE_SQL
+from rankloom.catalog.pages import TEXT_SQL, TITLE_SQL, UNESCAPE_SQL
 from rankloom.catalog.registry import Tables, half_up, query
 from rankloom.functions.scores import BUCKET_WEIGHTS, CATEGORY_BUCKET
 from rankloom.operators.ranking import page_of
 from rankloom.operators.rules import rule_table, upsert_rules
 from rankloom.plans import audit, crawl
 from rankloom.session import stage
+from rankloom.sinks.files import view_rows
 
 CRAWLED_CTE = f"""
     crawled AS (
@@ -249,3 +250,21 @@ def latest_runs(t: Tables):
     SELECT crawl_run_id, project_id, status FROM {crawl_runs} ORDER BY created_at DESC, crawl_run_id DESC LIMIT 20 OFFSET 20""")
 def newest_runs(t: Tables):
     return page_of(t.crawl_runs, crawl.newest_runs_order(), page=2, size=20).select("crawl_run_id", "project_id", "status")
+
+
+@query("k12_issue_export", f"""
+    WITH {ISSUES_CTE} SELECT severity, code AS rule, name, message, affected_count AS urls, count(*) AS copies FROM issues GROUP BY ALL""")
+def issue_export(t: Tables):
+    rows = view_rows(issues_of(t), "issues").drop("recommendation")
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+
+
+@query("k12_page_export", f"""
+    WITH {CRAWLED_CTE}
+    SELECT p.url, p.status_code, indexability, title,
+           CASE WHEN NOT parsed THEN NULL WHEN p.page_id % 6 < 2 THEN 'Second head ing' ELSE
+                trim({UNESCAPE_SQL.format("regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)")}) END AS h1,
+           CAST(word_count AS INTEGER) AS words, p.response_time_ms AS latency_ms
+    FROM pg p JOIN crawled c ON c.page_id = p.page_id""")
+def page_export(t: Tables):
+    return view_rows(audit.page_list(crawl.crawl_pages(t.fetched_pages)), "pages")

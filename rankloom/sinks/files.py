@@ -44,10 +44,10 @@ def write_report(sections: dict[str, DataFrame], path: str, partition: str | Non
 VIEW_COLUMNS = {
     "keywords": {"keyword": "keyword", "intent": "intent", "volume": "search_volume", "cpc": "cpc",
                  "difficulty": "difficulty", "opportunity": "opportunity", "provider": "provider"},
-    "issues": {"rule": "code", "severity": "severity", "category": "category",
-               "affected": "affected_count", "message": "message"},
-    "pages": {"url": "url", "status": "status_code", "title": "title",
-              "indexability": "indexability", "words": "word_count", "depth": "depth"},
+    "issues": {"severity": "severity", "rule": "code", "name": "name", "message": "message",
+               "urls": "affected_count", "recommendation": "advice"},
+    "pages": {"url": "url", "status_code": "status_code", "indexability": "indexability",
+              "title": "title", "h1": "h1", "words": "word_count", "latency_ms": "response_time_ms"},
 }
 
 
