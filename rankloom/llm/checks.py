@@ -30,3 +30,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+# A run of 40 words that occurs earlier is covered by shortest windows of whole lines that hold 40 words.
+OP7 = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents
+           WHERE text IS NOT NULL),
+w AS (SELECT *, CASE WHEN trim(body) = '' THEN 0 ELSE len(regexp_split_to_array(trim(body), '\\s+')) END AS words FROM l),
+s AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY line) AS up_to FROM w),
+g AS (SELECT a.doc_id, a.line, min(b.line) + 1 AS e FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.line >= a.line
+      AND b.up_to - a.up_to + a.words >= 40 GROUP BY ALL),
+t AS (SELECT g.doc_id, g.line, g.e, md5(array_to_string(string_split(d.text, chr(10))[g.line + 1:g.e], chr(10))) AS body
+      FROM g JOIN documents d USING (doc_id)),
+f AS (SELECT *, first_value(doc_id) OVER o AS fd, first_value(line) OVER o AS fl, row_number() OVER o AS k FROM t
+      WINDOW o AS (PARTITION BY body ORDER BY doc_id, line)),
+x AS (SELECT doc_id, unnest(range(CASE WHEN doc_id = fd THEN greatest(line, fl + e - line) ELSE line END, e)) AS line
+      FROM f WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, line FROM x),
+kept AS (SELECT l.doc_id, count(*) AS before, count(gone.line) AS removed,
+                string_agg(body, chr(10) ORDER BY l.line) FILTER (WHERE gone.line IS NULL) AS body
+         FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.line = gone.line GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(before, 0) AS BIGINT) AS lines_before, CAST(coalesce(removed, 0) AS BIGINT) AS lines_removed,
+       CASE WHEN d.text IS NOT NULL THEN coalesce(body, '') END AS text
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""

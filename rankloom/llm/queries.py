@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import checks, decontaminate, minhash, quality
+from rankloom.llm import checks, decontaminate, linededup, minhash, quality
 from rankloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +24,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
 CHECKS: dict[str, str] = {
     "op1_decontamination": checks.OP1,
+    "op7_line_dedup": checks.OP7,
 }
