@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import checks, decontaminate, linededup, minhash, quality
+from rankloom.llm import checks, decontaminate, linededup, minhash, packing, quality
 from rankloom.llm.common import table
 
+#: The installed package that holds vocabulary files; a path is a parameter of the operators.
+WORD_VOCABULARY, WORD_END = public_tokenizers.path("word_bpe_49k.json"), 1
+BYTE_VOCABULARY, BYTE_END = public_tokenizers.path("byte_bpe_50k.json"), 0
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,10 +33,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(table(spark, sf_dir, "documents"), WORD_VOCABULARY, WORD_END)
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op9_packing": op9_packing,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
