@@ -16,9 +16,10 @@ _BLOCK = 32768
 
 
 def begin(spark: SparkSession) -> SparkSession:
-    """Job settings; Arrow batches of few rows, as one text may be long."""
+    """Job settings; small Arrow batches, as one text may be long."""
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark
 
 

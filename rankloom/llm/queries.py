@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import checks, decontaminate, linededup, minhash, packing, quality
+from rankloom.llm import checks, decontaminate, linededup, minhash, packing, quality, tokenfile
 from rankloom.llm.common import table
 
 #: The installed package that holds vocabulary files; a path is a parameter of the operators.
@@ -37,8 +37,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"), WORD_VOCABULARY, WORD_END)
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.report(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, BYTE_END)
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op3_token_files": op3_token_files,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op9_packing": op9_packing,
