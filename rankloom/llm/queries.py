@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import checks, decontaminate, linededup, minhash, packing, quality, tokenfile
+from rankloom.llm import checks, decontaminate, licenses, linededup, minhash, packing, quality, tokenfile
 from rankloom.llm.common import table
 
 #: The installed package that holds vocabulary files; a path is a parameter of the operators.
@@ -41,11 +41,16 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.report(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, BYTE_END)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op3_token_files": op3_token_files,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_quality_classifier": op10_quality_classifier,
 }
