@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import checks, decontaminate, licenses, linededup, minhash, packing, quality, tokenfile, urlfilter
+from rankloom.llm import checks, decontaminate, licenses, linededup, minhash, packing, pii, quality, tokenfile, urlfilter
 from rankloom.llm.common import table
 
 #: The installed package that holds vocabulary files; a path is a parameter of the operators.
@@ -49,11 +49,16 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.report(table(spark, sf_dir, "pages"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op3_token_files": op3_token_files,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_url_filter": op5_url_filter,
+    "op6_pii": op6_pii,
     "op7_line_dedup": op7_line_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
@@ -63,5 +68,6 @@ QUERIES: dict[str, Query] = {
 CHECKS: dict[str, str] = {
     "op1_decontamination": checks.OP1,
     "op5_url_filter": op5_url_filter,
+    "op6_pii": op6_pii,
     "op7_line_dedup": checks.OP7,
 }

@@ -64,3 +64,29 @@ def contamination(text, items: dict, span: int = 10):
                 hit.update(range(i, i + n))
                 met.add(str(item))
     return len(w), len(hit), sorted(met)
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def private_spans(text):
+    """Base spans as kind:start:end, by kind, then start."""
+    text, out = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", m))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", m))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 16 <= len(d) <= 19 and luhn(d):
+            out.append(("card", m))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append(("phone", m))
+    return [f"{k}:{m.start()}:{m.end()}" for k, m in out]
