@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import checks, decontaminate, licenses, linededup, minhash, packing, pii, quality, tokenfile, urlfilter
+from rankloom.llm import checks, decontaminate, licenses, linededup, minhash, neighbours, packing, pii, quality, tokenfile, urlfilter
 from rankloom.llm.common import table
 
 #: The installed package that holds vocabulary files; a path is a parameter of the operators.
@@ -53,8 +53,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_token_files": op3_token_files,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_url_filter": op5_url_filter,
