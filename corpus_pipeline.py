@@ -1,25 +1,51 @@
-"""A training-corpus pipeline over ``documents``: each stage calls one operator of ``rankloom.llm``."""
+"""A training-corpus pipeline over ``documents``: each stage calls one operator of ``rankloom.llm``.
+
+Each stage works on all that the one before kept.  Documents that the classifier rejects go; later
+copies of repeated line runs are deleted, and documents with nothing left go; of each group of near
+copies the smallest doc_id stays; documents with a benchmark window go; the rest is packed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import decontaminate
+from rankloom.llm import decontaminate, linededup, minhash, packing, quality
 from rankloom.llm.common import begin, stage, table
+from rankloom.llm.queries import WORD_END, WORD_VOCABULARY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.accepted(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.with_lines_left(docs).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles at a similarity of 0.8."""
+    return minhash.one_of_each(docs, size=5, percent=80).select(*COLUMNS)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pieces(docs, WORD_VOCABULARY, WORD_END)
+
+
 STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
+    ("packing", pack),
 ]
 
-#: The stages are not all expressible in SQL; tests hold run() against a brute-force version.
+#: The classifier's and the packer's results are not expressible in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
