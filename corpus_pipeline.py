@@ -8,6 +8,7 @@ copies the smallest doc_id stays; documents with a benchmark window go; the rest
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rankloom.llm import decontaminate, linededup, minhash, packing, quality
 from rankloom.llm.common import begin, stage, table
@@ -21,7 +22,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.with_lines_left(docs).select(*COLUMNS)
+    return linededup.with_lines_left(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
