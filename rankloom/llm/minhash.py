@@ -9,8 +9,8 @@ concentration bounds of t independent hashes, for O(n + t log t) hash evaluation
 Bands of ``rows`` coordinates are taken as many as needed for a pair at the threshold to share none
 with a probability of at most ``miss``.  Equal shingle sets are one class and only classes are compared.  In each
 bucket all classes are compared with the one that shares most buckets with others, and confirmed on
-whole sets.  Whatever then still lies in one bucket but in different components is compared pair by
-pair, within the bound that sizes put on the similarity, so no candidate is left out.
+whole sets.  Whatever then still lies in one bucket but in different components is compared
+block by block inside tasks that return only links, so no candidate is left out.
 
 Texts with no words (null, empty, white space) have an empty set and no link.  Repeated rows of one
 ``doc_id`` must be equal in text; each gets its row back.
@@ -130,6 +130,84 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ga", "gb").mapInArrow(scan, "a bigint, b bigint")
 
 
+def _forest(names: list, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple]:
+    """Links between members of different sides (or of side 0 alone) that join all that are linked."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    column = np.cumsum(np.concatenate([[0], tokens[1:] != tokens[:-1]]))
+    common = np.bincount(column)[column] > 1
+    column, owner = column[common], owner[common]
+    rows, cols = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(n), np.arange(n))
+    both = np.zeros((len(rows), len(cols)), np.float32)
+    # Sets as 0/1 rows, some thousand shingles at a time: products are the sizes of intersections.
+    edges = np.searchsorted(column, np.arange(0, column[-1] + 4097, 4096)) if len(column) else np.zeros(1, int)
+    for a, b in zip(edges[:-1], edges[1:]):
+        part = np.zeros((n, 4096), np.float32)
+        part[owner[a:b], column[a:b] % 4096] = 1
+        both += part[rows] @ part[cols].T
+    linked = 100 * both >= percent * (sizes[rows][:, None] + sizes[cols][None, :] - both)
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(linked).tolist():
+        x, y = root(int(rows[i])), root(int(cols[j]))
+        if x != y:
+            parent[x] = y
+            out.append((names[rows[i]], names[cols[j]]))
+    return out
+
+
+def linked_in_families(docs: DataFrame, members: DataFrame, size: int, percent: int, block: int = 512) -> DataFrame:
+    """Links (a, b) within families: classes joined through buckets whose members are not yet one component.
+
+    A family is cut into blocks of about ``block`` members, and a task holds two blocks.  All their
+    pairs are compared there, but only links come out, at most one fewer than there are members.
+    """
+    lowest = members.groupBy("bucket").agg(F.min("id").alias("low"))
+    family = components(members.join(lowest, "bucket").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
+    ids = members.select("id").distinct()
+    named = stage(ids.join(family, ids.id == family.node, "left").select("id", F.coalesce("root", "id").alias("family")))
+    held = named.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    grid = (named.join(held, "family").withColumn("own", own)
+            .select("id", "family", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            .select("id", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                    F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")))
+    sets = stage(sets_of(docs, named.select("id"), size)).dropDuplicates(["id"])
+    tasks = grid.join(sets, "id").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, names, held_sets, sides = None, [], [], []
+
+        def links() -> pa.RecordBatch:
+            found = _forest(names, held_sets, np.array(sides), percent) if len(names) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())],
+                                              names=["a", "b"])
+
+        for batch in batches:
+            for name, f, i, j, side, grams in zip(*(batch[c].to_pylist() for c in ("id", "family", "i", "j", "side", "grams"))):
+                if (f, i, j) != at:
+                    if at:
+                        yield links()
+                    at, names, held_sets, sides = (f, i, j), [], [], []
+                names.append(name)
+                held_sets.append(np.frombuffer(grams, np.uint64))
+                sides.append(side)
+        if at:
+            yield links()
+
+    return tasks.select("id", "family", "i", "j", "side", "grams").mapInArrow(scan, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id) of every row."""
     begin(docs.sparkSession)
@@ -149,15 +227,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     sets = stage(sets_of(docs, star.select(F.explode(F.array("a", "b")).alias("id")), size))
     links = stage(verified(star, sets.dropDuplicates(["id"]), percent))
     roots = components(links)
-    rooted = famed.join(roots, famed.id == roots.node, "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
+    rooted = famed.join(roots, famed.id == roots.node, "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     open_ = stage(rooted.join(split, "bucket"))
-    left = open_.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = open_.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = stage(left.join(right, "bucket").where(f"a < b AND ra <> rb AND {alike}").select("a", "b").distinct()
-                 .join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = stage(sets_of(docs, rest.select(F.explode(F.array("a", "b")).alias("id")), size))
-    found = stage(links.select("a", "b").unionByName(verified(rest, more.dropDuplicates(["id"]), percent)))
+    found = stage(links.select("a", "b").unionByName(linked_in_families(docs, open_, size, percent)))
     named = classes.select("digest", F.col("id").alias("class_id"))
     final = components(found)
     joined = signed.drop("bands").join(named, "digest", "left").join(final, F.col("class_id") == final.node, "left")
