@@ -153,10 +153,14 @@ def keyword_metrics(t: Tables):
 
 
 @query("s10_suggestion_batch", """
-    SELECT p_partkey AS seq, p_name AS keyword FROM part WHERE p_partkey % 9 > 0 ORDER BY p_partkey DESC LIMIT 1000""")
+    SELECT seq, keyword, request FROM (
+        SELECT p_partkey AS seq, p_name AS keyword, p_partkey % 7 AS request,
+               row_number() OVER (PARTITION BY p_partkey % 7 ORDER BY p_partkey DESC) AS rn
+        FROM part WHERE p_partkey % 9 > 0) WHERE rn <= 1500""")
 def suggestions(t: Tables):
     rows = vendor.keyword_metrics(_vendor_items(t))
-    return vendor.suggestion_batch(rows, [F.desc("seq")], 5000).select("seq", "keyword")
+    asked = rows.withColumn("request", F.col("seq") % 7)
+    return vendor.suggestion_batch(asked, ["request"], [F.desc("seq")], 1500).select("seq", "keyword", "request")
 
 
 @query("q9_keyword_research", f"""

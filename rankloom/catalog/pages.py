@@ -9,7 +9,6 @@ from rankloom.functions import urls as U
 from rankloom.functions.text import content_hash
 from rankloom.operators import linkgraph
 from rankloom.plans import audit, crawl
-from rankloom.session import spread
 from rankloom.sources import html, robots
 
 # Text of a page the way RE2 can say it; the given pages hold four different entities.
@@ -119,7 +118,7 @@ def inbound_links(t: Tables):
     WITH h AS (SELECT doc_id, source, sha256(lower(trim(regexp_replace(text, '[\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')))) AS content_hash FROM documents)
     SELECT doc_id, content_hash, count(*) OVER (PARTITION BY content_hash) > 1 AS is_duplicate FROM h""")
 def duplicate_documents(t: Tables):
-    docs = spread(t.documents.select("doc_id", "text")).select("doc_id", F.lit(1).alias("crawl_run_id"), content_hash(F.col("text")).alias("content_hash"))
+    docs = t.documents.select("doc_id", "text").select("doc_id", F.lit(1).alias("crawl_run_id"), content_hash(F.col("text")).alias("content_hash"))
     return audit.mark_duplicates(docs).select("doc_id", "content_hash", "is_duplicate")
 
 

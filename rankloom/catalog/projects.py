@@ -157,13 +157,13 @@ def report_competitors(t: Tables):
 @query("q31_report_gap", f"""
     WITH {GAP_CTE}
     SELECT project_id, keyword, your_rank, bucket, search_volume AS volume, difficulty, opportunity FROM (
-        SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY opportunity DESC, keyword, tracked_keyword_id) AS rn FROM gap) WHERE rn <= 200""")
+        SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY opportunity DESC, keyword, tracked_keyword_id) AS rn FROM gap)""")
 def report_gap(t: Tables):
     return overview.section_gap(parts(t)[0])
 
 
 @query("q31_report_recommendations", """
     SELECT project_id, score, severity, type, source, title FROM (
-        SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, title, source) AS rn FROM {recommendations} WHERE status = 'OPEN') WHERE rn <= 50""")
+        SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, title, source) AS rn FROM {recommendations} WHERE status = 'OPEN')""")
 def report_recommendations(t: Tables):
     return overview.section_recommendations(t.recommendations)

@@ -12,13 +12,13 @@ from rankloom.plans import rankings
 MOVEMENT_CTE = """
     o AS (SELECT *, row_number() OVER (PARTITION BY tracked_keyword_id ORDER BY observed_at DESC, event_id DESC) AS rn
           FROM {rank_observations}),
-    prev AS (SELECT tracked_keyword_id, min(rn) AS rn FROM o WHERE rn BETWEEN 2 AND 60 AND rank IS NOT NULL GROUP BY tracked_keyword_id),
+    prev AS (SELECT tracked_keyword_id, min(rn) AS rn FROM o WHERE rn >= 2 AND rank IS NOT NULL GROUP BY tracked_keyword_id),
     m AS (SELECT o.tracked_keyword_id, max(CASE WHEN o.rn = 1 THEN rank END) AS current_rank,
                  max(CASE WHEN o.rn = 1 THEN ranking_url END) AS current_url,
                  max(CASE WHEN o.rn = p.rn THEN rank END) AS previous_rank, min(rank) AS best_rank, max(rank) AS worst_rank,
                  count(*) AS observations
           FROM o LEFT JOIN prev p ON p.tracked_keyword_id = o.tracked_keyword_id
-          WHERE o.rn <= 60 GROUP BY o.tracked_keyword_id)"""
+          GROUP BY o.tracked_keyword_id)"""
 
 
 @query("w1_movement", f"WITH {MOVEMENT_CTE} SELECT *, previous_rank - current_rank AS change FROM m")

@@ -19,7 +19,18 @@ from rankloom.plans import recommend as R
 
 _STORED_QUERIES = _STORED.format(dim="query")
 SHOWN = ["project_id", "type", "source", "severity", "impact", "effort", "confidence", "score", "title",
-         "description", "related_url", "related_keyword", "status"]
+         "description", "why", "recommended_action", "related_url", "related_keyword", "status"]
+
+# What users read beside a finding, written out once more for the checks.
+_WHY = {
+    "audit": ("The last completed crawl found this problem on pages of the site.", "Open the issue, repair the listed pages and crawl the site again."),
+    "ctr": ("The query is shown often near the first page, yet few searchers choose the result.",
+            "Sharpen title and description, and answer the query early on the page."),
+    "drop": ("The query brings far fewer visits than in the period before.", "Compare the page with those that now rank above it, then refresh it."),
+    "keywords": ("The keyword has demand and is within reach, but is not tracked.", "Plan a page for the keyword and start tracking it."),
+    "ranks": ("The page has lost places since the last check.", "Look for changes of the page and of the results, and strengthen its links."),
+    "gap": ("Competitors reach searchers here that the site misses.", "Create or extend a page that serves the query better than theirs."),
+}
 
 
 def decline_as_of():
@@ -32,10 +43,10 @@ def _score(impact: str, confidence: float, effort: str) -> str:
 
 
 def _shape(project: str, kind: str, source: str, severity: str, impact: str, effort: str, confidence: float, title: str,
-           description: str, keyword: str = "NULL", url: str = "NULL") -> str:
+           description: str, guidance: str, keyword: str = "NULL", url: str = "NULL") -> str:
     return (f"{project} AS project_id, '{kind}' AS type, '{source}' AS source, {severity} AS severity, CAST({impact} AS DOUBLE) AS impact, "
             f"CAST({effort} AS DOUBLE) AS effort, {confidence}e0 AS confidence, {_score(impact, confidence, effort)} AS score, {title} AS title, "
-            f"{description} AS description, CAST({url} AS VARCHAR) AS related_url, CAST({keyword} AS VARCHAR) AS related_keyword, 'OPEN' AS status")
+            f"{description} AS description, '{_WHY[guidance][0]}' AS why, '{_WHY[guidance][1]}' AS recommended_action, CAST({url} AS VARCHAR) AS related_url, CAST({keyword} AS VARCHAR) AS related_keyword, 'OPEN' AS status")
 
 
 _IMPACT = "CASE severity " + " ".join(f"WHEN '{s}' THEN {v}e0" for s, v in SEVERITY_IMPACT.items()) + " ELSE 3.0e0 END"
@@ -43,14 +54,14 @@ _EFFORT = "CASE category " + " ".join(f"WHEN '{c}' THEN {v}e0" for c, v in CATEG
 
 _AUDIT = f"""
     WITH {ISSUES_CTE}
-    SELECT {_shape('project_id', 'TECHNICAL', 'AUDIT', 'severity', _IMPACT, _EFFORT, 0.9, 'message', 'message')}
+    SELECT {_shape('project_id', 'TECHNICAL', 'AUDIT', 'severity', _IMPACT, _EFFORT, 0.9, 'message', 'message', 'audit')}
     FROM (SELECT i.*, r.project_id, row_number() OVER (PARTITION BY r.project_id ORDER BY affected_count DESC, code) AS rn
           FROM issues i JOIN {{page_runs}} r ON r.crawl_run_id = i.crawl_run_id) WHERE rn <= 15"""
 
 
 @query("q19_from_audit", _AUDIT)
 def from_audit(t: Tables):
-    return R.from_audit(issues_of(t), t.page_runs)
+    return R.from_audit(issues_of(t), t.page_runs, n=15)
 
 
 @query("q20_from_striking_distance", f"""
@@ -60,10 +71,10 @@ def from_audit(t: Tables):
           HAVING avg(position) BETWEEN 4 AND 15 AND sum(impressions) >= 500),
     top AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY impressions DESC, query) AS rn FROM g)
     SELECT {_shape('project_id', 'CONTENT', 'GSC', "'WARNING'", '7.0e0', '2.0e0', 0.75, "'Striking-distance query needs CTR work: ' || query",
-        f"'Position ' || CAST({half_up('position', 1)} AS VARCHAR) || ' with ' || format('{{:,}}', CAST(impressions AS BIGINT)) || ' impressions but ' || printf('%.1f', {half_up('CAST(clicks AS DOUBLE) / impressions * 100', 1)}) || '% CTR.'", 'query')}
+        f"'Position ' || CAST({half_up('position', 1)} AS VARCHAR) || ' with ' || format('{{:,}}', CAST(impressions AS BIGINT)) || ' impressions but ' || printf('%.1f', {half_up('CAST(clicks AS DOUBLE) / impressions * 100', 1)}) || '% CTR.'", 'ctr', 'query')}
     FROM top WHERE rn <= 10 AND CAST(clicks AS DOUBLE) / impressions < 0.05""")
 def from_striking_distance(t: Tables):
-    return R.from_striking_distance(stored_queries(t), t.gsc_properties)
+    return R.from_striking_distance(stored_queries(t), t.gsc_properties, largest_of=10)
 
 
 @query("q21_from_decliners", f"""
@@ -74,10 +85,10 @@ def from_striking_distance(t: Tables):
           GROUP BY p.project_id, query HAVING count(*) FILTER (WHERE date >= DATE '2024-01-23') > 0),
     top AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY was_c - now_c DESC, query) AS rn FROM c WHERE was_c >= 50)
     SELECT {_shape('project_id', 'CONTENT', 'GSC', "'WARNING'", '6.0e0', '3.0e0', 0.65, "'Declining query needs attention: ' || query",
-        "'Clicks fell from ' || format('{:,}', CAST(was_c AS BIGINT)) || ' to ' || format('{:,}', CAST(now_c AS BIGINT)) || ' in 28 days.'", 'query')}
+        "'Clicks fell from ' || format('{:,}', CAST(was_c AS BIGINT)) || ' to ' || format('{:,}', CAST(now_c AS BIGINT)) || ' in 28 days.'", 'drop', 'query')}
     FROM top WHERE rn <= 10 AND CAST(was_c - now_c AS DOUBLE) / was_c >= 0.3""")
 def from_decliners(t: Tables):
-    return R.from_decliners(stored_queries(t), t.gsc_properties, decline_as_of())
+    return R.from_decliners(stored_queries(t), t.gsc_properties, decline_as_of(), largest_of=10)
 
 
 @query("q22_from_keywords", f"""
@@ -89,7 +100,7 @@ def from_decliners(t: Tables):
             WHERE opportunity >= 40 AND search_volume >= 500 AND NOT EXISTS (
                 SELECT 1 FROM {{tracked_keywords}} t WHERE t.project_id = c.project_id AND t.normalized_keyword = c.normalized_keyword))
     SELECT {_shape('project_id', 'CONTENT', 'KEYWORDS', "'NOTICE'", half_up('opportunity / 10', 1), '3.0e0', 0.6, "'Content opportunity: ' || keyword",
-        f"'Opportunity ' || CAST(CAST({half_up('opportunity', 0)} AS BIGINT) AS VARCHAR) || ', volume ' || format('{{:,}}', search_volume) || ', difficulty ' || CAST(difficulty AS VARCHAR) || ', intent ' || intent || '.'", 'keyword')}
+        f"'Opportunity ' || CAST(CAST({half_up('opportunity', 0)} AS BIGINT) AS VARCHAR) || ', volume ' || format('{{:,}}', search_volume) || ', difficulty ' || CAST(difficulty AS VARCHAR) || ', intent ' || intent || '.'", 'keywords', 'keyword')}
     FROM top WHERE rn <= 10""")
 def from_keywords(t: Tables):
     return R.from_keywords(scored(t), t.tracked_keywords, t.projects)
@@ -98,7 +109,7 @@ def from_keywords(t: Tables):
 @query("q23_from_ranks", f"""
     WITH {MOVEMENT_CTE}
     SELECT {_shape('project_id', 'RANKING', 'RANK_TRACKING', "'WARNING'", '6.5e0', '2.5e0', 0.7, "'Ranking slipped for: ' || keyword",
-        "'Now #' || CAST(current_rank AS VARCHAR) || ' (was #' || CAST(previous_rank AS VARCHAR) || ').'", 'keyword', 'current_url')}
+        "'Now #' || CAST(current_rank AS VARCHAR) || ' (was #' || CAST(previous_rank AS VARCHAR) || ').'", 'ranks', 'keyword', 'current_url')}
     FROM {{tracked_keywords}} t JOIN m ON m.tracked_keyword_id = t.tracked_keyword_id WHERE is_active AND previous_rank - current_rank <= -3""")
 def from_ranks(t: Tables):
     return R.from_ranks(t.tracked_keywords, t.rank_observations)
@@ -110,9 +121,30 @@ def from_ranks(t: Tables):
     picked AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY rn) AS pick FROM head
                WHERE rn <= 25 AND bucket IN ('missing', 'weak') AND opportunity >= 50)
     SELECT {_shape('project_id', 'COMPETITOR', 'GAP', "'NOTICE'", half_up('opportunity / 10', 1), '3.0e0', 0.55, "'Close the gap on: ' || keyword",
-        "'Competitors rank #' || CAST(coalesce(best_competitor_rank, 0) AS VARCHAR) || ' while you are at #' || coalesce(CAST(your_rank AS VARCHAR), '–') || '.'", 'keyword')}
+        "'Competitors rank #' || CAST(coalesce(best_competitor_rank, 0) AS VARCHAR) || ' while you are at #' || coalesce(CAST(your_rank AS VARCHAR), '–') || '.'", 'gap', 'keyword')}
     FROM picked WHERE pick <= 10""")
 def from_gap(t: Tables):
+    return R.from_gap(parts(t)[0], head=25, n=10)
+
+
+# The complete lists: every finding that qualifies, whatever its place.
+@query("q19_every_audit_finding", _AUDIT.replace("WHERE rn <= 15", ""))
+def every_audit_finding(t: Tables):
+    return R.from_audit(issues_of(t), t.page_runs)
+
+
+@query("q20_every_striking_distance", CHECKS["q20_from_striking_distance"].replace("WHERE rn <= 10 AND", "WHERE"))
+def every_striking_distance(t: Tables):
+    return R.from_striking_distance(stored_queries(t), t.gsc_properties)
+
+
+@query("q21_every_decliner", CHECKS["q21_from_decliners"].replace("WHERE rn <= 10 AND", "WHERE"))
+def every_decliner(t: Tables):
+    return R.from_decliners(stored_queries(t), t.gsc_properties, decline_as_of())
+
+
+@query("q24_every_gap", CHECKS["q24_from_gap"].replace("rn <= 25 AND", "").replace("WHERE pick <= 10", ""))
+def every_gap(t: Tables):
     return R.from_gap(parts(t)[0])
 
 
@@ -128,13 +160,13 @@ _COLLECTED = " UNION ALL ".join(
     GROUP BY project_id, source""")
 def recalculate(t: Tables):
     rows = stored_queries(t)
-    existing = t.recommendations.select(*SHOWN[:8], "title", F.lit("").alias("description"),
+    existing = t.recommendations.select(*SHOWN[:8], "title", *[F.lit("").alias(c) for c in ("description", "why", "recommended_action")],
                                         F.lit(None).cast("string").alias("related_url"),
                                         F.lit(None).cast("string").alias("related_keyword"), "status")
-    fresh = [R.from_audit(issues_of(t), t.page_runs), R.from_striking_distance(rows, t.gsc_properties),
-             R.from_decliners(rows, t.gsc_properties, decline_as_of()),
+    fresh = [R.from_audit(issues_of(t), t.page_runs, n=15), R.from_striking_distance(rows, t.gsc_properties, largest_of=10),
+             R.from_decliners(rows, t.gsc_properties, decline_as_of(), largest_of=10),
              R.from_keywords(scored(t), t.tracked_keywords, t.projects),
-             R.from_ranks(t.tracked_keywords, t.rank_observations), R.from_gap(parts(t)[0])]
+             R.from_ranks(t.tracked_keywords, t.rank_observations), R.from_gap(parts(t)[0], head=25, n=10)]
     return R.source_counts(R.recalculate(existing, fresh))
 
 

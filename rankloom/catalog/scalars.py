@@ -10,7 +10,6 @@ from rankloom.functions import numbers as N
 from rankloom.functions import scores as S
 from rankloom.functions import text as T
 from rankloom.functions import urls as U
-from rankloom.session import spread
 from rankloom.sources.robots import is_allowed, robots_rules
 
 _TRACKING = ", ".join(f"'{p}'" for p in U.TRACKING_PARAMS)
@@ -168,7 +167,7 @@ def cache_key(t: Tables):
            CAST(CASE WHEN clean = '' THEN 0 ELSE len(string_split(clean, ' ')) END AS INTEGER) AS words
     FROM c""")
 def text_hash_words(t: Tables):
-    return spread(t.documents.select("doc_id", "text")).select("doc_id", T.content_hash(F.col("text")).alias("content_hash"),
+    return t.documents.select("doc_id", "text").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"),
                               T.word_count(F.col("text")).alias("words"))
 
 

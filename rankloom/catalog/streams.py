@@ -53,8 +53,8 @@ def cache_stream(t: Tables):
 def usage_stream(t: Tables):
     rows = stream_of(t, "provider_usage", "events").withColumn("created_at", F.col("created_at").cast("timestamp"))
     folder = jobs.new_folder(t.spark, "usage")
-    jobs.keep_updates(jobs.daily_usage(rows), folder)
-    return jobs.current_state(t.spark, folder, ["day", "organization_id", "service"])
+    jobs.meter_usage(rows, folder)
+    return jobs.daily_usage(t.spark, folder)
 
 
 @query("t5_crawl_stream", """

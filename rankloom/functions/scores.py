@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rankloom.functions.numbers import clamp, rounded
+from rankloom.functions.text import strip
 
 # Impact of an issue by severity, effort by category.
 SEVERITY_IMPACT = {"CRITICAL": 9.0, "ERROR": 7.0, "WARNING": 4.0, "NOTICE": 2.0}
@@ -64,8 +65,8 @@ def cache_key(keyword: Column, engine: Column, country: Column, language: Column
               device: Column, location: Column, provider: Column, project: Column) -> Column:
     """Identity of a search: SHA-256 over its folded fields."""
     return F.sha2(F.concat_ws(
-        "|", F.lower(F.trim(F.coalesce(keyword, F.lit("")))), F.lower(engine), F.upper(country),
-        F.lower(language), F.upper(device), F.lower(F.trim(F.coalesce(location, F.lit("")))),
+        "|", F.lower(strip(F.coalesce(keyword, F.lit("")))), F.lower(engine), F.upper(country),
+        F.lower(language), F.upper(device), F.lower(strip(F.coalesce(location, F.lit("")))),
         F.lower(provider), F.coalesce(project.cast("string"), F.lit("global"))), 256)
 
 
@@ -81,8 +82,10 @@ def severity_rank(severity: Column) -> Column:
 
 
 def since(as_of: Column, days: int) -> Column:
-    """First day of a reporting window, clamped to 1–365 days."""
-    return F.date_sub(as_of, max(1, min(int(days), 365)))
+    """First day of a reporting window of ``days`` days."""
+    if int(days) < 1:
+        raise ValueError("a window has one day at least")
+    return F.date_sub(as_of, int(days))
 
 
 def month_start(as_of: Column) -> Column:
@@ -90,9 +93,9 @@ def month_start(as_of: Column) -> Column:
 
 
 def slug_base(name: Column) -> Column:
-    """Lower-case letters and digits, everything else a dash, at most 60 characters."""
-    dashed = F.regexp_replace(F.lower(F.trim(name)), r"(?U)[^\p{L}\p{N}]", "-")
-    bare = F.trim(F.substring(dashed, 1, 60), F.lit("-"))
+    """Lower-case letters and digits, everything else a dash."""
+    dashed = F.regexp_replace(F.lower(strip(name)), r"(?U)[^\p{L}\p{N}]", "-")
+    bare = F.trim(dashed, F.lit("-"))
     return F.when(bare == "", "org").otherwise(bare)
 
 

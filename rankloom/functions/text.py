@@ -19,14 +19,38 @@ COMMENT = r"<!--(?s:(.*?))(?:-->|\z)"
 
 
 @F.pandas_udf(StringType())
-def unescape(text: pd.Series) -> pd.Series:
+def _decoded(text: pd.Series) -> pd.Series:
     """HTML character references; the table has no counterpart among the built-ins."""
-    return text.map(lambda s: html.unescape(s) if s and "&" in s else s)
+    return pd.Series([s and html.unescape(s) for s in text])
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def unescape_all(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda xs: xs if xs is None else [x and html.unescape(x) for x in xs])
+def _all_decoded(texts: pd.Series) -> pd.Series:
+    return pd.Series([xs if xs is None else [x and html.unescape(x) for x in xs] for xs in texts])
+
+
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def _lists_decoded(lists: pd.Series) -> pd.Series:
+    return pd.Series([ls if ls is None else [[x and html.unescape(x) for x in xs] for xs in ls] for ls in lists])
+
+
+def unescape(text: Column) -> Column:
+    """Character references decoded; only texts with an ampersand leave the JVM."""
+    return F.coalesce(_decoded(F.when(text.contains("&"), text)), text)
+
+
+def unescape_all(texts: Column) -> Column:
+    return F.coalesce(_all_decoded(F.when(F.exists(texts, lambda x: x.contains("&")), texts)), texts)
+
+
+def unescape_lists(lists: Column) -> Column:
+    marked = F.exists(lists, lambda xs: F.exists(xs, lambda x: x.contains("&")))
+    return F.coalesce(_lists_decoded(F.when(marked, lists)), lists)
+
+
+def strip(text: Column) -> Column:
+    """Drop white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]++|[\s\x1c-\x1f]++$", "")
 
 
 def squeeze(text: Column) -> Column:
@@ -35,9 +59,35 @@ def squeeze(text: Column) -> Column:
 
 
 def without_raw_blocks(markup: Column) -> Column:
-    """Drop script and style bodies, which are never text."""
+    """Drop script and style bodies, which are never text; what a comment holds is no script."""
     return F.regexp_replace(
-        markup, r"(?is)<(script|style)\b" + ATTRS + r">.*?(?:</\1\s*+>|\z)", " ")
+        markup, r"(?is)(<!--.*?(?:-->|\z))|<(script|style)\b" + ATTRS + r">.*?(?:</\2\s*+>|\z)", "$1 ")
+
+
+_HIDDEN = r"noscript|template|svg|canvas"
+_HIDDEN_BLOCK = r"(?is)<(?:" + _HIDDEN + r")\b" + ATTRS + r">.*?(?:</(?:" + _HIDDEN + r")\s*+>|\z)"
+_NO_CONTENT = r"(?is)^<[!?]|/>$|^<(?:area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr)\b"
+
+
+def _nested_only(block: Column) -> Column:
+    """A hidden block without the text that is its direct child."""
+    texts, tags = F.split(block, "(?i)" + ANY_TAG, -1), F.regexp_extract_all(block, F.lit("(?i)" + ANY_TAG), F.lit(0))
+    pairs = F.zip_with(tags, F.slice(texts, F.lit(2), F.size(tags)), lambda tag, text: F.struct(tag.alias("tag"), text.alias("text")))
+
+    def add(acc: Column, x: Column) -> Column:
+        depth = acc["depth"] + F.when(x["tag"].startswith("</"), -1).when(x["tag"].rlike(_NO_CONTENT), 0).otherwise(1)
+        return F.struct(depth.alias("depth"), F.concat(acc["out"], x["tag"], F.when(depth > 0, x["text"]).otherwise("")).alias("out"))
+
+    return F.aggregate(pairs, F.struct(F.lit(-1).alias("depth"), F.lit("").alias("out")), add, lambda acc: acc["out"])
+
+
+def without_hidden_text(bare: Column) -> Column:
+    """Drop text directly inside noscript, template, svg and canvas; their elements keep theirs."""
+    blocks = F.transform(F.regexp_extract_all(bare, F.lit(_HIDDEN_BLOCK), F.lit(0)), _nested_only)
+    gaps = F.split(bare, _HIDDEN_BLOCK, -1)
+    joined = F.concat(gaps[0], F.array_join(F.zip_with(
+        blocks, F.slice(gaps, F.lit(2), F.size(blocks)), lambda block, gap: F.concat(block, gap)), ""))
+    return F.when(bare.rlike(r"(?i)<(?:" + _HIDDEN + r")\b"), joined).otherwise(bare)
 
 
 def markup_text(bare: Column) -> Column:
@@ -46,13 +96,7 @@ def markup_text(bare: Column) -> Column:
     Comment and doctype text counts as text, as it does for the text iterator this follows;
     text directly inside noscript, template, svg and canvas does not.
     """
-    hidden = r"(?:noscript|template|svg|canvas)"
-    no_head = F.regexp_replace(bare, r"(?i)(<" + hidden + r"\b" + ATTRS + r">)[^<]*+", "$1")
-    no_tail = F.regexp_replace(no_head,
-                               r"(?i)(</[a-z][^>]*+>|/>)[^<]*+(?=</" + hidden + r"\s*+>)", "$1")
-    flat = F.regexp_replace(no_tail, r"(?i)" + COMMENT + r"|<!doctype\s+([^>]*+)>|" + ANY_TAG,
-                            " $1$2 ")
-    return flat
+    return F.regexp_replace(without_hidden_text(bare), r"(?i)" + COMMENT + r"|<!doctype\s+([^>]*+)>|" + ANY_TAG, " $1$2 ")
 
 
 def visible_text(markup: Column) -> Column:

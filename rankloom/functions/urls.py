@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from ipaddress import IPv6Address
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -198,9 +199,12 @@ _PRIVATE_V4 = [
     ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24),
     ("240.0.0.0", 4),
 ]
-# IPv6 literals that are not globally routable.
-_PRIVATE_V6 = (r"(?i)^(::|::1|::ffff:.*|fe[89ab][0-9a-f]:.*|f[cd][0-9a-f]{2}:.*|64:ff9b:1:.*|"
-               r"100::.*|2001:db8:.*|2002:.*|3fff:.*)$")
+# IPv6 networks that are not globally routable, and networks inside them that are.
+_PRIVATE_V6 = [
+    ("::", 128), ("::1", 128), ("::ffff:0:0", 96), ("64:ff9b:1::", 48), ("100::", 64), ("2001::", 23),
+    ("2001:db8::", 32), ("2002::", 16), ("3fff::", 20), ("fc00::", 7), ("fe80::", 10),
+]
+_PUBLIC_V6 = [("2001:1::1", 128), ("2001:1::2", 128), ("2001:3::", 32), ("2001:4:112::", 48), ("2001:20::", 28), ("2001:30::", 28)]
 
 
 def _number(ip: str) -> int:
@@ -221,13 +225,45 @@ def _reject(x: Column) -> Column:
             .when(host.isin("localhost", "localhost.localdomain") | host.endswith(".localhost"),
                   "blocked_host")
             .when(F.coalesce(private_v4, F.lit(False)), "private_ip")
-            .when(host.contains(":") & host.rlike(_PRIVATE_V6), "private_ip"))
+            .when(host.contains(":") & x["digits"].isNull(), "bad_ip")
+            .when(host.contains(":") & _within(x["digits"], _PRIVATE_V6) & ~_within(x["digits"], _PUBLIC_V6), "private_ip"))
+
+
+def _within(digits: Column, networks: list[tuple[str, int]]) -> Column:
+    """Whether 32 hexadecimal digits lie in one of the networks; of one width, they compare as text."""
+    found = F.lit(False)
+    for network, bits in networks:
+        low = int(IPv6Address(network))
+        found = found | digits.between(f"{low:032x}", f"{low + 2 ** (128 - bits) - 1:032x}")
+    return found
+
+
+def _v6_digits(host: Column) -> Column:
+    """An IPv6 literal in any spelling as 32 hexadecimal digits, null for what is none."""
+    bare = F.regexp_replace(host, "%.*$", "")
+    tail = _v4_number(F.substring_index(bare, ":", -1))
+    hexed = F.when(tail.isNotNull(), F.concat(
+        F.regexp_replace(bare, r"[^:]*$", ""), F.lower(F.hex(F.shiftright(tail, 16))), F.lit(":"),
+        F.lower(F.hex(tail.bitwiseAND(F.lit(65535)))))).otherwise(bare)
+
+    def padded(part: Column) -> Column:
+        groups = F.filter(F.split(part, ":"), lambda g: g != "")
+        return F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
+
+    def filled(h: Column) -> Column:
+        left, right = padded(F.substring_index(h, "::", 1)), padded(F.substring_index(h, "::", -1))
+        gap = 32 - F.length(left) - F.length(right)
+        return F.when(~h.contains("::"), padded(h)).when(gap >= 4, F.concat(left, F.repeat(F.lit("0"), gap), right))
+
+    shaped = hexed.rlike(r"^(?:[0-9a-f]{1,4}(?::|$)|::?)+$") & ~hexed.rlike(r":::|::.*::|^:[^:]|[^:]:$")
+    return let(hexed, lambda h: F.when(shaped, let(filled(h), lambda d: F.when(F.length(d) == 32, d))))
 
 
 def _v4_number(host: Column) -> Column:
     """An IPv4 literal as a number, null for other hosts."""
     octets = F.transform(F.split(host, r"\."), lambda o: o.try_cast("long"))
-    return F.when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.aggregate(
+    octet = r"(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+    return F.when(host.rlike(rf"^{octet}(?:\.{octet}){{3}}$"), F.aggregate(
         octets, F.lit(0).cast("long"), lambda acc, o: acc * 256 + o))
 
 
@@ -236,4 +272,4 @@ def url_reject_reason(url: Column) -> Column:
     host = F.regexp_replace(host_of(url), r"\.+$", "")
     return let(F.struct(url.alias("url"), F.coalesce(scheme_of(url), F.lit("")).alias("scheme"),
                         _authority(url).alias("authority"), host.alias("host"),
-                        _v4_number(host).alias("number")), _reject)
+                        _v4_number(host).alias("number"), _v6_digits(host).alias("digits")), _reject)

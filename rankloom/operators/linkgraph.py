@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators.ranking import latest
-from rankloom.operators.skew import find_heavy_keys, hot_rows, join_parts, other_rows
 from rankloom.session import shared_folder, stage
 
 EDGE = ["crawl_run_id", "from_url"]
+#: Parts of a page's links: the links of one page may lie in so many buckets.
+SALTS = 8
 
 
 def inbound_links(links: DataFrame) -> DataFrame:
@@ -31,19 +31,21 @@ def click_depth(seeds: DataFrame, links: DataFrame, max_rounds: int | None = Non
 
     ``seeds``: crawl_run_id, url, depth (0 homepage, 1 sitemap); ``links``: crawl_run_id,
     from_url, to_url.  One join per level: the URLs of a level meet the edges, those visited
-    before drop out.  Pages with very many links are found once; their edges stay apart and meet
-    a broadcast of at most 256 rows.  Each round writes only its own new URLs to the shared folder, so plans do not grow
-    and a lost executor costs one round at most; the loop ends when a level is empty.
+    before drop out.  The edges are written once, in buckets by page and part of its links, so the
+    rounds shuffle the frontier and never the edges.  Each round writes only its own new URLs to the
+    shared folder, so plans do not grow and a lost executor costs one round at most; the loop ends
+    when a level is empty.
     """
     spark = seeds.sparkSession
     key = ["crawl_run_id", "url"]
     folder = f"{shared_folder(spark)}/depth-{uuid.uuid4().hex}"
     start = stage(seeds.groupBy(*key).agg(F.min("depth").cast("int").alias("depth")))
-    edges = stage(links.select(*EDGE, "to_url").distinct())
-    heavy = stage(find_heavy_keys(edges, EDGE))
-    hot = hot_rows(edges, EDGE, heavy)
-    # Laid out by source once: the rounds below shuffle only the frontier, never the edges.
-    other = other_rows(edges, EDGE, heavy).repartition(*EDGE).persist(StorageLevel.DISK_ONLY)
+    salt = F.pmod(F.xxhash64("to_url"), F.lit(SALTS)).cast("int")
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"edges_{uuid.uuid4().hex}"
+    laid = [*EDGE, "salt"]
+    (links.select(*EDGE, "to_url").distinct().withColumn("salt", salt).repartition(buckets, *laid)
+     .write.bucketBy(buckets, *laid).option("path", f"{folder}-edges").saveAsTable(name))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
 
     def level_rows(level: int) -> DataFrame:
         return spark.read.schema(start.select(*key).schema).parquet(f"{folder}/depth={level}")
@@ -54,9 +56,8 @@ def click_depth(seeds: DataFrame, links: DataFrame, max_rounds: int | None = Non
     start.where(F.col("depth") == 0).select(*key).write.parquet(f"{folder}/depth=0")
     level, last_seed = 0, start.agg(F.max("depth")).first()[0] or 0
     while max_rounds is None or level < max_rounds:
-        sources = level_rows(level).select("crawl_run_id", F.col("url").alias("from_url"))
-        found = join_parts(hot, other, sources, EDGE, "inner", heavy).select(
-            "crawl_run_id", F.col("to_url").alias("url"))
+        sources = level_rows(level).select("crawl_run_id", F.col("url").alias("from_url"), salts)
+        found = spark.table(name).join(sources, laid).select("crawl_run_id", F.col("to_url").alias("url"))
         level += 1
         # Seeds of this depth join the level they belong to.
         due = start.where(F.col("depth") == level).select(*key)
@@ -67,5 +68,5 @@ def click_depth(seeds: DataFrame, links: DataFrame, max_rounds: int | None = Non
         fresh.write.parquet(f"{folder}/depth={level}")
         if level >= last_seed and level_rows(level).isEmpty():
             break
-    other.unpersist()
+    spark.sql(f"DROP TABLE {name}")
     return reached()

@@ -1,8 +1,8 @@
 """Latest-per-group, top-k and full numbering without a task per group.
 
-``top_n`` filters on ``row_number() <= n`` directly above the window.  Catalyst then keeps
-only n rows per group *before* the shuffle (WindowGroupLimit), so a group with a third of
-all rows costs no more than any other.
+``top_n`` takes two steps.  Catalyst keeps n rows per group in each map task (WindowGroupLimit);
+the first window is over salted groups, so that a group in every map task of a large table is
+thinned out by many tasks before one of them sees its last candidates.
 """
 
 from __future__ import annotations
@@ -11,16 +11,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.operators.skew import HEAVY_ROWS, find_heavy_keys, hot_rows, other_rows
 from rankloom.session import stage
 
 
-def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int,
+#: Tasks that share a group in the first step.
+SALTS = 16
+
+
+def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int | None,
           rank: str | None = None) -> DataFrame:
-    """First n rows per group; ``order`` must end in a unique key."""
+    """First n rows per group, all without n; ``order`` must end in a unique key."""
     name = rank or "_rn"
-    ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    kept = ranked.where(F.col(name) <= n)
+    if n is None:
+        return numbered(df, keys, order, rank) if rank else df
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    salted = df.withColumn("_salt", salt) if n > 1 else df
+    if n > 1:
+        some = F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order))
+        salted = salted.withColumn("_some", some).where(F.col("_some") <= n).drop("_salt", "_some")
+    kept = salted.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
     return kept if rank else kept.drop(name)
 
 
@@ -29,35 +38,15 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_n(df, keys, order, 1)
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str,
-             min_rows: int = HEAVY_ROWS) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
     """``row_number`` over whole groups of any size.
 
-    Groups of ordinary size are numbered by a plain window.  The few heavy ones are sorted over
-    many tasks instead: see ``_numbered_by_range``.  The list of heavy keys is fetched — at most
-    256 rows — so that without any, the plan is just the window.
-    """
-    plain = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    heavy = find_heavy_keys(df, keys, min_rows)
-    found = heavy.collect()
-    if not found:
-        return df.withColumn(out, plain)
-    heavy = df.sparkSession.createDataFrame(found, heavy.schema)
-    return (other_rows(df, keys, heavy).withColumn(out, plain)
-            .unionByName(_numbered_by_range(hot_rows(df, keys, heavy), keys, order, out)))
-
-
-def _numbered_by_range(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
-    """Numbering of groups too large for one task.
-
-    Rows are range-partitioned by key and order, which cuts a large group into even slices,
-    and stored with their slice number.  A slice starts where the earlier slices of its group
-    end; those sums need one row per group and slice.  Full copies are kept apart by a row id.
+    Rows are range-partitioned by key and order, which cuts a large group into even slices, and
+    stored with their slice.  A slice starts where the earlier slices of its group end; those sums
+    need one row per group and slice.  Every group takes this way, whatever its size.
     """
-    rows = stage(df).withColumn("_id", F.monotonically_increasing_id())
-    ordered = [*[F.col(k) for k in keys], *order, F.col("_id")]
-    slices = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sliced = stage(rows.repartitionByRange(slices, *ordered).withColumn("_slice", F.spark_partition_id()))
+    ordered = [*[F.col(k) for k in keys], *order]
+    sliced = stage(df.repartitionByRange(*ordered).withColumn("_slice", F.spark_partition_id()))
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     starts = (sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_size"))
               .select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_slice").alias("_key_slice"),
@@ -66,9 +55,14 @@ def _numbered_by_range(df: DataFrame, keys: list[str], order: list[Column], out:
     same = F.col("_slice") == F.col("_key_slice")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    inside = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*order, F.col("_id")))
-    return (sliced.join(starts, same)
-            .withColumn(out, (inside + F.col("_before")).cast("int")).select(*df.columns, out))
+    inside = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*order))
+    return (sliced.withColumn("_inside", inside).join(starts, same)
+            .withColumn(out, (F.col("_inside") + F.col("_before")).cast("int")).select(*df.columns, out))
+
+
+def page_with_total(df: DataFrame, order: list[Column], page: int = 1, size: int = 50) -> tuple[DataFrame, int]:
+    """One page of an ordered listing, and the exact number of rows of the whole listing (L1)."""
+    return page_of(df, order, page, size), df.count()
 
 
 def page_of(df: DataFrame, order: list[Column], page: int = 1, size: int = 50) -> DataFrame:

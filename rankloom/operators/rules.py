@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import is_indexable, is_valid_hreflang
+from rankloom.functions.text import is_indexable, is_valid_hreflang, strip
 
 # Thresholds.
 TITLE_MAX = 60
@@ -21,7 +21,6 @@ TITLE_MIN = 30
 DESCRIPTION_MAX = 160
 THIN_WORDS = 300
 SLOW_MS = 2000
-MAX_INSTANCES = 500
 
 
 @dataclass(frozen=True)
@@ -35,7 +34,7 @@ class Rule:
 
 
 def _blank(name: str) -> Column:
-    return F.trim(F.coalesce(F.col(name), F.lit(""))) == ""
+    return strip(F.coalesce(F.col(name), F.lit(""))) == ""
 
 
 def _size(name: str) -> Column:

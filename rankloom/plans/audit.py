@@ -13,8 +13,8 @@ from rankloom.functions.scores import (
     severity_rank,
 )
 from rankloom.operators.ranking import top_n
-from rankloom.operators.rules import MAX_INSTANCES, Rule, catalogue
-from rankloom.operators.skew import heavy_keys, skew_join
+from rankloom.operators.rules import Rule, catalogue
+from rankloom.session import stage
 
 RUN = "crawl_run_id"
 HIT = [RUN, "url", "code"]
@@ -34,11 +34,12 @@ def local_hits(pages: DataFrame, rules: list[Rule]) -> DataFrame:
 def duplicate_hits(pages: DataFrame) -> DataFrame:
     """Pages sharing a title, description or content hash within a run.
 
-    Copies are counted with a combined aggregate and only values seen twice come back; rows of a
-    value that fills a large part of a run are matched in place.
+    Copies are counted with a combined aggregate and only values seen twice come back.  They are
+    stored, so that both sides of the join are plain shuffles and adaptive execution can split a
+    value that fills a large part of a run.
     """
     values = F.array(*[F.struct(F.lit(code).alias("code"),
-                                F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))).alias("value"))
+                                F.lower(T.strip(F.coalesce(F.col(c), F.lit("")))).alias("value"))
                        for code, c in DUPLICATE_KINDS.items()])
     rows = (pages.where(F.col("status_code") == 200)
             .select(RUN, "url", F.explode(values).alias("v"))
@@ -46,18 +47,16 @@ def duplicate_hits(pages: DataFrame) -> DataFrame:
             # A fixed-width digest of long values keeps the shuffle small.
             .select(RUN, "url", F.col("v.code").alias("code"), F.md5("v.value").alias("digest")))
     key = [RUN, "code", "digest"]
-    shared = rows.groupBy(*key).count().where(F.col("count") > 1)
-    return skew_join(rows, shared.select(*key), key, "left_semi",
-                     heavy=heavy_keys(shared, key)).select(*HIT)
+    shared = stage(rows.groupBy(*key).count().where(F.col("count") > 1).select(*key))
+    return rows.join(shared, key, "left_semi").select(*HIT)
 
 
 def mark_duplicates(pages: DataFrame) -> DataFrame:
     """Flag pages whose content hash occurs more than once in their run (A3)."""
     key = [RUN, "content_hash"]
-    shared = (pages.where(F.col("content_hash").isNotNull()).groupBy(*key).count()
-              .where(F.col("count") > 1))
-    flagged = skew_join(pages, shared.select(*key, F.lit(True).alias("_dup")), key, "left",
-                        heavy=heavy_keys(shared, key))
+    shared = stage(pages.where(F.col("content_hash").isNotNull()).groupBy(*key).count()
+                   .where(F.col("count") > 1).select(*key, F.lit(True).alias("_dup")))
+    flagged = pages.join(shared, key, "left")
     return flagged.withColumn("is_duplicate", F.coalesce("_dup", F.lit(False))).drop("_dup")
 
 
@@ -76,13 +75,13 @@ def orphan_hits(pages: DataFrame, links: DataFrame) -> DataFrame:
 def broken_link_hits(pages: DataFrame, links: DataFrame) -> DataFrame:
     """OK pages with a link to a URL that failed in the same run.
 
-    Links to a much-linked target are matched in place; the many links of one page shrink to
-    one row before the join back to the pages.
+    The failed URLs are stored, so that a much-linked one can be split; the many links of one page
+    shrink to one row before the join back to the pages.
     """
-    broken = (pages.where(F.coalesce("status_code", F.lit(0)) >= 400)
-              .select(RUN, F.col("normalized_url").alias("normalized_to_url")).distinct())
+    broken = stage(pages.where(F.coalesce("status_code", F.lit(0)) >= 400)
+                   .select(RUN, F.col("normalized_url").alias("normalized_to_url")).distinct())
     edges = links.select(RUN, "from_url", "normalized_to_url")
-    sources = (skew_join(edges, broken, [RUN, "normalized_to_url"], "left_semi")
+    sources = (edges.join(broken, [RUN, "normalized_to_url"], "left_semi")
                .select(RUN, F.col("from_url").alias("url")).distinct())
     ok = pages.where(F.col("status_code") == 200).select(RUN, "url")
     return _tag(ok.join(sources, [RUN, "url"], "left_semi"), "BROKEN_INTERNAL_LINK")
@@ -97,7 +96,8 @@ def redirect_hits(pages: DataFrame) -> DataFrame:
              .select(RUN, "url", "normalized_url", U.normalize_url(F.col("redirect_target")).alias("target"))
              .where(F.col("target") != ""))
     nexts = edges.select(RUN, F.col("normalized_url").alias("target"),
-                         F.col("target").alias("next_target")).dropDuplicates([RUN, "target"])
+                         F.col("target").alias("next_target")).groupBy(RUN, "target").agg(
+        F.min("next_target").alias("next_target"))
     hops = edges.join(nexts, [RUN, "target"], "left")
     chain = F.when(F.col("next_target").isNotNull(), F.lit("REDIRECT_CHAIN"))
     loop = F.when((F.col("target") == F.col("normalized_url"))
@@ -112,24 +112,23 @@ def canonical_hits(pages: DataFrame) -> DataFrame:
     A page that names itself is settled on the row and never reaches the join.
     """
     ok = pages.where(F.col("status_code") == 200)
-    live = ok.select(RUN, F.col("normalized_url").alias("canonical_normalized")).distinct()
+    live = stage(ok.select(RUN, F.col("normalized_url").alias("canonical_normalized")).distinct())
     named = (ok.where(F.coalesce("canonical", F.lit("")) != "")
              .select(RUN, "url", "normalized_url",
                      U.normalize_url(F.col("canonical")).alias("canonical_normalized"))
              .where(F.col("canonical_normalized") != F.col("normalized_url")))
-    missing = skew_join(named, live, [RUN, "canonical_normalized"], "left_anti")
+    missing = named.join(live, [RUN, "canonical_normalized"], "left_anti")
     return _tag(missing.where(F.col("canonical_normalized").isNotNull()), "CANONICAL_CONFLICT")
 
 
 def rule_hits(pages: DataFrame, links: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Distinct (run, url, code) of all 26 rules."""
     rules = rules if rules is not None else catalogue()
-    parts = [local_hits(pages, rules), duplicate_hits(pages), orphan_hits(pages, links),
-             broken_link_hits(pages, links), redirect_hits(pages), canonical_hits(pages)]
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
-    return hits.distinct()
+    # A page's URL is unique in its run, so local hits are distinct; only joined ones are merged.
+    joined = duplicate_hits(pages)
+    for part in (orphan_hits(pages, links), broken_link_hits(pages, links), redirect_hits(pages), canonical_hits(pages)):
+        joined = joined.unionByName(part)
+    return local_hits(pages, rules).unionByName(joined.distinct())
 
 
 def issues(hits: DataFrame, rules: DataFrame) -> DataFrame:
@@ -140,9 +139,9 @@ def issues(hits: DataFrame, rules: DataFrame) -> DataFrame:
             .withColumn("message", issue_message(F.col("name"), F.col("affected_count"))))
 
 
-def instances(hits: DataFrame) -> DataFrame:
-    """The first 500 affected URLs per issue (K8); the count above stays complete."""
-    return top_n(hits, [RUN, "code"], [F.asc("url")], MAX_INSTANCES)
+def instances(hits: DataFrame, limit: int | None = None) -> DataFrame:
+    """The affected URLs of each issue (K8), or the first ``limit`` of each for a listing."""
+    return top_n(hits, [RUN, "code"], [F.asc("url")], limit)
 
 
 def bucket_scores(issue_rows: DataFrame, runs: DataFrame) -> DataFrame:

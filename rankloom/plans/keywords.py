@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import keywords as K
-from rankloom.functions.text import contains_ci
+from rankloom.functions.text import contains_ci, strip
 from rankloom.operators.ranking import latest, top_n
 from rankloom.operators.upsert import insert_if_absent
 
@@ -24,7 +24,7 @@ def stored_keywords(items: DataFrame, existing: DataFrame | None = None) -> Data
     """Keyword rows after a batch: first spelling of a new natural key wins (K3)."""
     rows = items.select(
         F.col("seq").alias("keyword_id"), *NATURAL_KEY, "project_id",
-        F.trim("keyword").alias("keyword"), "created_on")
+        strip(F.col("keyword")).alias("keyword"), "created_on")
     if existing is None:
         return latest(rows, NATURAL_KEY, [F.asc("keyword_id")])
     return insert_if_absent(existing, rows, NATURAL_KEY, [F.asc("keyword_id")])

@@ -125,13 +125,14 @@ def section_competitors(competitors: DataFrame) -> DataFrame:
         "project_id", "domain", F.coalesce("label", F.lit("")).alias("label"))
 
 
-def section_gap(gap: DataFrame, n: int = 200) -> DataFrame:
+def section_gap(gap: DataFrame, n: int | None = None) -> DataFrame:
     order = [F.coalesce("opportunity", F.lit(0.0)).desc(), F.asc("keyword"), F.asc("tracked_keyword_id")]
     return top_n(gap, ["project_id"], order, n).select(
         "project_id", "keyword", "your_rank", "bucket", F.col("search_volume").alias("volume"),
         "difficulty", "opportunity")
 
 
-def section_recommendations(rows: DataFrame, n: int = 50) -> DataFrame:
-    return top_opportunities(rows, n).select(
+def section_recommendations(rows: DataFrame, n: int | None = None) -> DataFrame:
+    listed = rows.where(F.col("status") == "OPEN") if n is None else top_opportunities(rows, n)
+    return listed.select(
         "project_id", "score", "severity", "type", "source", "title")

@@ -7,30 +7,33 @@ from pyspark.sql import functions as F
 
 from rankloom.operators.ranking import latest, numbered, top_n
 
-MAX_OBSERVATIONS = 60
-
 
 def newest_first() -> list[Column]:
     return [F.desc("observed_at"), F.desc("event_id")]
 
 
-def movement(observations: DataFrame) -> DataFrame:
-    """Current, previous, change, best and worst of the newest 60 observations.
+def movement(observations: DataFrame, newest: int | None = None) -> DataFrame:
+    """Current, previous, change, best and worst of all observations, or the ``newest`` ones.
 
     The newest row counts as current even without a rank; previous is the first rank after
-    it.  Only 60 rows per keyword leave each map task.
+    it.  All but the previous rank are combined before the shuffle, and that one needs the two
+    newest ranked rows of a keyword.
     """
-    rows = top_n(observations, ["tracked_keyword_id"], newest_first(), MAX_OBSERVATIONS, "rn")
-    newest = F.col("rn") == 1
-    older_rank = F.when((F.col("rn") > 1) & F.col("rank").isNotNull(), F.col("rn"))
-    out = rows.groupBy("tracked_keyword_id").agg(
-        F.max(F.when(newest, F.col("rank"))).alias("current_rank"),
-        F.max(F.when(newest, F.col("ranking_url"))).alias("current_url"),
-        F.max(F.when(newest, F.col("observed_at"))).alias("last_checked_at"),
-        F.min_by("rank", older_rank).alias("previous_rank"),
-        F.min("rank").alias("best_rank"), F.max("rank").alias("worst_rank"),
-        F.count("*").alias("observations"))
-    return out.withColumn("change", F.col("previous_rank") - F.col("current_rank"))
+    key = "tracked_keyword_id"
+    rows = observations if newest is None else top_n(observations, [key], newest_first(), newest)
+    at = F.struct("observed_at", "event_id")
+    whole = rows.groupBy(key).agg(
+        F.max_by("rank", at).alias("current_rank"), F.max_by("ranking_url", at).alias("current_url"),
+        F.max("observed_at").alias("last_checked_at"), F.min("rank").alias("best_rank"),
+        F.max("rank").alias("worst_rank"), F.count("*").alias("observations"), F.max(at).alias("_at"))
+    ranked = top_n(rows.where(F.col("rank").isNotNull()), [key], newest_first(), 2, "_nth")
+    two = ranked.groupBy(key).agg(F.max(F.when(F.col("_nth") == 1, at)).alias("_first_at"),
+                                  F.max(F.when(F.col("_nth") == 1, F.col("rank"))).alias("_first"),
+                                  F.max(F.when(F.col("_nth") == 2, F.col("rank"))).alias("_second"))
+    previous = F.when(F.col("_first_at") == F.col("_at"), F.col("_second")).otherwise(F.col("_first"))
+    return (whole.join(two, key, "left").withColumn("previous_rank", previous)
+            .select(key, "current_rank", "current_url", "last_checked_at", "previous_rank", "best_rank", "worst_rank", "observations",
+                    (F.col("previous_rank") - F.col("current_rank")).alias("change")))
 
 
 def movement_list(tracked: DataFrame, observations: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ MONTHLY_LIMITS = {"serp": "monthly_serp", "keywords": "monthly_keywords", "expor
 
 def usage_summary(usage: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     """Units and calls per organisation, provider, service and operation."""
-    start = as_of.cast("timestamp_ntz") - F.expr(f"INTERVAL '{max(1, min(int(days), 365))}' DAY")
+    start = as_of.cast("timestamp_ntz") - F.expr(f"INTERVAL '{max(1, int(days))}' DAY")
     return (usage.where(F.col("created_at") >= start)
             .groupBy("organization_id", "provider", "service", "operation")
             .agg(F.sum("units").alias("units"), F.count("*").alias("calls")))

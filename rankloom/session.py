@@ -61,16 +61,6 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work on an input with too few splits.
-
-    A small file is one split and would keep one core busy.  An input of any size worth a
-    cluster has more splits than cores; it is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def stage(df: DataFrame) -> DataFrame:
     """Write a table once to the shared folder and read it back.
 

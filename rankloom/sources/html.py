@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
 from rankloom.functions import urls as U
-from rankloom.session import spread
 
 _TAGS = r"(?i)<(title|meta|link|img|a|html)\b" + T.ATTRS + r">"
 _ATTR = r"([^\s=>\"'/]+)\s*=\s*(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)"
 _H1 = r"(?is)<h1\b" + T.ATTRS + r">(.*?)(?:</h1\s*+>|\z)"
 _TITLE = r"(?is)<title\b" + T.ATTRS + r">(.*?)(?:</title\s*+>|\z)"
-_JSON_LD = (r"(?is)<script\b[^>]*?type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*+>"
-            r"(.*?)</script\s*+>")
+# Comments and other raw blocks are alternatives of their own, so that nothing inside them counts.
+_JSON_LD = (r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*?type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*+>"
+            r"(.*?)</script\s*+>|<(script|style)\b[^>]*+>.*?</\2\s*+>")
 
 
 def _extract_all(text: Column, pattern: str, group: int) -> Column:
@@ -62,13 +62,13 @@ def _map_of(entries: Column) -> Column:
 
 
 def _entry(key: Column, value: Column) -> Column:
-    return F.struct(key.alias("key"), F.trim(F.coalesce(value, F.lit(""))).alias("value"))
+    return F.struct(key.alias("key"), T.strip(F.coalesce(value, F.lit(""))).alias("value"))
 
 
 def _prefixed(tags: Column, key: str, prefix: str) -> Column:
     hits = F.filter(_named(tags, "meta"), lambda t: _attr(t, key).startswith(prefix))
     return _map_of(F.transform(hits, lambda t: _entry(
-        F.substring(_attr(t, key), len(prefix) + 1, 10_000), _attr(t, "content"))))
+        F.substr(_attr(t, key), F.lit(len(prefix) + 1)), _attr(t, "content"))))
 
 
 def with_page_parts(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
@@ -77,19 +77,23 @@ def with_page_parts(pages: DataFrame, url: str = "url", body: str = "html") -> D
     anchors = F.filter(_named(F.col("_tags"), "a"), lambda t: F.array_contains(t["keys"], "href"))
     headings = F.transform(
         _extract_all(F.col("_clean"), _H1, 1),
-        lambda h: F.array_join(F.filter(F.transform(F.split(h, T.ANY_TAG), lambda s: F.trim(s)),
+        lambda h: F.array_join(F.filter(F.transform(F.split(h, T.ANY_TAG), T.strip),
                                         lambda s: s != ""), " "))
-    return (spread(pages).withColumn("_bare", T.without_raw_blocks(markup))
+    return (pages.withColumn("_bare", T.without_raw_blocks(markup))
             .withColumn("_clean", F.regexp_replace("_bare", T.COMMENT, ""))
             .withColumn("_base", U.url_parts(F.col(url)))
             .withColumn("_host", U.fold_www(U.host_of(F.col(url))))
-            .withColumn("_tags", F.transform(_extract_all(F.col("_clean"), _TAGS, 0), _tag_struct))
-            .withColumn("_json_ld", F.when(markup.contains("ld+json"), _extract_all(markup, _JSON_LD, 1)))
+            .withColumn("_raw_tags", F.transform(_extract_all(F.col("_clean"), _TAGS, 0), _tag_struct))
+            .withColumn("_values", T.unescape_lists(F.transform("_raw_tags", lambda t: t["values"])))
+            .withColumn("_tags", F.zip_with("_raw_tags", "_values", lambda t, v: F.struct(
+                t["name"].alias("name"), t["keys"].alias("keys"), v.alias("values"))))
+            .withColumn("_json_ld", F.when(markup.contains("ld+json"), F.filter(
+                _extract_all(markup, _JSON_LD, 1), lambda s: s != "")))
             .withColumn("_h1", T.unescape_all(headings))
             .withColumn("_title", T.unescape(F.regexp_extract("_clean", _TITLE, 1)))
-            .withColumn("_description", T.unescape(_meta_content(F.col("_tags"), "name", "description")))
+            .withColumn("_description", _meta_content(F.col("_tags"), "name", "description"))
             .withColumn("_visible", T.unescape(T.squeeze(T.markup_text(F.col("_bare")))))
-            .withColumn("_hrefs", T.unescape_all(F.transform(anchors, lambda t: F.trim(_attr(t, "href")))))
+            .withColumn("_hrefs", F.transform(anchors, lambda t: T.strip(_attr(t, "href"))))
             .withColumn("_rels", F.transform(anchors, lambda t: F.nullif(_attr(t, "rel"), F.lit("")))))
 
 
@@ -112,12 +116,12 @@ def page_signals(pages: DataFrame, url: str = "url", body: str = "html") -> Data
     parts = (with_page_parts(pages, url, body).withColumn("links", _links())
              .withColumn("_text", T.squeeze(F.coalesce("_visible", F.lit("")))))
     tags = F.col("_tags")
-    title = F.nullif(F.trim("_title"), F.lit(""))
-    description = F.nullif(F.trim("_description"), F.lit(""))
+    title = F.nullif(T.strip(F.col("_title")), F.lit(""))
+    description = F.nullif(T.strip(F.col("_description")), F.lit(""))
     canonical_tag = _first(F.filter(_named(tags, "link"), lambda t: F.contains(
         F.coalesce(_attr(t, "rel"), F.lit("")), F.lit("canonical"))))
-    canonical = F.nullif(F.trim(_attr(canonical_tag, "href")), F.lit(""))
-    robots = F.trim(_meta_content(tags, "name", "robots"))
+    canonical = F.nullif(T.strip(_attr(canonical_tag, "href")), F.lit(""))
+    robots = T.strip(_meta_content(tags, "name", "robots"))
     images = _named(tags, "img")
     languages = F.filter(_named(tags, "link"), lambda t: F.array_contains(t["keys"], "hreflang"))
     kinds = T.schema_types(F.coalesce("_json_ld", F.array().cast("array<string>")))
@@ -127,18 +131,18 @@ def page_signals(pages: DataFrame, url: str = "url", body: str = "html") -> Data
 
     return parts.select(
         *pages.columns,
-        F.substring(title, 1, 1000).alias("title"),
+        title.alias("title"),
         F.coalesce(F.length(title), F.lit(0)).alias("title_length"),
-        F.substring(description, 1, 2000).alias("meta_description"),
+        description.alias("meta_description"),
         F.coalesce(F.length(description), F.lit(0)).alias("meta_description_length"),
-        F.substring(U.resolve_from(F.col("_base"), canonical), 1, 2000).alias("canonical"),
-        F.substring(robots, 1, 500).alias("robots_meta"),
+        U.resolve_from(F.col("_base"), canonical).alias("canonical"),
+        robots.alias("robots_meta"),
         count(F.col("_h1")).alias("h1_count"),
-        F.slice("_h1", 1, 20).alias("h1_text"),
+        F.col("_h1").alias("h1_text"),
         T.words_of(F.col("_text")).alias("word_count"),
-        F.substring(F.nullif(_attr(_first(_named(tags, "html")), "lang"), F.lit("")), 1, 10).alias("language"),
+        F.nullif(_attr(_first(_named(tags, "html")), "lang"), F.lit("")).alias("language"),
         count(images).alias("images_count"),
-        count(F.filter(images, lambda t: F.trim(F.coalesce(_attr(t, "alt"), F.lit(""))) == ""))
+        count(F.filter(images, lambda t: T.strip(F.coalesce(_attr(t, "alt"), F.lit(""))) == ""))
         .alias("images_missing_alt"),
         count(F.filter("links", lambda x: x["is_internal"])).alias("internal_links"),
         count(F.filter("links", lambda x: ~x["is_internal"])).alias("external_links"),

@@ -5,23 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import unescape_all
+from rankloom.functions.text import strip, unescape_all
+from rankloom.session import stage
 
 AGENT = "seobot"
-MAX_SITEMAP_BYTES = 5 * 1024 * 1024
-MAX_SITEMAP_URLS = 10_000
-MAX_NESTED_SITEMAPS = 100
-MAX_SITEMAP_DEPTH = 2
 
 
 def _clean_lines(body: Column) -> Column:
     """``field:value`` lines, comments and blanks removed, field lower-cased."""
     lines = F.split(F.coalesce(body, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
-    bare = F.transform(lines, lambda x: F.trim(F.substring_index(x, "#", 1)))
+    bare = F.transform(lines, lambda x: strip(F.substring_index(x, "#", 1)))
     fields = F.filter(bare, lambda x: x.contains(":"))
     return F.transform(fields, lambda x: F.concat(
-        F.lower(F.trim(F.substring_index(x, ":", 1))), F.lit(":"),
-        F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1))))
+        F.lower(strip(F.substring_index(x, ":", 1))), F.lit(":"),
+        strip(F.regexp_extract(x, r"^[^:]*:(.*)$", 1))))
 
 
 def _values(text: Column, field: str) -> Column:
@@ -57,12 +54,8 @@ def is_allowed(path: Column, disallows: Column) -> Column:
 
 
 def sitemap_urls(files: DataFrame, body: str = "body") -> DataFrame:
-    """Add pages and nested sitemaps listed by a sitemap body.
-
-    Bodies above 5 MB are no valid sitemap and list nothing.
-    """
-    text = F.when(F.octet_length(body) <= MAX_SITEMAP_BYTES, F.col(body))
-    bare = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    """Add all pages and nested sitemaps listed by a sitemap body, and its size."""
+    bare = F.regexp_replace(F.col(body), r"(?s)<!--.*?-->", "")
     root = F.lower(F.regexp_extract(bare, r"<(?:[\w.\-]+:)?([a-zA-Z]\w*)", 1))
     whole = bare.rlike(r"(?i)</(?:[\w.\-]+:)?(urlset|sitemapindex)\s*>\s*$")
     found = F.regexp_extract_all(
@@ -72,29 +65,29 @@ def sitemap_urls(files: DataFrame, body: str = "body") -> DataFrame:
     none = F.array().cast("array<string>")
     return (files.withColumn("_root", F.when(whole, root)).withColumn("_urls", urls).select(
         *[c for c in files.columns if c != body],
-        F.when(F.col("_root") == "urlset", F.slice("_urls", 1, MAX_SITEMAP_URLS))
+        F.when(F.col("_root") == "urlset", F.col("_urls"))
         .otherwise(none).alias("pages"),
-        F.when(F.col("_root") == "sitemapindex", F.slice("_urls", 1, MAX_NESTED_SITEMAPS))
-        .otherwise(none).alias("nested")))
+        F.when(F.col("_root") == "sitemapindex", F.col("_urls"))
+        .otherwise(none).alias("nested"), F.octet_length(body).alias("body_bytes")))
 
 
-def sitemap_expand(robots: DataFrame, sitemaps: DataFrame) -> DataFrame:
-    """Seed URLs per site by following stored sitemaps to depth 2.
+def sitemap_expand(robots: DataFrame, sitemaps: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Seed URLs per site by following stored sitemaps (S5), to ``max_depth`` if one is given.
 
     ``robots``: site, origin, sitemaps; ``sitemaps``: url, pages, nested.  A site whose robots
     file names no sitemap starts at ``/sitemap.xml``.  Each round joins the frontier with the
-    stored sitemaps and drops what the site has visited before.
+    stored sitemaps and drops what the site has visited before, so the rounds come to an end.
     """
     start = F.when(F.size("sitemaps") > 0, F.col("sitemaps")).otherwise(
         F.array(F.concat(F.col("origin"), F.lit("/sitemap.xml"))))
     frontier = robots.select("site", F.explode(start).alias("url")).distinct()
-    visited = frontier
-    found = None
-    for depth in range(MAX_SITEMAP_DEPTH + 1):
-        hits = frontier.join(sitemaps, "url")
+    visited, found, depth = frontier, None, 0
+    while True:
+        hits = stage(frontier.join(sitemaps, "url"))
         seeds = hits.select("site", F.explode("pages").alias("seed_url"), F.lit(depth).alias("depth"))
         found = seeds if found is None else found.unionByName(seeds)
-        frontier = (hits.select("site", F.explode("nested").alias("url")).distinct()
-                    .join(visited, ["site", "url"], "left_anti"))
-        visited = visited.unionByName(frontier)
-    return found
+        frontier = stage(hits.select("site", F.explode("nested").alias("url")).distinct()
+                         .join(visited, ["site", "url"], "left_anti"))
+        if depth == max_depth or frontier.isEmpty():
+            return found
+        visited, depth = visited.unionByName(frontier), depth + 1

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.functions.text import strip
 from rankloom.functions.urls import host_of, is_valid_domain, normalize_domain
-from rankloom.operators.ranking import numbered
+from rankloom.operators.ranking import numbered, top_n
 
 # Result-page elements that count as features.
 FEATURE_TYPES = [
@@ -89,10 +90,9 @@ def keyword_metrics(payloads: DataFrame, item: str = "item", provider: str = "ve
         F.when(F.size(trend) > 0, trend).alias("trend"), F.lit(provider).alias("provider"))
 
 
-def suggestion_batch(metrics: DataFrame, order: list[Column], limit: int = 100) -> DataFrame:
-    """Named suggestions up to a limit clamped to 1–1000."""
-    return (metrics.where(F.col("keyword") != "").orderBy(*order)
-            .limit(max(1, min(int(limit or 100), 1000))))
+def suggestion_batch(metrics: DataFrame, request: list[str], order: list[Column], limit: int | None = None) -> DataFrame:
+    """Named suggestions of each request, or the first ``limit`` it asked for."""
+    return top_n(metrics.where(F.col("keyword") != ""), request, order, limit)
 
 
 def gsc_rows(payloads: DataFrame, dimension: str, row: str = "row") -> DataFrame:
@@ -124,11 +124,11 @@ def competitor_backfill(projects: DataFrame, existing: DataFrame) -> DataFrame:
     entries = F.explode(F.from_json("competitors", "array<string>"))
     rows = (projects.where(~F.col("is_deleted"))
             .select("organization_id", "project_id", entries.alias("original_input"))
-            .where(F.trim("original_input") != "")
+            .where(strip(F.col("original_input")) != "")
             .withColumn("domain", normalize_domain(F.col("original_input")))
             .where(is_valid_domain(F.col("domain"))))
     return (rows.groupBy("organization_id", "project_id", "domain")
-            .agg(F.min(F.trim("original_input")).alias("original_input"))
+            .agg(F.min(strip(F.col("original_input"))).alias("original_input"))
             .withColumn("is_active", F.lit(True))
             .join(existing.select("project_id", "domain"), ["project_id", "domain"], "left_anti"))
 

@@ -89,16 +89,26 @@ def first_within_ttl(searches: DataFrame) -> DataFrame:
             .dropDuplicatesWithinWatermark(["cache_key"]))
 
 
-def daily_usage(usage: DataFrame) -> DataFrame:
-    """T4: units per organisation, service and day; the month is summed from the days.
+USAGE_GRAIN = ["day", "organization_id", "service"]
 
-    Events more than a day late are dropped, which bounds the state.
+
+def meter_usage(usage: DataFrame, folder: str) -> None:
+    """T4: each batch's units per organisation, service and day, late events included.
+
+    A batch writes its own sums, so that nothing is kept in memory and repeating it changes nothing.
     """
-    return (usage.withWatermark("created_at", "1 day")
-            .groupBy(F.window("created_at", "1 day"), "organization_id", "service")
-            .agg(F.sum("units").alias("units"), F.count("*").alias("calls"))
-            .select(F.col("window.start").cast("date").alias("day"), "organization_id", "service",
-                    "units", "calls"))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sums = batch.groupBy(F.col("created_at").cast("date").alias("day"), "organization_id", "service").agg(
+            F.sum("units").alias("units"), F.count("*").alias("calls"))
+        sums.write.mode("overwrite").parquet(f"{folder}/updates/batch={batch_id}")
+
+    run_batches(usage, write, f"{folder}/checkpoint")
+
+
+def daily_usage(spark: SparkSession, folder: str) -> DataFrame:
+    """The metered days: batch sums added up; a month is summed from its days."""
+    return spark.read.parquet(f"{folder}/updates").groupBy(*USAGE_GRAIN).agg(
+        F.sum("units").alias("units"), F.sum("calls").alias("calls"))
 
 
 def crawl_progress(fetches: DataFrame) -> DataFrame:

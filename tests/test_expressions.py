@@ -59,8 +59,13 @@ REJECTED = [
 
 def test_unsafe_urls_are_rejected(spark):
     assert all(values(spark, REJECTED, U.url_reject_reason(F.col("x"))))
-    safe = ["https://example.com/some/page", "http://93.184.216.34/", "http://[2606:4700::1111]/"]
-    assert values(spark, safe, U.url_reject_reason(F.col("x"))) == [None] * 3
+    spellings = ["[0:0:0:0:0:0:0:1]", "[::1]", "[::]", "[0:0:0:0:0:ffff:7f00:1]", "[::ffff:127.0.0.1]", "[2001::1]", "[2001:0:ffff::]",
+                 "[2001:db8::5]", "[fe80::1%25eth0]", "[FD00::1]", "[0000:0000::0001]", "[64:ff9b:1::9]"]
+    assert values(spark, [f"http://{h}/" for h in spellings], U.url_reject_reason(F.col("x"))) == ["private_ip"] * len(spellings)
+    assert values(spark, ["http://[1::2::3]/", "http://[12345::]/", "http://[1:2:3]/"], U.url_reject_reason(F.col("x"))) == ["bad_ip"] * 3
+    safe = ["https://example.com/some/page", "http://93.184.216.34/", "http://[2606:4700::1111]/", "http://[2001:20::1]/", "http://[2001:200::1]/",
+            "http://[2a00:1450:4001:0:0:0:0:200e]/"]
+    assert values(spark, safe, U.url_reject_reason(F.col("x"))) == [None] * len(safe)
 
 
 @pytest.mark.parametrize("href", ["a", "/a", "../a", "./a/../b", "?q=1", "//h.example/x", "https://o.example/y",

@@ -9,7 +9,7 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import linkgraph, skew
+from rankloom.operators import linkgraph
 from rankloom.operators import upsert as UP
 from rankloom.operators.ranking import numbered, page_of
 from rankloom.operators.rules import catalogue, rule_table, upsert_rules
@@ -99,9 +99,10 @@ def test_rule_catalogue(spark):
     assert upsert_rules(off, fresh).where("not enabled").select("code").first()[0] == "SLOW_PAGE"
 
 
-def test_instances_are_capped_but_counted(spark):
+def test_instances_are_complete_unless_a_listing_asks_for_fewer(spark):
     rows = spark.createDataFrame([(1, f"https://a.com/{i:04d}", "HTTP_PAGE") for i in range(700)], "crawl_run_id int, url string, code string")
-    assert audit.instances(rows).count() == 500
+    assert audit.instances(rows).count() == 700
+    assert audit.instances(rows, 500).count() == 500
     assert audit.issues(rows, rule_table(spark)).first().affected_count == 700
 
 
@@ -138,8 +139,10 @@ def test_movement(spark):
     got = {r.tracked_keyword_id: r for r in rankings.movement(obs).collect()}
     assert (got[1].current_rank, got[1].previous_rank, got[1].change, got[1].best_rank, got[1].worst_rank, got[1].current_url) == (5, 9, 4, 5, 9, "c")
     assert (got[2].current_rank, got[2].previous_rank, got[2].change) == (None, 7, None)
-    # The oldest of 61 observations, the only rank 1, is out of sight.
-    assert (got[3].observations, got[3].best_rank) == (60, 10)
+    assert (got[3].observations, got[3].best_rank) == (61, 1)
+    # The oldest observation, the only rank 1, is out of sight of the newest 60.
+    newest = {r.tracked_keyword_id: r for r in rankings.movement(obs, newest=60).collect()}
+    assert (newest[3].observations, newest[3].best_rank) == (60, 10)
 
 
 @pytest.fixture()
@@ -232,29 +235,6 @@ def test_shared_keywords_reach_every_project_once(spark):
         assert got.get(p, set()) == {r.keyword for r in best}
 
 
-def test_skew_join_equals_plain_join(spark):
-    facts = spark.createDataFrame([(i, None if i % 7 == 0 else "hot" if i % 3 else f"k{i % 40}", i % 5) for i in range(3000)], "i int, k string, v int")
-    dims = spark.createDataFrame([("hot", 1), ("k3", 2), ("k9", 3)], "k string, d int")
-    heavy = skew.find_heavy_keys(facts, ["k"], 100)
-    assert {r[0] for r in heavy.collect()} == {"hot", None}
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        a = sorted(map(tuple, skew.skew_join(facts, dims, ["k"], how, min_rows=100).select("i", "k", "v").collect()), key=str)
-        b = sorted(map(tuple, facts.join(dims, ["k"], how).select("i", "k", "v").collect()), key=str)
-        assert a == b
-
-
-def test_hot_values_and_targets_do_not_change_the_audit(spark, monkeypatch):
-    pages = [page(f"https://a.com/{i}", title="same" if i % 3 else f"t{i}", content_hash="" if i % 2 else "h", status_code=404 if i == 5 else 200) for i in range(60)]
-    links = [(f"https://a.com/{i}", f"https://a.com/{5 if i % 3 else i + 1}") for i in range(60)]
-    plain = hits(spark, pages, links)
-    for name in ("heavy_keys", "find_heavy_keys"):
-        monkeypatch.setitem(getattr(skew, name).__globals__, "HEAVY_ROWS", 5)
-    monkeypatch.setattr(skew.heavy_keys, "__defaults__", (5,))
-    monkeypatch.setattr(skew.find_heavy_keys, "__defaults__", (5,))
-    monkeypatch.setattr(skew.skew_join, "__defaults__", ("inner", None, 5))
-    assert hits(spark, pages, links) == plain
-
-
 def test_duplicate_marks_on_parsed_pages(spark):
     rows = [(1, i, f"https://a.com/{i}", "<p>same</p>" if i < 3 else f"<p>{i}</p>", 200, None, "text/html", None, False) for i in range(5)]
     fetched = spark.createDataFrame(rows, "crawl_run_id int, page_id int, url string, html string, status_code int, error string, "
@@ -263,12 +243,11 @@ def test_duplicate_marks_on_parsed_pages(spark):
     assert {r.page_id for r in marked.where("is_duplicate").collect()} == {0, 1, 2}
 
 
-@pytest.mark.parametrize("min_rows", [100, 10_000])
-def test_numbered_equals_row_number(spark, min_rows):
-    # The group without a key is heavy in the first round and full of copies.
+def test_numbered_equals_row_number(spark):
+    # The group without a key spans several slices and is full of copies.
     data = [(None if i % 4 else 1 + i % 3, (i * 7919) % 50, "copy" if i % 2 else f"u{i:05d}") for i in range(2000)]
     rows = spark.createDataFrame(data, "g int, o int, u string")
-    got = numbered(rows, ["g"], [F.asc("o"), F.desc("u")], "n", min_rows=min_rows).collect()
+    got = numbered(rows, ["g"], [F.asc("o"), F.desc("u")], "n").collect()
     assert len(got) == 2000
     for g in (None, 1, 2, 3):
         numbers = {r.n: (r.o, r.u) for r in got if r.g == g}

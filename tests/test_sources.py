@@ -66,6 +66,52 @@ def test_text_keeps_comments_and_drops_raw_blocks(spark):
     assert df.select(visible_text(F.col("html"))).first()[0] == "html one two note shown label a < b"
 
 
+def test_white_space_and_references_in_real_markup(spark):
+    (row,) = signals(spark, "<title>\n    Shop | Demo\n</title><meta name=description content='\tAll &amp; more\n'>"
+                            '<link rel="canonical" href="\n/list?a=1&amp;b=2 "><meta property="og:title" content="A &amp; B\u00a0">'
+                            '<img alt="&nbsp;"><img alt="ok"><h1>\n One\n<b>two</b>\t</h1>')
+    assert (row.title, row.title_length, row.meta_description) == ("Shop | Demo", 11, "All & more")
+    assert row.canonical.endswith("/list?a=1&b=2") and row.open_graph == {"title": "A & B"}
+    assert (row.images_count, row.images_missing_alt, row.h1_text) == (2, 1, ["One two"])
+
+
+def test_a_script_inside_a_comment_is_no_script(spark):
+    (row,) = signals(spark, '<!-- <script> --><p>three words here</p><a href="/x">link</a><script>var a = "<!--";</script><p>tail</p>'
+                            '<!-- <script type="application/ld+json">{"@type": "Ghost"}</script> -->')
+    assert len(row.links) == 1 and row.schema_presence is None
+    from rankloom.functions.text import visible_text
+
+    text = spark.createDataFrame([("<!-- <script> --><p>three words</p><script>x</script>tail",)], "h string").select(visible_text(F.col("h"))).first()[0]
+    assert text == "<script> three words tail"
+
+
+def test_text_directly_in_hidden_elements_is_skipped(spark):
+    from rankloom.functions.text import visible_text
+
+    cases = {"<noscript><b>x</b> MID <i>y</i></noscript>z": "x y z", "<noscript>a<br>BR</noscript>q": "q",
+             "<p>1</p><template>t<div>2<img src=a>3</div>u</template><svg>s</svg>4": "1 2 3 4"}
+    df = spark.createDataFrame([(k,) for k in cases], "h string")
+    assert {r.h: r.t for r in df.select("h", visible_text(F.col("h")).alias("t")).collect()} == cases
+
+
+def test_tabs_in_robots_files(spark):
+    df = spark.createDataFrame([("User-agent:\t*\nDisallow:\t/private\t\nCrawl-delay:\t2",)], "body string").withColumn("site", F.lit(1))
+    (row,) = robots.robots_rules(df).collect()
+    assert row.disallows == ["/private"] and row.crawl_delay == 2.0
+
+
+def test_long_and_deep_sitemaps_are_read_whole(spark):
+    many = "".join(f"<url><loc>https://h/{i}</loc></url>" for i in range(10_001))
+    rows = [(f"s{i}", f"<sitemapindex><sitemap><loc>s{i + 1}</loc></sitemap></sitemapindex>") for i in range(5)]
+    rows += [("s5", f"<urlset>{many}</urlset>"), ("wide", "<sitemapindex>" + "".join(f"<sitemap><loc>n{i}</loc></sitemap>" for i in range(101)) + "</sitemapindex>")]
+    maps = robots.sitemap_urls(spark.createDataFrame(rows, "url string, body string"))
+    assert {r.url: len(r.nested) for r in maps.collect()}["wide"] == 101
+    sites = spark.createDataFrame([(1, "https://h", ["s0"])], "site int, origin string, sitemaps array<string>")
+    found = robots.sitemap_expand(sites, maps)
+    assert found.count() == 10_001 and found.first().depth == 5
+    assert robots.sitemap_expand(sites, maps, max_depth=2).count() == 0
+
+
 def test_repeated_meta_keys_keep_the_last(spark):
     (row,) = signals(spark, '<meta property="og:title" content="a"><meta property="og:title" content="b">'
                             '<meta name="description"><meta name="description" content="second">')
