@@ -31,14 +31,16 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-# A run of 40 words that occurs earlier is covered by shortest windows of whole lines that hold 40 words.
+# A run of 40 words that occurs earlier is covered by shortest windows of whole lines that hold 40 words,
+# those that begin and those that end at its lines.
 OP7 = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents
            WHERE text IS NOT NULL),
 w AS (SELECT *, CASE WHEN trim(body) = '' THEN 0 ELSE len(regexp_split_to_array(trim(body), '\\s+')) END AS words FROM l),
 s AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY line) AS up_to FROM w),
-g AS (SELECT a.doc_id, a.line, min(b.line) + 1 AS e FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.line >= a.line
-      AND b.up_to - a.up_to + a.words >= 40 GROUP BY ALL),
+p AS (SELECT a.doc_id, a.line AS a, b.line AS b FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.line >= a.line
+      AND b.up_to - a.up_to + a.words >= 40),
+g AS (SELECT doc_id, a AS line, min(b) + 1 AS e FROM p GROUP BY doc_id, a UNION SELECT doc_id, max(a), b + 1 FROM p GROUP BY doc_id, b),
 t AS (SELECT g.doc_id, g.line, g.e, md5(array_to_string(string_split(d.text, chr(10))[g.line + 1:g.e], chr(10))) AS body
       FROM g JOIN documents d USING (doc_id)),
 f AS (SELECT *, first_value(doc_id) OVER o AS fd, first_value(line) OVER o AS fl, row_number() OVER o AS k FROM t

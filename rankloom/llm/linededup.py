@@ -6,8 +6,10 @@ of its line; rank and partner's rank (k lines on) give the rank of the next 2k l
 any more.  Ranks count the suffixes before a class, so neighbours in the array are found by an equality
 join.  Their longest common prefixes come from the ranks of all levels, largest first.  The array is
 cut where the common prefix is shorter than the fewest lines that hold ``min_words`` words; each
-interval between cuts is one repeated run, and its first place by (doc_id, line) stays.  The later
-copies' lines are deleted; overlapping copies join up to the maximal run.
+interval between cuts is one repeated run, and its first place by (doc_id, line) stays.  In the
+same way each line's shortest run of ``min_words`` words that ends there is looked up among earlier
+ones, by the ranks of the two halves that cover it.  Both kinds of later copies are deleted, and
+together they cover the maximal repeated runs, beginnings and ends.
 
 All of it is DataFrame operations.  Frequent lines and pairs are counted before they are shuffled,
 and ranks within a large class are summed over slices of the partner's rank.
@@ -40,8 +42,8 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def repeated(lines: DataFrame, min_words: int) -> DataFrame:
-    """Places in stretches of repeated lines that hold ``min_words`` words, with ``need``: the fewest
-    lines from the place on that do so, null if the stretch ends before."""
+    """Places in stretches of repeated lines that hold ``min_words`` words, with ``need`` and ``back``:
+    the fewest lines from the place on, and up to it, that do so; null if the stretch has not as many."""
     twice = (lines.select("doc", "row_key", "line", "h1", "h2").distinct()
              .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"))
     held = stage(lines.distinct().join(twice, ["h1", "h2"]))
@@ -49,14 +51,19 @@ def repeated(lines: DataFrame, min_words: int) -> DataFrame:
     own = "PARTITION BY doc, row_key, stretch"
     summed = placed.withColumn("up_to", F.expr(f"sum(words) OVER ({own} ORDER BY line)")).withColumn(
         "all_words", F.expr(f"sum(words) OVER ({own})")).where(F.col("all_words") >= min_words)
-    # The first later place whose running sum reaches the goal, by merging goals and sums in one order.
-    goals = summed.select("doc", "row_key", "stretch", "line", "h1", "h2", (F.col("up_to") - F.col("words") + min_words).alias("at"),
-                          F.lit(0).alias("sums"), F.lit(None).cast("int").alias("reached"))
-    sums = summed.select("doc", "row_key", "stretch", "line", "h1", "h2", F.col("up_to").alias("at"), F.lit(1).alias("sums"),
-                         F.col("line").alias("reached"))
-    last = f"min(reached) OVER ({own} ORDER BY at, sums ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
-    return (goals.unionByName(sums).withColumn("end", F.expr(last)).where("sums = 0")
-            .select("doc", "row_key", "line", "h1", "h2", (F.col("end") - F.col("line") + 1).alias("need")))
+    # The nearest place whose running sum reaches the goal, by merging goals and sums in one order;
+    # backwards the same with all signs changed.
+    base = ["doc", "row_key", "stretch", "line", "h1", "h2"]
+    before = F.col("up_to") - F.col("words")
+    rows = summed.select(*base, F.explode(F.array(*[F.struct(
+        F.lit(way).alias("way"), F.lit(sums).alias("sums"), at.alias("at"), reached.cast("int").alias("reached")) for way, sums, at, reached in (
+            (1, 0, before + min_words, F.lit(None)), (1, 1, F.col("up_to"), F.col("line")),
+            (-1, 0, min_words - F.col("up_to"), F.lit(None)), (-1, 1, -before, -F.col("line")))])).alias("x")).select(*base, "x.*")
+    last = (f"min(reached) OVER ({own}, way ORDER BY at, sums ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
+    return (rows.withColumn("reached_at", F.expr(last)).where("sums = 0")
+            .withColumn("span", F.when(F.col("way") == 1, F.col("reached_at") - F.col("line") + 1).otherwise(F.col("line") + F.col("reached_at") + 1))
+            .groupBy("doc", "row_key", "line", "h1", "h2").agg(F.max(F.when(F.col("way") == 1, F.col("span"))).alias("need"),
+                                                              F.max(F.when(F.col("way") == -1, F.col("span"))).alias("back")))
 
 
 def first_ranks(places: DataFrame) -> DataFrame:
@@ -66,7 +73,7 @@ def first_ranks(places: DataFrame) -> DataFrame:
         "offset", F.expr("sum(n) OVER (ORDER BY block) - n")).select("block", "offset")
     ranked = (lines.withColumn("inner", F.expr("sum(n) OVER (PARTITION BY block ORDER BY h1, h2) - n"))
               .join(blocks, "block").select("h1", "h2", (F.col("offset") + F.col("inner")).alias("rank")))
-    return places.join(ranked, ["h1", "h2"]).select("doc", "row_key", "line", "need", "rank")
+    return places.join(ranked, ["h1", "h2"]).select("doc", "row_key", "line", "need", "back", "rank")
 
 
 def doubled(places: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +88,7 @@ def doubled(places: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     inner = F.expr("sum(n) OVER (PARTITION BY rank, slice ORDER BY partner) - n")
     ranked = (classes.withColumn("inner", inner).join(slices, ["rank", "slice"])
               .select("rank", "partner", (F.col("rank") + F.col("offset") + F.col("inner")).alias("next")))
-    return paired.join(ranked, ["rank", "partner"]).select("doc", "row_key", "line", "need", F.col("next").alias("rank")), classes
+    return paired.join(ranked, ["rank", "partner"]).select("doc", "row_key", "line", "need", "back", F.col("next").alias("rank")), classes
 
 
 def suffix_array(places: DataFrame) -> list[DataFrame]:
@@ -96,10 +103,10 @@ def suffix_array(places: DataFrame) -> list[DataFrame]:
     return levels
 
 
-def with_common_prefix(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """``pairs`` of places (a_, b_) of different suffixes with ``common``: how many lines agree."""
+def with_common_prefix(pairs: DataFrame, levels: list[DataFrame], longest: int) -> DataFrame:
+    """``pairs`` of places (a_, b_) of different suffixes with ``common``: how many lines agree, exact up to ``longest``."""
     out = pairs.withColumn("common", F.lit(0))
-    for m in range(len(levels) - 1, -1, -1):
+    for m in range(min(len(levels), max(1, longest).bit_length()) - 1, -1, -1):
         for side in "ab":
             at = levels[m].select(F.col("doc").alias("_d"), F.col("row_key").alias("_k"), F.col("line").alias("_l"), F.col("rank").alias(f"{side}_at"))
             out = out.join(at, (F.col(f"{side}_doc") == F.col("_d")) & (F.col(f"{side}_key") == F.col("_k"))
@@ -123,22 +130,48 @@ def last_cut(classes: DataFrame) -> DataFrame:
             .withColumn("run", F.coalesce("c0", "c1", "c2")).drop("s1", "s2", "c0", "c1", "c2", "cut"))
 
 
-def later_copies(places: DataFrame) -> DataFrame:
-    """doc, row_key, begin, end (exclusive) of lines to delete, as disjoint ranges."""
-    levels = suffix_array(places)
+def runs_from(levels: list[DataFrame]) -> DataFrame:
+    """doc, row_key, line, need and run of the places whose shortest run occurs in some interval; ``run`` names it."""
     order = levels[-1]
-    place = F.struct("doc", "row_key", "line")
-    classes = stage(order.groupBy("rank").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n"), F.min("need").alias("need")))
+    classes = stage(order.groupBy("rank").agg(F.min(F.struct("doc", "row_key", "line")).alias("p"), F.count(F.lit(1)).alias("n"), F.min("need").alias("need")))
+    longest = classes.agg(F.max("need")).first()[0] or 1
     above = classes.select((F.col("rank") + F.col("n")).alias("rank"), F.col("p").alias("q"))
     pairs = classes.join(above, "rank").where("need IS NOT NULL").select(
         "rank", *[F.col(f"{s}.{c}").alias(f"{side}_{n}") for s, side in (("p", "a"), ("q", "b"))
                   for c, n in (("doc", "doc"), ("row_key", "key"), ("line", "line"))])
-    common = with_common_prefix(pairs, levels).select("rank", "common")
+    common = with_common_prefix(pairs, levels, longest).select("rank", "common")
     # A class that cannot hold enough words, or shares too little with the one before it, begins anew.
     cut = F.when(F.coalesce(F.col("common") >= F.col("need"), F.lit(False)), None).otherwise(F.col("rank"))
     runs = last_cut(classes.join(common, "rank", "left").select("rank", "need", cut.alias("cut")))
-    found = stage(order.drop("need").join(runs.where("need IS NOT NULL"), "rank").select("doc", "row_key", "line", "need", "run"))
-    firsts = found.groupBy("run").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return order.drop("need", "back").join(runs.where("need IS NOT NULL"), "rank").select(
+        "doc", "row_key", "line", "need", F.struct("run", F.lit(0).alias("size"), F.lit(0).cast("long").alias("tail")).alias("run"))
+
+
+def runs_up_to(levels: list[DataFrame]) -> DataFrame:
+    """The same for the shortest runs that end at each line, named by their size and the ranks of the halves that cover them."""
+    top = F.lit(len(levels) - 1)
+    ends = levels[0].where("back IS NOT NULL").select(
+        "doc", "row_key", (F.col("line") - F.col("back") + 1).alias("line"), F.col("back").alias("need"),
+        F.least(F.floor(F.log2("back") + 1e-9).cast("int"), top).alias("m"))
+    deepest = ends.agg(F.max("m")).first()[0]
+    if deepest is None:
+        return ends.select("doc", "row_key", "line", "need", F.struct(F.lit(0).cast("long").alias("run"), F.col("need").cast("int").alias("size"), F.lit(0).cast("long").alias("tail")).alias("run"))
+    ranks = levels[0].select(F.lit(0).alias("m"), "doc", "row_key", "line", "rank")
+    for m in range(1, deepest + 1):
+        ranks = ranks.unionByName(levels[m].select(F.lit(m).alias("m"), "doc", "row_key", "line", "rank"))
+    at = ["m", "doc", "row_key", "line"]
+    headed = ends.join(ranks.withColumnRenamed("rank", "head"), at)
+    second = headed.withColumn("first", F.col("line")).withColumn("line", (F.col("line") + F.col("need") - F.expr("shiftleft(1, m)")).cast("int"))
+    return second.join(ranks.withColumnRenamed("rank", "tail"), at).select(
+        "doc", "row_key", F.col("first").alias("line"), "need",
+        F.struct(F.col("head").alias("run"), F.col("need").cast("int").alias("size"), F.col("tail").alias("tail")).alias("run"))
+
+
+def later_copies(places: DataFrame) -> DataFrame:
+    """doc, row_key, begin, end (exclusive) of lines to delete, as disjoint ranges."""
+    levels = suffix_array(places)
+    found = stage(runs_from(levels).unionByName(runs_up_to(levels)))
+    firsts = stage(found.groupBy("run").agg(F.min(F.struct("doc", "row_key", "line")).alias("f"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     own = (F.col("doc") == F.col("f.doc")) & (F.col("row_key") == F.col("f.row_key"))
     later = (found.join(firsts, "run").where(~(own & (F.col("line") == F.col("f.line"))))
              .select("doc", "row_key", F.when(own, F.greatest("line", F.col("f.line") + F.col("need"))).otherwise(F.col("line")).alias("line"),

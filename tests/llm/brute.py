@@ -90,3 +90,31 @@ def private_spans(text):
         if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
             out.append(("phone", m))
     return [f"{k}:{m.start()}:{m.end()}" for k, m in out]
+
+
+def deduplicated_lines(texts: dict, min_words: int = 40):
+    """{id: text} without later copies of runs that hold ``min_words`` words, and the lines that went."""
+    first, gone = {}, defaultdict(set)
+    for i in sorted(texts):
+        lines = texts[i].split("\n")
+        held = [len(x.split()) for x in lines]
+        windows = set()
+        for a in range(len(lines)):
+            ends = [b for b in range(a, len(lines)) if sum(held[a:b + 1]) >= min_words]
+            starts = [b for b in range(a + 1) if sum(held[b:a + 1]) >= min_words]
+            windows |= {(a, ends[0] + 1)} if ends else set()
+            windows |= {(starts[-1], a + 1)} if starts else set()
+        for a, b in sorted(windows):
+            j, c = first.setdefault(tuple(lines[a:b]), (i, a))
+            if (j, c) != (i, a):
+                gone[i].update(range(max(a, c + b - a) if i == j else a, b))
+    return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in texts.items()}, gone
+
+
+def base_labels(text):
+    """(words, [(first word, label)]) of the base phrases."""
+    w, out = words(text), []
+    for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")):
+        p = phrase.split()
+        out += [(i, label) for i in range(len(w) - len(p) + 1) if w[i:i + len(p)] == p]
+    return len(w), sorted(out)

@@ -127,7 +127,7 @@ LINES = [
     (8, "\n".join([prose(4, 39), "alone"])), (9, "\n".join([prose(4, 39), "alone too"])), (10, prose(5, 41)), (11, prose(5, 41)),
     (12, "\n".join(prose(i, 12) for i in range(20, 40))), (13, "\n".join(prose(i, 12) for i in range(20, 40))),
     (14, "\n".join(prose(i, 12) for i in range(25, 45))), (15, "\n".join(["", prose(6, 30), "", prose(7, 30), ""])),
-    (16, "\n".join(["x", prose(6, 30), "", prose(7, 30), "y"])), (17, "\n".join(["ab cd"] * 60)),
+    (16, "\n".join(["x", prose(6, 30), "", prose(7, 30), "y"])), (17, "\n".join(["ab cd"] * 60)), (18, "\n".join([prose(5, 41), "tail"])), (19, "\n".join([prose(5, 41), "tail"])),
 ]
 
 
@@ -143,9 +143,9 @@ def test_line_dedup_equals_its_check(spark, tmp_path):
     names = [d[0] for d in rel.description]
     want = {r[names.index("doc_id")]: tuple(r[names.index(c)] for c in ("lines_before", "lines_removed", "text")) for r in rel.fetchall()}
     assert got == want
-    assert got[2][2] == "head\nend" and got[3][1] == 0 and got[11][1] == 1 and got[13][2] == "" and got[4][1] == 2
+    assert got[2][2] == "head\nend" and got[3][1] == 0 and got[11][1] == 1 and got[13][2] == "" and got[4][1] == 2 and got[18][2] == "tail" and got[19][2] == ""
     left = linededup.with_lines_left(docs.unionByName(documents(spark, [(None, prose(5, 41)), (1, LINES[0][1])])))
-    assert {r.doc_id for r in left.collect()} == {i for i, _ in LINES} - {11, 13} | {None}
+    assert {r.doc_id for r in left.collect()} == {i for i, _ in LINES} - {11, 13, 19} | {None}
     assert left.columns == ["doc_id", "text", "fp", "row_key", "id"]
 
 
