@@ -228,10 +228,19 @@ def page_page(t: Tables):
     return page_of(t.fetched_pages.select("page_id", "url", "depth"), audit.page_order(), size=20)
 
 
-@query("k7_rule_upsert", f"WITH {rules_cte()} SELECT code, name, severity, category, code <> 'SLOW_PAGE' AS enabled FROM rules WHERE (SELECT count(*) FROM pages) > 0")
+# A stored rule is switched off where its share of the orders holds an odd number of urgent ones.
+@query("k7_rule_upsert", f"""
+    WITH {rules_cte()}, numbered AS (SELECT *, row_number() OVER (ORDER BY code) - 1 AS nth FROM rules),
+    off AS (SELECT o_orderkey % 26 AS nth, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') % 2 = 1 AS is_off FROM orders GROUP BY o_orderkey % 26)
+    SELECT code, name, severity, category, code = 'SITE_DOWN' OR NOT coalesce(is_off, FALSE) AS enabled
+    FROM numbered LEFT JOIN off ON off.nth = numbered.nth""")
 def rule_upsert(t: Tables):
     fresh = rule_table(t.spark)
-    old = fresh.where(F.col("code") != "SITE_DOWN").withColumn("enabled", F.col("code") != "SLOW_PAGE")
+    urgent = F.count(F.when(F.col("o_orderpriority") == "1-URGENT", 1))
+    switched = t.orders.groupBy((F.col("o_orderkey") % 26).cast("int").alias("nth")).agg((urgent % 2 == 0).alias("_on"))
+    place = F.expr("row_number() OVER (ORDER BY code) - 1").cast("int")  # the 26 rules
+    old = (fresh.withColumn("nth", place).join(switched, "nth", "left").where(F.col("code") != "SITE_DOWN")
+           .withColumn("enabled", F.coalesce("_on", F.lit(True))).select(*fresh.columns))
     return upsert_rules(old, fresh).select("code", "name", "severity", "category", "enabled")
 
 

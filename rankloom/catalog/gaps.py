@@ -57,6 +57,22 @@ def gap_page(t: Tables):
     return page_of(parts(t)[0], gap.gap_order()).select("tracked_keyword_id", "keyword", "opportunity")
 
 
+@query("q12_competitor_ranks", f"""
+    WITH {GAP_CTE} SELECT t.project_id, c.tracked_keyword_id, c.competitor_id, c.rank
+    FROM comp c JOIN {{tracked_keywords}} t ON t.tracked_keyword_id = c.tracked_keyword_id""")
+def competitor_ranks(t: Tables):
+    return parts(t)[1].select("project_id", "tracked_keyword_id", "competitor_id", "rank")
+
+
+@query("k11_gap_export", f"""
+    WITH {GAP_CTE} SELECT g.project_id, g.tracked_keyword_id, keyword, your_rank, bucket, x.domain AS competitor, c.rank AS competitor_rank
+    FROM gap g LEFT JOIN comp c ON c.tracked_keyword_id = g.tracked_keyword_id LEFT JOIN {{competitors}} x ON x.competitor_id = c.competitor_id""")
+def gap_export(t: Tables):
+    rows, ranks = parts(t)
+    return gap.gap_with_ranks(rows, ranks, t.competitors).select(
+        "project_id", "tracked_keyword_id", "keyword", "your_rank", "bucket", "competitor", "competitor_rank")
+
+
 @query("k11_gap_matrix", f"""
     WITH {GAP_CTE}, wide AS (
         SELECT tracked_keyword_id, {', '.join(f"min(rank) FILTER (WHERE label = '{x}') AS comp_{x}" for x in LABELS)}

@@ -9,6 +9,7 @@ from rankloom.operators import upsert as UP
 from rankloom.operators.ranking import page_of
 from rankloom.plans import gsc
 from rankloom.plans.rankings import share_of_max
+from rankloom.session import new_folder
 from rankloom.sources import vendor
 
 
@@ -173,3 +174,15 @@ def gsc_payload_rows(t: Tables):
     FROM {gsc_properties} WHERE site_url <> ''""")
 def gsc_properties(t: Tables):
     return vendor.gsc_properties(t.gsc_properties).select("property_id", "site_url", "property_type")
+
+
+@query("s9_landed_pages", """
+    SELECT property_id, batch_seq, date, query, country, device, CAST(clicks AS INTEGER) AS clicks, CAST(impressions AS INTEGER) AS impressions, position
+    FROM {gsc_rows}""")
+def landed_pages(t: Tables):
+    """The rows written as landed vendor pages, then read back in one scan."""
+    row = F.struct(F.array(F.col("date").cast("string"), "query", "country", "device").alias("keys"), F.col("clicks").cast("double").alias("clicks"),
+                   F.col("impressions").cast("double").alias("impressions"), F.lit(0.0).alias("ctr"), "position")
+    folder = new_folder(t.spark, "landed")
+    t.gsc_rows.select(F.col("property_id").cast("long"), F.col("batch_seq").cast("long"), row.alias("row")).write.json(folder)
+    return vendor.read_gsc_pages(t.spark, folder, "query").drop("ctr")

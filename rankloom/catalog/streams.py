@@ -10,6 +10,7 @@ from rankloom.catalog.registry import Tables, query
 from rankloom.catalog.scalars import CACHE_KEY_SQL, cache_key_of_search
 from rankloom.catalog.search_console import _STORED
 from rankloom.catalog.tables import DERIVED, GIVEN
+from rankloom.session import new_folder
 from rankloom.streaming import jobs
 
 
@@ -22,7 +23,7 @@ def stream_of(t: Tables, derived: str, given: str) -> DataFrame:
 
 @query("t1_rank_stream", f"WITH {MOVEMENT_CTE} SELECT *, previous_rank - current_rank AS change FROM m")
 def rank_stream(t: Tables):
-    folder = jobs.new_folder(t.spark, "ranks")
+    folder = new_folder(t.spark, "ranks")
     jobs.refresh_movements(stream_of(t, "rank_observations", "events"), folder)
     return jobs.current_state(t.spark, folder, ["tracked_keyword_id"]).drop("last_checked_at")
 
@@ -31,7 +32,7 @@ def rank_stream(t: Tables):
     WITH q AS ({_STORED.format(dim='query')})
     SELECT property_id, date, query, country, device, clicks, impressions, position FROM q""")
 def search_console_stream(t: Tables):
-    folder = jobs.new_folder(t.spark, "gsc")
+    folder = new_folder(t.spark, "gsc")
     jobs.sync_search_console(stream_of(t, "gsc_rows", "events"), folder, jobs.GSC_QUERY_GRAIN,
                              [F.desc("batch_seq")])
     return t.spark.read.parquet(f"{folder}/table").select(
@@ -42,7 +43,7 @@ def search_console_stream(t: Tables):
 def cache_stream(t: Tables):
     rows = stream_of(t, "searches", "orders").select(
         cache_key_of_search().alias("cache_key"), F.col("searched_at").cast("timestamp").alias("searched_at"))
-    folder = jobs.new_folder(t.spark, "cache")
+    folder = new_folder(t.spark, "cache")
     jobs.keep_updates(jobs.first_within_ttl(rows), folder, mode="append")
     return t.spark.read.parquet(f"{folder}/updates").select("cache_key")
 
@@ -52,7 +53,7 @@ def cache_stream(t: Tables):
     FROM {provider_usage} GROUP BY CAST(created_at AS DATE), organization_id, service""")
 def usage_stream(t: Tables):
     rows = stream_of(t, "provider_usage", "events").withColumn("created_at", F.col("created_at").cast("timestamp"))
-    folder = jobs.new_folder(t.spark, "usage")
+    folder = new_folder(t.spark, "usage")
     jobs.meter_usage(rows, folder)
     return jobs.daily_usage(t.spark, folder)
 
@@ -61,6 +62,6 @@ def usage_stream(t: Tables):
     SELECT crawl_run_id, count(*) AS pages_crawled, count(*) FILTER (WHERE error IS NOT NULL OR status_code >= 400) AS pages_failed
     FROM {fetch_log} GROUP BY crawl_run_id""")
 def crawl_stream(t: Tables):
-    folder = jobs.new_folder(t.spark, "crawl")
+    folder = new_folder(t.spark, "crawl")
     jobs.keep_updates(jobs.crawl_progress(stream_of(t, "fetch_log", "events")), folder)
     return jobs.current_state(t.spark, folder, ["crawl_run_id"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators.ranking import latest
-from rankloom.session import shared_folder, stage
+from rankloom.session import new_folder, stage
 
 EDGE = ["crawl_run_id", "from_url"]
 #: Parts of a page's links: the links of one page may lie in so many buckets.
@@ -38,7 +38,7 @@ def click_depth(seeds: DataFrame, links: DataFrame, max_rounds: int | None = Non
     """
     spark = seeds.sparkSession
     key = ["crawl_run_id", "url"]
-    folder = f"{shared_folder(spark)}/depth-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "depth")
     start = stage(seeds.groupBy(*key).agg(F.min("depth").cast("int").alias("depth")))
     salt = F.pmod(F.xxhash64("to_url"), F.lit(SALTS)).cast("int")
     buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"edges_{uuid.uuid4().hex}"

@@ -48,8 +48,8 @@ def keyword_gap(tracked: DataFrame, observations: DataFrame, searches: DataFrame
         F.col("keyword_id").alias("matched_keyword_id"), "search_volume", "competition", "intent")
     rows = (KP.match_tracked(tracked.where("is_active"), keywords)
             .join(current_rank(observations), "tracked_keyword_id", "left")
-            .join(best, "tracked_keyword_id", "left")
-            .join(facts, "matched_keyword_id", "left"))
+            .join(best, "tracked_keyword_id", "left"))
+    rows = KP.left_join_known(rows, facts, "matched_keyword_id")
     scored = KP.with_scores(rows, rank=F.col("your_rank"))
     known = F.col("matched_keyword_id").isNotNull()
     # Without a stored keyword nothing is known: no difficulty, and the score falls back to a
@@ -83,6 +83,13 @@ def gap_order() -> list[Column]:
             F.asc("tracked_keyword_id")]
 
 
+def gap_with_ranks(gap: DataFrame, ranks: DataFrame, competitors: DataFrame) -> DataFrame:
+    """Gap rows with one row per ranking competitor, of any number (K11 in long form)."""
+    named = ranks.select("tracked_keyword_id", "competitor_id", F.col("rank").alias("competitor_rank")).join(
+        competitors.select("competitor_id", F.col("domain").alias("competitor")), "competitor_id", "left")
+    return gap.join(named, "tracked_keyword_id", "left")
+
+
 def gap_matrix(gap: DataFrame, ranks: DataFrame, competitors: DataFrame, column: str,
                values: list[str]) -> DataFrame:
     """Gap rows with one rank column per competitor named in ``values``.

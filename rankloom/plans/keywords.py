@@ -130,11 +130,19 @@ def metric_history(metrics: DataFrame, newest: int = 30) -> DataFrame:
     return top_n(metrics, ["keyword_id"], [F.desc("created_on"), F.desc("seq")], newest, "nth_newest")
 
 
+def left_join_known(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """A left join in which rows without a key, which may be most, bypass the shuffle."""
+    columns = [c for c in others.columns if c != key]
+    unknown = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(others.schema[c].dataType).alias(c) for c in columns])
+    known = rows.where(F.col(key).isNotNull()).join(others, key, "left")
+    return known.select(*unknown.columns).unionByName(unknown)
+
+
 def match_tracked(tracked: DataFrame, keywords: DataFrame) -> DataFrame:
     """Stored keyword of each tracked keyword: by id, else by natural key."""
-    by_id = keywords.select(F.col("keyword_id").alias("_id"))
+    by_id = keywords.select("keyword_id", F.col("keyword_id").alias("_id"))
     by_key = keywords.select(F.col("keyword_id").alias("_key_id"), *NATURAL_KEY)
-    return (tracked.join(by_id, tracked["keyword_id"] == by_id["_id"], "left")
+    return (left_join_known(tracked, by_id, "keyword_id")
             .join(by_key, NATURAL_KEY, "left")
             .withColumn("matched_keyword_id", F.coalesce("_id", "_key_id"))
             .drop("_id", "_key_id"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +45,8 @@ def local_session(cores: str = "*", app: str = "rankloom") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: what ``spark.checkpoint.dir`` names.
 
-    Only a local master may fall back to a temporary folder; on a cluster a machine-local
-    path would not survive a lost executor.
+    Where that is unset, a local master uses a folder in the warehouse, which a session shares
+    anyway; a cluster has to name one.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -55,12 +54,29 @@ def shared_folder(spark: SparkSession) -> str:
         if configured:
             sc.setCheckpointDir(configured)
         elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+            sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged")
         else:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     return sc.getCheckpointDir()
 
 
+_FOLDERS: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, for ``clear_folders`` to remove."""
+    _FOLDERS.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def clear_folders(spark: SparkSession) -> None:
+    """Remove what this process has staged; results that still read it must be written before."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    while _FOLDERS:
+        path = hadoop.Path(_FOLDERS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a table once to the shared folder and read it back.
 
@@ -68,6 +84,6 @@ def stage(df: DataFrame) -> DataFrame:
     columns it needs, and losing executors costs no recomputation of what lies before.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    path = new_folder(spark, "staged")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,16 +10,12 @@ from pyspark.sql import functions as F
 from rankloom.operators.ranking import latest
 from rankloom.operators.upsert import upsert
 from rankloom.plans.rankings import movement
-from rankloom.session import shared_folder, stage
+from rankloom.session import new_folder, stage
 
 GSC_QUERY_GRAIN = ["property_id", "date", "query", "country", "device"]
 CACHE_TTL = "7 days"
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def run_batches(rows: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str,
                 mode: str = "append") -> None:
     """Process what has arrived, batch by batch, then stop; restarts resume at the checkpoint."""

@@ -10,7 +10,7 @@ import traceback
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
-from rankloom.session import local_session  # noqa: E402
+from rankloom.session import clear_folders, local_session  # noqa: E402
 from tests.compare import connect, difference  # noqa: E402
 
 
@@ -35,6 +35,7 @@ def main() -> None:
             problem, note = f"{type(exc).__name__}: {str(exc)[:900]}", ""
             if parts:
                 traceback.print_exc()
+        clear_folders(spark)
         if problem:
             failed.append(name)
         print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.2f}s {note} {problem or ''}", flush=True)
