@@ -14,6 +14,7 @@ from rankloom.session import new_folder, stage
 
 GSC_QUERY_GRAIN = ["property_id", "date", "query", "country", "device"]
 CACHE_TTL = "7 days"
+HISTORY_BUCKETS = 64
 
 
 def run_batches(rows: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str,
@@ -39,12 +40,18 @@ def current_state(spark: SparkSession, folder: str, keys: list[str]) -> DataFram
 
 
 def refresh_movements(observations: DataFrame, folder: str) -> None:
-    """Append new observations and recompute the movement of the keywords they touch."""
+    """Append new observations and recompute the movement of the keywords they touch.
+
+    The history lies in buckets by keyword; a batch reads those that its keywords fall into.
+    """
     table = f"{folder}/observations"
+    bucket = F.pmod(F.xxhash64("tracked_keyword_id"), F.lit(HISTORY_BUCKETS)).cast("int")
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-        seen = batch.sparkSession.read.parquet(table).drop("batch")
+        placed = batch.withColumn("bucket", bucket)
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={batch_id}")
+        hit = [r.bucket for r in placed.select("bucket").distinct().collect()]
+        seen = batch.sparkSession.read.parquet(table).where(F.col("bucket").isin(hit)).drop("batch", "bucket")
         touched = batch.select("tracked_keyword_id").distinct()
         fresh = movement(seen.join(touched, "tracked_keyword_id", "left_semi"))
         fresh.write.mode("overwrite").parquet(f"{folder}/updates/batch={batch_id}")
