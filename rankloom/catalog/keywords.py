@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankloom.catalog.registry import Tables, query
+from rankloom.catalog.registry import Tables, half_up, query
 from rankloom.catalog.results import LATEST_CTE, RESULTS_CTE
 from rankloom.catalog.scalars import DIFFICULTY, _intent_case, opportunity_sql
+from rankloom.functions.numbers import rounded
 from rankloom.operators.ranking import latest, page_of
 from rankloom.plans import keywords as KP
 from rankloom.plans import serp
@@ -152,6 +153,15 @@ def keyword_metrics(t: Tables):
                     F.element_at("trend", 1).alias("oldest"), F.element_at("trend", -1).alias("newest"))
 
 
+@query("w10_keyword_trend", f"""
+    WITH m AS (SELECT p_partkey AS seq, p_partkey % 15 + 1 AS n, unnest(range(greatest(1, p_partkey % 15 - 10), p_partkey % 15 + 2)) AS k FROM part)
+    SELECT seq, CAST(k - greatest(1, n - 11) AS INTEGER) AS month, k * seq AS volume,
+           {half_up('CAST(k * seq AS DOUBLE) / greatest(1, n * seq)', 4)} AS share FROM m""")
+def keyword_trend(t: Tables):
+    shares = KP.trend_shares(vendor.keyword_metrics(_vendor_items(t)), "seq")
+    return shares.withColumn("share", rounded(F.col("share"), 4))
+
+
 @query("s10_suggestion_batch", """
     SELECT seq, keyword, request FROM (
         SELECT p_partkey AS seq, p_name AS keyword, p_partkey % 7 AS request,

@@ -9,6 +9,7 @@ from rankloom.functions import keywords as K
 from rankloom.functions.text import contains_ci, strip
 from rankloom.operators.ranking import latest, top_n
 from rankloom.operators.upsert import insert_if_absent
+from rankloom.plans.rankings import share_of_max
 
 NATURAL_KEY = ["organization_id", "normalized_keyword", "country", "language"]
 
@@ -30,12 +31,22 @@ def stored_keywords(items: DataFrame, existing: DataFrame | None = None) -> Data
     return insert_if_absent(existing, rows, NATURAL_KEY, [F.asc("keyword_id")])
 
 
+def _trend_of(items: DataFrame) -> Column:
+    """The monthly volumes of a batch item, null where the vendor names none."""
+    return F.col("trend") if "trend" in items.columns else F.lit(None).cast("array<bigint>")
+
+
+def trend_shares(metrics: DataFrame, key: str = "keyword_id") -> DataFrame:
+    """Each month of a trend as a share of the largest one."""
+    return share_of_max(metrics.select(key, F.posexplode("trend").alias("month", "volume")), key, "volume")
+
+
 def metric_snapshots(items: DataFrame, keywords: DataFrame) -> DataFrame:
     """One metric row per batch item, attached to its stored keyword (K3)."""
     ids = keywords.select("keyword_id", *NATURAL_KEY)
     return items.join(ids, NATURAL_KEY).select(
         "keyword_id", "seq", F.col("created_on"), "search_volume", "cpc", "competition",
-        "provider", K.intent_of(F.col("keyword"))["intent"].alias("intent"))
+        _trend_of(items).alias("trend"), "provider", K.intent_of(F.col("keyword"))["intent"].alias("intent"))
 
 
 def keyword_intents(items: DataFrame, keywords: DataFrame) -> DataFrame:
