@@ -63,5 +63,5 @@ def usage_stream(t: Tables):
     FROM {fetch_log} GROUP BY crawl_run_id""")
 def crawl_stream(t: Tables):
     folder = new_folder(t.spark, "crawl")
-    jobs.keep_updates(jobs.crawl_progress(stream_of(t, "fetch_log", "events")), folder)
-    return jobs.current_state(t.spark, folder, ["crawl_run_id"])
+    jobs.count_fetches(stream_of(t, "fetch_log", "events"), folder)
+    return jobs.crawl_progress(t.spark, folder)

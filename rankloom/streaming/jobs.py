@@ -94,17 +94,18 @@ def first_within_ttl(searches: DataFrame) -> DataFrame:
 USAGE_GRAIN = ["day", "organization_id", "service"]
 
 
-def meter_usage(usage: DataFrame, folder: str) -> None:
-    """T4: each batch's units per organisation, service and day, late events included.
-
-    A batch writes its own sums, so that nothing is kept in memory and repeating it changes nothing.
-    """
+def _add_up(rows: DataFrame, sums: Callable[[DataFrame], DataFrame], folder: str) -> None:
+    """Write each batch's own sums: nothing is kept in memory, and repeating a batch changes nothing."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        sums = batch.groupBy(F.col("created_at").cast("date").alias("day"), "organization_id", "service").agg(
-            F.sum("units").alias("units"), F.count("*").alias("calls"))
-        sums.write.mode("overwrite").parquet(f"{folder}/updates/batch={batch_id}")
+        sums(batch).write.mode("overwrite").parquet(f"{folder}/updates/batch={batch_id}")
+
+    run_batches(rows, write, f"{folder}/checkpoint")
 
-    run_batches(usage, write, f"{folder}/checkpoint")
+
+def meter_usage(usage: DataFrame, folder: str) -> None:
+    """T4: each batch's units per organisation, service and day, late events included."""
+    _add_up(usage, lambda batch: batch.groupBy(F.col("created_at").cast("date").alias("day"), "organization_id", "service").agg(
+        F.sum("units").alias("units"), F.count("*").alias("calls")), folder)
 
 
 def daily_usage(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,8 +114,14 @@ def daily_usage(spark: SparkSession, folder: str) -> DataFrame:
         F.sum("units").alias("units"), F.sum("calls").alias("calls"))
 
 
-def crawl_progress(fetches: DataFrame) -> DataFrame:
-    """T5: running counters per crawl run."""
+def count_fetches(fetches: DataFrame, folder: str) -> None:
+    """T5: each batch's counters per crawl run."""
     failed = F.col("error").isNotNull() | (F.coalesce("status_code", F.lit(0)) >= 400)
-    return fetches.groupBy("crawl_run_id").agg(
-        F.count("*").alias("pages_crawled"), F.count(F.when(failed, 1)).alias("pages_failed"))
+    _add_up(fetches, lambda batch: batch.groupBy("crawl_run_id").agg(
+        F.count("*").alias("pages_crawled"), F.count(F.when(failed, 1)).alias("pages_failed")), folder)
+
+
+def crawl_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """Running counters per crawl run."""
+    return spark.read.parquet(f"{folder}/updates").groupBy("crawl_run_id").agg(
+        F.sum("pages_crawled").alias("pages_crawled"), F.sum("pages_failed").alias("pages_failed"))

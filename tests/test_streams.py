@@ -68,6 +68,8 @@ def test_usage_and_progress_streams_update(spark, tmp_path):
     schema = "crawl_run_id int, error string, status_code int"
     source, out = str(tmp_path / "in2"), str(tmp_path / "out2")
     land(spark, [(1, None, 200), (1, "timeout", 0)], schema, source)
-    jobs.keep_updates(jobs.crawl_progress(stream(spark, schema, source)), out)
-    (row,) = jobs.current_state(spark, out, ["crawl_run_id"]).collect()
-    assert (row.pages_crawled, row.pages_failed) == (2, 1)
+    jobs.count_fetches(stream(spark, schema, source), out)
+    land(spark, [(1, None, 404)], schema, source)
+    jobs.count_fetches(stream(spark, schema, source), out)
+    (row,) = jobs.crawl_progress(spark, out).collect()
+    assert (row.pages_crawled, row.pages_failed) == (3, 2)
