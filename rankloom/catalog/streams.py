@@ -44,8 +44,8 @@ def cache_stream(t: Tables):
     rows = stream_of(t, "searches", "orders").select(
         cache_key_of_search().alias("cache_key"), F.col("searched_at").cast("timestamp").alias("searched_at"))
     folder = new_folder(t.spark, "cache")
-    jobs.keep_updates(jobs.first_within_ttl(rows), folder, mode="append")
-    return t.spark.read.parquet(f"{folder}/updates").select("cache_key")
+    jobs.cache_searches(rows, folder)
+    return t.spark.read.parquet(f"{folder}/updates").select("cache_key").distinct()
 
 
 @query("t4_usage_stream", """

@@ -25,14 +25,6 @@ def run_batches(rows: DataFrame, handle: Callable[[DataFrame, int], None], check
     job.awaitTermination()
 
 
-def keep_updates(rows: DataFrame, folder: str, mode: str = "update") -> None:
-    """Write each batch of updated aggregates to its own folder; repeating a batch replaces it."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/updates/batch={batch_id}")
-
-    run_batches(rows, write, f"{folder}/checkpoint", mode)
-
-
 def current_state(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     """Latest update per key."""
     rows = spark.read.parquet(f"{folder}/updates")
@@ -85,10 +77,39 @@ def sync_search_console(rows: DataFrame, folder: str, grain: list[str], newest_f
     run_batches(rows, merge, f"{folder}/checkpoint")
 
 
-def first_within_ttl(searches: DataFrame) -> DataFrame:
-    """One search per cache key until seven days have passed."""
-    return (searches.withWatermark("searched_at", CACHE_TTL)
-            .dropDuplicatesWithinWatermark(["cache_key"]))
+def cache_searches(searches: DataFrame, folder: str) -> None:
+    """One search per cache key until seven days have passed, however late a search arrives.
+
+    A search is new unless an accepted one lies at most seven days before it.  A batch accepts the
+    earliest new search of each key, and goes on while searches are left that none covers; the
+    number of rounds is bounded by the weeks that the batch spans.
+    """
+    def accept(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        left = stage(batch.select("cache_key", "searched_at"))
+        # What this batch wrote in a run that broke off does not count.
+        known = _updates(spark, folder, left).where(F.col("batch") != batch_id).select("cache_key", "searched_at")
+        taken = left.limit(0)
+        while True:
+            seen = known.unionByName(taken).select("cache_key", F.col("searched_at").alias("since"))
+            covered = (F.col("searched_at") >= F.col("since")) & (F.col("searched_at") < F.col("since") + F.expr(f"INTERVAL {CACHE_TTL}"))
+            left = stage(left.alias("l").join(seen.alias("s"), (F.col("l.cache_key") == F.col("s.cache_key")) & covered, "left_anti"))
+            if left.isEmpty():
+                break
+            taken = stage(taken.unionByName(left.groupBy("cache_key").agg(F.min("searched_at").alias("searched_at"))))
+        taken.write.mode("overwrite").parquet(f"{folder}/updates/batch={batch_id}")
+
+    run_batches(searches, accept, f"{folder}/checkpoint")
+
+
+def _updates(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    """All batches written so far with their number; none before the first."""
+    try:
+        return spark.read.parquet(f"{folder}/updates")
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return like.limit(0).withColumn("batch", F.lit(0))
 
 
 USAGE_GRAIN = ["day", "organization_id", "service"]
