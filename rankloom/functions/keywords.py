@@ -129,6 +129,7 @@ def difficulty_note(competition: Column, volume: Column,
     def percent(x: Column) -> Column:
         return rounded(x * 100, 0).cast("int")
 
+    # Fixed value: the wording of the note.
     return F.format_string("top-10 saturation %d%%, vendor competition %d%%, demand tier %d%%",
                            percent(part), percent(competition_part(competition)),
                            percent(demand_tier(volume)))

@@ -15,6 +15,8 @@ from rankloom.plans import keywords as KP
 COLUMNS = ["project_id", "type", "source", "severity", "impact", "effort", "confidence", "score",
            "title", "description", "why", "recommended_action", "related_url", "related_keyword", "status"]
 
+# Titles and descriptions below are part of the result; so are their numbers' formats.
+
 #: Per source: why a finding matters, and what to do about it.
 GUIDANCE = {
     "AUDIT": ("The last completed crawl found this problem on pages of the site.",

@@ -50,7 +50,7 @@ def test_missing_signals(spark):
 
 
 def test_duplicates_broken_links_and_loops(spark):
-    same = {"title": "Same Title Here Yes Indeed, for both", "meta_description": "Same words", "content_hash": "abc"}
+    same = {"title": "Zwei Seiten, ein Titel: Werkstatt in Graz", "meta_description": "Gleicher Text", "content_hash": "abc"}
     got = hits(spark, [page("https://a.com/1", **same), page("https://a.com/2", **same), page("https://a.com/gone", status_code=404),
                        page("https://a.com/r1", status_code=301, redirect_target="https://a.com/r2"),
                        page("https://a.com/r2", status_code=301, redirect_target="https://a.com/r1"),
@@ -147,20 +147,20 @@ def test_movement(spark):
 
 @pytest.fixture()
 def gap_rows(spark):
-    tracked = spark.createDataFrame([(i, 1, 1, k, k, "US", "en", "DESKTOP", None, True) for i, k in enumerate(["alpha", "beta", "gamma", "delta"])],
+    tracked = spark.createDataFrame([(i, 1, 1, k, k, "US", "en", "DESKTOP", None, True) for i, k in enumerate(["achse", "bremse", "gabel", "deichsel"])],
                                     "tracked_keyword_id int, project_id int, organization_id int, keyword string, normalized_keyword string, "
                                     "country string, language string, device string, keyword_id int, is_active boolean")
     obs = spark.createDataFrame([(0, at(1), 1, 18, ""), (2, at(1), 2, 2, "")],
                                 "tracked_keyword_id int, observed_at timestamp_ntz, event_id int, rank int, ranking_url string")
-    searches = spark.createDataFrame([(10, 1, "Alpha!", "US", "DESKTOP", at(2)), (11, 1, "beta", "US", "DESKTOP", at(2)), (12, 1, "gamma", "US", "DESKTOP", at(2)),
-                                      (13, 1, "alpha", "US", "DESKTOP", at(1)), (14, 1, "delta", "GB", "DESKTOP", at(1))],
+    searches = spark.createDataFrame([(10, 1, "Alpha!", "US", "DESKTOP", at(2)), (11, 1, "bremse", "US", "DESKTOP", at(2)), (12, 1, "gabel", "US", "DESKTOP", at(2)),
+                                      (13, 1, "achse", "US", "DESKTOP", at(1)), (14, 1, "deichsel", "GB", "DESKTOP", at(1))],
                                      "serp_search_id int, project_id int, keyword string, country string, device string, searched_at timestamp_ntz")
     results = spark.createDataFrame([(10, 3, "organic", "rival.com", "r1"), (11, 3, "organic", "www.rival.com", "r2"), (12, 9, "organic", "rival.com", "r3"),
                                      (13, 1, "organic", "rival.com", "old"), (14, 1, "organic", "rival.com", "gb")],
                                     "serp_search_id int, position int, result_type string, domain string, url string")
     comps = spark.createDataFrame([(1, 5, "rival.com", "rival", True), (1, 6, "idle.com", "idle", False)],
                                   "project_id int, competitor_id int, domain string, label string, is_active boolean")
-    batch = spark.createDataFrame([(1, 1, None, "us", "EN", " Buy Alpha", 80000, 1.0, 0.1, "v", at(1).date()), (2, 1, None, "us", "EN", "alpha", 80000, 1.0, 0.1, "v", at(1).date())],
+    batch = spark.createDataFrame([(1, 1, None, "us", "EN", " Buy Alpha", 80000, 1.0, 0.1, "v", at(1).date()), (2, 1, None, "us", "EN", "achse", 80000, 1.0, 0.1, "v", at(1).date())],
                                   "seq long, organization_id int, project_id int, country string, language string, keyword string, search_volume long, "
                                   "cpc double, competition double, provider string, created_on date")
     items = KP.clean_batch(batch)
@@ -173,13 +173,13 @@ def gap_rows(spark):
 def test_gap_buckets(gap_rows):
     rows, ranks, comps, searches, results = gap_rows
     got = {r.keyword: r for r in rows.collect()}
-    assert {k: r.bucket for k, r in got.items()} == {"alpha": "weak", "beta": "missing", "gamma": "strong", "delta": "shared"}
-    assert (got["alpha"].best_competitor_rank, got["alpha"].search_volume) == (3, 80000)
-    assert got["beta"].difficulty is None and got["beta"].opportunity == 0.0
-    assert [r.keyword for r in gap.filter_gap(rows, max_difficulty=100).collect()] == ["alpha"]
-    assert [r.keyword for r in page_of(rows, gap.gap_order(), size=2).collect()] == ["alpha", "beta"]
+    assert {k: r.bucket for k, r in got.items()} == {"achse": "weak", "bremse": "missing", "gabel": "strong", "deichsel": "shared"}
+    assert (got["achse"].best_competitor_rank, got["achse"].search_volume) == (3, 80000)
+    assert got["bremse"].difficulty is None and got["bremse"].opportunity == 0.0
+    assert [r.keyword for r in gap.filter_gap(rows, max_difficulty=100).collect()] == ["achse"]
+    assert [r.keyword for r in page_of(rows, gap.gap_order(), size=2).collect()] == ["achse", "bremse"]
     wide = {r.keyword: r.comp_rival for r in gap.gap_matrix(rows, ranks, comps, "label", ["rival"]).collect()}
-    assert wide == {"alpha": 3, "beta": 3, "gamma": 9, "delta": None}
+    assert wide == {"achse": 3, "bremse": 3, "gabel": 9, "deichsel": None}
     seen = serp.competitor_overview(results.where("serp_search_id < 13"), searches.where("serp_search_id < 13"), comps.where("is_active"))
     assert (seen.first().serp_appearances, seen.first().avg_position) == (3, 5.0)
 
@@ -188,9 +188,9 @@ GSC_SCHEMA = "property_id int, date date, query string, country string, device s
 
 
 def test_search_console(spark):
-    rows = spark.createDataFrame([(1, at(1).date(), "q", "usa", "DESKTOP", 1, 12, 1000, 8.0), (1, at(2).date(), "q", "usa", "DESKTOP", 2, 10, 1100, 7.5)], GSC_SCHEMA)
+    rows = spark.createDataFrame([(1, at(1).date(), "q", "usa", "DESKTOP", 1, 31, 900, 6.0), (1, at(2).date(), "q", "usa", "DESKTOP", 2, 14, 700, 9.0)], GSC_SCHEMA)
     total = gsc.totals(rows, F.lit("2024-01-10").cast("date")).first()
-    assert (total.clicks, total.impressions, total.avg_position) == (22, 2100, 7.8)
+    assert (total.clicks, total.impressions, total.avg_position) == (45, 1600, 7.5)
     assert gsc.daily(rows, F.lit("2024-01-10").cast("date")).count() == 2
     again = UP.upsert(rows, rows.withColumn("clicks", F.lit(99)), gsc.QUERY_GRAIN, [F.desc("batch_seq")])
     assert [r.clicks for r in again.collect()] == [99, 99]
@@ -215,9 +215,9 @@ def test_recommendations(spark):
 
 
 def test_gap_recommendations(gap_rows):
-    rows = gap_rows[0].withColumn("opportunity", F.when(F.col("keyword") == "beta", 72.0).otherwise(F.col("opportunity")))
+    rows = gap_rows[0].withColumn("opportunity", F.when(F.col("keyword") == "bremse", 72.0).otherwise(F.col("opportunity")))
     (reco,) = recommend.from_gap(rows).collect()
-    assert (reco.title, reco.description) == ("Close the gap on: beta", "Competitors rank #3 while you are at #–.")
+    assert (reco.title, reco.description) == ("Close the gap on: bremse", "Competitors rank #3 while you are at #–.")
 
 
 def test_shared_keywords_reach_every_project_once(spark):
