@@ -152,7 +152,7 @@ def gap_rows(spark):
                                     "country string, language string, device string, keyword_id int, is_active boolean")
     obs = spark.createDataFrame([(0, at(1), 1, 18, ""), (2, at(1), 2, 2, "")],
                                 "tracked_keyword_id int, observed_at timestamp_ntz, event_id int, rank int, ranking_url string")
-    searches = spark.createDataFrame([(10, 1, "Alpha!", "US", "DESKTOP", at(2)), (11, 1, "bremse", "US", "DESKTOP", at(2)), (12, 1, "gabel", "US", "DESKTOP", at(2)),
+    searches = spark.createDataFrame([(10, 1, "Achse!", "US", "DESKTOP", at(2)), (11, 1, "bremse", "US", "DESKTOP", at(2)), (12, 1, "gabel", "US", "DESKTOP", at(2)),
                                       (13, 1, "achse", "US", "DESKTOP", at(1)), (14, 1, "deichsel", "GB", "DESKTOP", at(1))],
                                      "serp_search_id int, project_id int, keyword string, country string, device string, searched_at timestamp_ntz")
     results = spark.createDataFrame([(10, 3, "organic", "rival.com", "r1"), (11, 3, "organic", "www.rival.com", "r2"), (12, 9, "organic", "rival.com", "r3"),
@@ -160,7 +160,7 @@ def gap_rows(spark):
                                     "serp_search_id int, position int, result_type string, domain string, url string")
     comps = spark.createDataFrame([(1, 5, "rival.com", "rival", True), (1, 6, "idle.com", "idle", False)],
                                   "project_id int, competitor_id int, domain string, label string, is_active boolean")
-    batch = spark.createDataFrame([(1, 1, None, "us", "EN", " Buy Alpha", 80000, 1.0, 0.1, "v", at(1).date()), (2, 1, None, "us", "EN", "achse", 80000, 1.0, 0.1, "v", at(1).date())],
+    batch = spark.createDataFrame([(1, 1, None, "us", "EN", " Buy Achse", 80000, 1.0, 0.1, "v", at(1).date()), (2, 1, None, "us", "EN", "achse", 80000, 1.0, 0.1, "v", at(1).date())],
                                   "seq long, organization_id int, project_id int, country string, language string, keyword string, search_volume long, "
                                   "cpc double, competition double, provider string, created_on date")
     items = KP.clean_batch(batch)
