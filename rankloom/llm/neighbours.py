@@ -53,30 +53,46 @@ class Block:
         rest = np.sqrt(np.maximum(0.0, 1 - (lengths / longest) ** 2))
         self.axes = directions(vectors.shape[1] + 1, projections)
         at = (np.column_stack([vectors / longest, rest]).astype(np.float32) @ self.axes).T
-        self.order = np.argsort(at, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(at, self.order, axis=1)
+        order = np.argsort(at, axis=1, kind="stable")
+        # The sorted arrays lie one after the other, far enough apart to be searched as one.
+        self.reach = 2 * float(np.abs(at).max()) + 1
+        self.shift = np.arange(len(at)) * 2 * self.reach
+        self.base = np.arange(len(at)) * len(ids)
+        self.order = order.ravel()
+        self.sorted = (np.take_along_axis(at, order, axis=1).astype(np.float64) + self.shift[:, None]).ravel()
         self.width = WIDTH * (float(at.std(axis=1).mean()) or 1.0)
 
+    def _windows(self, centre: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+        low = np.searchsorted(self.sorted, centre - width, "left")
+        high = np.searchsorted(self.sorted, centre + width, "right")
+        return np.maximum(low, self.base), np.minimum(high, self.base + len(self.ids))
+
+    def _collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return np.bincount(np.concatenate([self.order[a:b] for a, b in zip(low.tolist(), high.tolist())]), minlength=len(self.ids))
+
     def nearest(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the block's best ``k`` for a query among all that collide often enough."""
-        n = len(self.ids)
-        centre = np.append(query / np.sqrt(query @ query), 0.0).astype(np.float32) @ self.axes
+        n, width = len(self.ids), self.width
+        centre = np.append(query / np.sqrt(query @ query), 0.0).astype(np.float32) @ self.axes + self.shift
         need, goal = int(np.ceil(SHARE * len(centre))), min(n, ENOUGH * k)
-        width = self.width
-        while True:
-            low = [int(np.searchsorted(s, c - width, "left")) for s, c in zip(self.sorted, centre)]
-            high = [int(np.searchsorted(s, c + width, "right")) for s, c in zip(self.sorted, centre)]
-            hits = np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, low, high)]), minlength=n)
-            found = np.flatnonzero(hits >= need)
-            if len(found) >= goal:
-                break
-            width *= GROWTH
+        low, high = self._windows(centre, width)
+        hits = self._collisions(low, high)
+        while np.count_nonzero(hits >= need) < goal:
+            # Wider windows hold the narrower ones: only what is added on either side is counted.
+            width = min(width * GROWTH, self.reach)
+            wide_low, wide_high = self._windows(centre, width)
+            hits += self._collisions(np.concatenate([wide_low, high]), np.concatenate([low, wide_high]))
+            low, high = wide_low, wide_high
         # The next query starts one step below, wherever its windows then end.
         self.width = width / GROWTH
+        found = np.flatnonzero(hits >= need)
         found = found[self.ids[found] != own]
         scores = exact(self.vectors[found], query)
-        best = np.lexsort((self.ids[found], -scores))[:k]
-        return self.ids[found][best], scores[best]
+        if len(found) > k:  # ties with the last one stay for the exact order
+            best = scores >= np.partition(scores, -k)[-k]
+            found, scores = found[best], scores[best]
+        order = np.lexsort((self.ids[found], -scores))[:k]
+        return self.ids[found][order], scores[order]
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
