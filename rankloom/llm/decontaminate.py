@@ -97,9 +97,10 @@ def document_stretches(docs: DataFrame, lengths: list[int], bits: np.ndarray) ->
 
 def hits(staged: DataFrame, windows: DataFrame) -> DataFrame:
     """doc_id, row_key, start, length and text of each document window that is a benchmark window."""
+    # Merge joins: Spark estimates the salted sides without their copies and would broadcast too much.
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
-    known = windows.select("fp", "length").distinct().select("fp", "length", salts)
-    texts = windows.select("length", F.col("text")).distinct().select("length", "text", salts)
+    known = windows.select("fp", "length").distinct().select("fp", "length", salts).hint("merge")
+    texts = windows.select("length", "text").distinct().select("length", "text", salts).hint("merge")
     salt = F.pmod(F.xxhash64("doc_id", "row_key", "first"), F.lit(SALTS)).cast("int").alias("salt")
     stretches = (staged.where(F.size("stretches") > 0).select("doc_id", "row_key", F.explode("stretches").alias("s"))
                  .select("doc_id", "row_key", "s.*").withColumn("salt", salt))
@@ -124,7 +125,7 @@ def items_met(found: DataFrame, windows: DataFrame) -> DataFrame:
     """Per document the ids of the items whose windows occur, in string order."""
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
     salt = F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(SALTS)).cast("int").alias("salt")
-    owners = windows.select("item_id", "length", "text").distinct().select("item_id", "length", "text", salts)
+    owners = windows.select("item_id", "length", "text").distinct().select("item_id", "length", "text", salts).hint("merge")
     return (found.select("doc_id", "row_key", "length", "text").distinct().withColumn("salt", salt)
             .join(owners, ["length", "text", "salt"]).groupBy("doc_id", "row_key")
             .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")))
