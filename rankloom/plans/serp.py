@@ -26,7 +26,7 @@ def find_ranks(results: DataFrame, searches: DataFrame, targets: DataFrame,
     A result belongs to a target when the www-folded hosts are equal or one is a subdomain of
     the other.  That suffix test becomes one equi-join without false partners: a result offers
     every suffix of its host to the targets themselves, and its whole host to the parent domains
-    of the targets.  Each pair can meet just once, and a top-level domain meets nobody.
+    of the targets.  Each pair can meet just once.
     """
     def key(probe: Column, kind: str) -> Column:
         return F.struct(probe.alias("probe"), F.lit(kind).alias("kind"))
