@@ -72,7 +72,5 @@ QUERIES: dict[str, Query] = {
 
 CHECKS: dict[str, str] = {
     "op1_decontamination": checks.OP1,
-    "op5_url_filter": op5_url_filter,
-    "op6_pii": op6_pii,
     "op7_line_dedup": checks.OP7,
 }
