@@ -56,4 +56,5 @@ def test_every_operator_is_registered():
 
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
-    assert set(__spark_entry__.oracle_sql()) <= names
+    sql = __spark_entry__.oracle_sql()
+    assert set(sql) <= names and all(isinstance(text, str) for text in sql.values())
