@@ -2,7 +2,8 @@
 
 Both tokenizers split a text into pieces and encode each piece by itself.  Texts of Latin letters
 below U+0250 are split here by the same rule; the library's model encodes each new piece once per
-Python worker.  Other texts go to the library whole.  Tests hold both ways against each other.
+Python worker.  Other texts, and texts that hold an added token of the vocabulary such as
+``<|endoftext|>``, go to the library whole.  Tests hold both ways against each other.
 """
 
 from __future__ import annotations
@@ -52,11 +53,14 @@ class _Kept(dict):
 
 
 class Encoder:
-    """Encodes whole texts to little-endian unsigned 16-bit ids; strings of special tokens are ordinary text."""
+    """Encodes whole texts to the library's ids as little-endian unsigned 16-bit numbers."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not t.normalized]
+        self.normalizer = self.library.normalizer
+        self.folded = [self._normal(t.content) for t in added if t.normalized]
         self.spaced = "Sequence" not in type(self.library.pre_tokenizer).__name__
         signs, model = _byte_signs(), self.library.model
         pieces = _BYTE_PIECES if self.spaced else _WORD_PIECES
@@ -76,10 +80,19 @@ class Encoder:
         self.unit = _Kept(unit, MAX_WORDS).__getitem__
         self.whole = lambda text: b"".join(map(known, pieces.findall(text)))
 
+    def _normal(self, text: str) -> str:
+        return self.normalizer.normalize_str(text) if self.normalizer else text
+
+    def _holds_added(self, text: str) -> bool:
+        """Whether the library may find an added token: as it stands, or in the normalized text."""
+        if any(token in text for token in self.added):
+            return True
+        return bool(self.folded) and any(map(self._normal(text).__contains__, self.folded))
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if not _LATIN.fullmatch(text):
+        if not _LATIN.fullmatch(text) or self._holds_added(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         if not self.spaced:
             return b"".join(map(self.unit, text.split()))

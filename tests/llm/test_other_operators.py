@@ -66,6 +66,42 @@ def test_ids_are_those_of_the_library(path):
         assert np.frombuffer(encode(text), "<u2").tolist() == want.ids, repr(text)
 
 
+@pytest.mark.parametrize("path", [BYTE_VOCABULARY, WORD_VOCABULARY])
+def test_added_tokens_get_the_ids_of_the_unmodified_library(path):
+    encode, library = Encoder(path), Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n", "x<|startoftext|>y", "A <|EndOfText|> b <|endoftext",
+             "é  <|endoftext|>\n\nz", "日本<|endoftext|>文", prose(3, 200) + "<|endoftext|>" + prose(4, 200)]
+    for text in [t or "" for t in ODD] + texts:
+        assert np.frombuffer(encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert len(encode("<|endoftext|>")) == 2
+
+
+def test_normalized_added_tokens_go_to_the_library(tmp_path):
+    from tokenizers import AddedToken
+
+    library, path = Tokenizer.from_file(WORD_VOCABULARY), str(tmp_path / "more.json")
+    library.add_tokens([AddedToken("Ship It", normalized=True)])
+    library.save(path)
+    encode = Encoder(path)
+    for text in ("we ship it now", "we SHIP\nIT now", "shipping"):
+        assert np.frombuffer(encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_added_tokens_in_token_files_and_packing(spark):
+    library, texts = {p: Tokenizer.from_file(p) for p in (BYTE_VOCABULARY, WORD_VOCABULARY)}, [(1, "a <|endoftext|> b"), (2, "plain words"), (3, "<|endoftext|>")]
+
+    def want(path, end):
+        return {i: np.array([*library[path].encode(t, add_special_tokens=False).ids, end], "<u4") for i, t in texts}
+
+    ids, at = want(BYTE_VOCABULARY, 0), 0
+    for r in tokenfile.report(documents(spark, texts), BYTE_VOCABULARY, 0).orderBy("doc_id").collect():
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids[r.doc_id]), zlib.crc32(ids[r.doc_id]))
+        at += r.n_tokens
+    ids = want(WORD_VOCABULARY, 1)
+    for r in packing.pieces(documents(spark, texts), WORD_VOCABULARY, 1).collect():
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start:r.start + r.length])
+
+
 def ids_of(path, text, end):
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
