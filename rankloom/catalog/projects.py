@@ -8,7 +8,7 @@ from rankloom.catalog.audits import ISSUES_CTE, SCORES_CTE, issues_of
 from rankloom.catalog.gaps import GAP_CTE, parts
 from rankloom.catalog.keywords import KEYWORDS_CTE, scored
 from rankloom.catalog.ranks import MOVEMENT_CTE
-from rankloom.catalog.registry import Tables, half_up, query
+from rankloom.catalog.registry import CHECKS, Tables, half_up, query
 from rankloom.plans import audit, overview, rankings, usage
 from rankloom.session import stage
 
@@ -141,6 +141,17 @@ def report_keywords(t: Tables):
     return overview.section_keywords(scored(t), t.projects)
 
 
+# The check above looks at the first 500 of a project; these two hold the whole list, and that listing.
+@query("q31_every_report_keyword", CHECKS["q31_report_keywords"].replace("WHERE rn <= 500", ""))
+def every_report_keyword(t: Tables):
+    return overview.section_keywords(scored(t), t.projects)
+
+
+@query("q31_first_500_report_keywords", CHECKS["q31_report_keywords"])
+def first_report_keywords(t: Tables):
+    return overview.section_keywords(scored(t), t.projects, n=500)
+
+
 @query("q31_report_rankings", f"""
     WITH {MOVEMENT_CTE}
     SELECT project_id, keyword, current_rank AS current, previous_rank AS previous, previous_rank - current_rank AS change, best_rank AS best, worst_rank AS worst

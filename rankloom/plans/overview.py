@@ -97,11 +97,11 @@ def section_audit_issues(issues: DataFrame, runs: DataFrame) -> DataFrame:
         F.col("affected_count").alias("affected"), F.col("advice").alias("recommendation"))
 
 
-def section_keywords(scored: DataFrame, projects: DataFrame, n: int = 500) -> DataFrame:
-    """The 500 best keywords per project, shared ones of its organisation included.
+def section_keywords(scored: DataFrame, projects: DataFrame, n: int | None = None) -> DataFrame:
+    """The keywords per project, shared ones of its organisation included, or the ``n`` best.
 
-    Only an organisation's best 500 shared keywords can make a project's list, so no more than
-    those meet its projects.
+    With ``n``, only an organisation's best ``n`` shared keywords can make a project's list, so no
+    more than those meet its projects.
     """
     order = [F.coalesce("opportunity", F.lit(0.0)).desc(), F.asc("keyword"), F.asc("keyword_id")]
     owned = scored.where(F.col("project_id").isNotNull())

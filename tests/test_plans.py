@@ -235,6 +235,20 @@ def test_shared_keywords_reach_every_project_once(spark):
         assert got.get(p, set()) == {r.keyword for r in best}
 
 
+def test_report_keywords_are_complete_unless_a_listing_asks_for_fewer(spark):
+    rows = [(i, 1, None, f"s{i:04d}", "LOCAL", 10, 0.1, 20.0, float(i % 90), "v") for i in range(600)]
+    rows += [(1000 + i, 1, 1, f"o{i:04d}", "LOCAL", 10, 0.1, 20.0, None, "v") for i in range(550)] + [(5000, 2, None, "else", "LOCAL", 10, 0.1, 20.0, 5.0, "v")]
+    scored = spark.createDataFrame(rows, "keyword_id int, organization_id int, project_id int, keyword string, intent string, search_volume long, "
+                                         "cpc double, difficulty double, opportunity double, provider string")
+    projects = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "project_id int, organization_id int")
+    got = sorted((r.project_id, r.keyword) for r in overview.section_keywords(scored, projects).collect())
+    shared, own = [f"s{i:04d}" for i in range(600)], [f"o{i:04d}" for i in range(550)]
+    assert got == [*[(1, k) for k in own + shared], *[(2, k) for k in shared], (3, "else")]
+    best = sorted(range(600), key=lambda i: (-(i % 90), i))[:500]
+    short = {(r.project_id, r.keyword) for r in overview.section_keywords(scored, projects, 500).collect()}
+    assert short == {(p, f"s{i:04d}") for p in (1, 2) for i in best} | {(3, "else")}
+
+
 def test_duplicate_marks_on_parsed_pages(spark):
     rows = [(1, i, f"https://a.com/{i}", "<p>same</p>" if i < 3 else f"<p>{i}</p>", 200, None, "text/html", None, False) for i in range(5)]
     fetched = spark.createDataFrame(rows, "crawl_run_id int, page_id int, url string, html string, status_code int, error string, "
