@@ -143,6 +143,11 @@ def every_decliner(t: Tables):
     return R.from_decliners(stored_queries(t), t.gsc_properties, decline_as_of())
 
 
+@query("q22_every_keyword", CHECKS["q22_from_keywords"].replace("WHERE rn <= 10", ""))
+def every_keyword(t: Tables):
+    return R.from_keywords(scored(t), t.tracked_keywords, t.projects, n=None)
+
+
 @query("q24_every_gap", CHECKS["q24_from_gap"].replace("rn <= 25 AND", "").replace("WHERE pick <= 10", ""))
 def every_gap(t: Tables):
     return R.from_gap(parts(t)[0])

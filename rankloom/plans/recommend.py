@@ -131,8 +131,8 @@ def best_first() -> list[Column]:
 
 
 def from_keywords(scored: DataFrame, tracked: DataFrame, projects: DataFrame,
-                  n: int = 10, least_opportunity: float = 40, least_volume: int = 500) -> DataFrame:
-    """The ``n`` most valuable keywords a project does not track yet (Q22).
+                  n: int | None = 10, least_opportunity: float = 40, least_volume: int = 500) -> DataFrame:
+    """The ``n`` most valuable keywords a project does not track yet, all with ``n=None`` (Q22).
 
     Shared keywords (no project) are candidates for every project of their organisation.
     """
@@ -141,7 +141,12 @@ def from_keywords(scored: DataFrame, tracked: DataFrame, projects: DataFrame,
         "search_volume", "difficulty", "intent", "opportunity")
     owned = good.where(F.col("project_id").isNotNull())
     shared = good.where(F.col("project_id").isNull()).drop("project_id")
-    candidates = owned.unionByName(_shared_candidates(shared, tracked, projects, n))
+    if n is None:
+        reached = projects.where(~F.col("is_deleted")).select("organization_id", "project_id")
+        spread = shared.join(reached, "organization_id")
+    else:
+        spread = _shared_candidates(shared, tracked, projects, n)
+    candidates = owned.unionByName(spread)
     best = top_n(KP.untracked(candidates, tracked), ["project_id"], best_first(), n)
     return _recommend(
         best, "CONTENT", "KEYWORDS", F.lit("NOTICE"), rounded(F.col("opportunity") / 10, 1),

@@ -235,6 +235,16 @@ def test_shared_keywords_reach_every_project_once(spark):
         assert got.get(p, set()) == {r.keyword for r in best}
 
 
+def test_every_untracked_keyword_is_recommended_without_a_bound(spark):
+    scored = spark.createDataFrame([(i, 1, None, f"k{i:04d}", f"k{i:04d}", 1000, 20.0, "LOCAL", 39.0 + i % 50) for i in range(300)] + [(999, 1, 5, "own", "own", 900, 1.0, "LOCAL", 99.0), (998, 1, 5, "rare", "rare", 499, 1.0, "LOCAL", 99.0)],
+                                   "keyword_id int, organization_id int, project_id int, keyword string, normalized_keyword string, search_volume long, difficulty double, intent string, opportunity double")
+    projects = spark.createDataFrame([(5, 1, False), (6, 1, False), (7, 1, True), (8, 2, False)], "project_id int, organization_id int, is_deleted boolean")
+    tracked = spark.createDataFrame([(5, f"k{i:04d}") for i in range(0, 300, 3)], "project_id int, normalized_keyword string")
+    got = sorted((r.project_id, r.related_keyword) for r in recommend.from_keywords(scored, tracked, projects, n=None).collect())
+    good = [f"k{i:04d}" for i in range(300) if i % 50]
+    assert got == sorted([(5, k) for k in good if int(k[1:]) % 3] + [(5, "own")] + [(6, k) for k in good])
+
+
 def test_report_keywords_are_complete_unless_a_listing_asks_for_fewer(spark):
     rows = [(i, 1, None, f"s{i:04d}", "LOCAL", 10, 0.1, 20.0, float(i % 90), "v") for i in range(600)]
     rows += [(1000 + i, 1, 1, f"o{i:04d}", "LOCAL", 10, 0.1, 20.0, None, "v") for i in range(550)] + [(5000, 2, None, "else", "LOCAL", 10, 0.1, 20.0, 5.0, "v")]
