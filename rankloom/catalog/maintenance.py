@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.catalog.keywords import KEYWORDS_CTE, scored
-from rankloom.catalog.registry import Tables, query
+from rankloom.catalog.registry import CHECKS, Tables, query
 from rankloom.functions import urls as U
 from rankloom.operators import upsert as UP
 from rankloom.plans import usage
@@ -24,6 +24,12 @@ def competitor_backfill(t: Tables):
     return vendor.competitor_backfill(t.projects, t.competitors.where(F.col("project_id") % 2 == 0))
 
 
+# The same beside the whole table; above, odd projects stand for ones whose competitors are not carried over yet.
+@query("s12_every_competitor", CHECKS["s12_u4_competitor_backfill"].replace(" WHERE project_id % 2 = 0", ""))
+def backfill_beside_every_competitor(t: Tables):
+    return vendor.competitor_backfill(t.projects, t.competitors)
+
+
 @query("k6_replace_run_results", """
     SELECT crawl_run_id, from_url, normalized_to_url FROM {links} WHERE crawl_run_id <> 2
     UNION ALL SELECT crawl_run_id, from_url, concat(normalized_to_url, '?v=2') FROM {links} WHERE crawl_run_id = 2""")
