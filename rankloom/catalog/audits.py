@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.catalog.pages import TEXT_SQL, TITLE_SQL, UNESCAPE_SQL
-from rankloom.catalog.registry import Tables, half_up, query
+from rankloom.catalog.registry import CHECKS, Tables, half_up, query
 from rankloom.functions.scores import BUCKET_WEIGHTS, CATEGORY_BUCKET
 from rankloom.operators.ranking import page_of
 from rankloom.operators.rules import rule_table, upsert_rules
@@ -159,6 +159,17 @@ def instances(t: Tables):
     return audit.instances(hits_of(t))
 
 
+# The check above looks at the first 500 of an issue; these two hold all instances, and that listing.
+@query("k8_every_instance", CHECKS["k8_q4_instances"].replace("WHERE rn <= 500", ""))
+def every_instance(t: Tables):
+    return audit.instances(hits_of(t))
+
+
+@query("k8_first_500_instances", CHECKS["k8_q4_instances"])
+def first_instances(t: Tables):
+    return audit.instances(hits_of(t), 500)
+
+
 @query("a6_bucket_scores", f"WITH {SCORES_CTE} SELECT crawl_run_id, bucket, score FROM scores")
 def bucket_scores(t: Tables):
     return audit.bucket_scores(issues_of(t), t.page_runs)
