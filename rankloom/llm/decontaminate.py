@@ -7,7 +7,8 @@ of a document mostly share that k-gram, so one row stands for such a stretch of
 window has the same fingerprint on both sides, hence every shared span of L words meets in the join.
 Hits are then extended: the stretch's windows are compared with the benchmark's as text.
 
-Nulls and empty texts have no words.  Items with a null ``item_id`` or repeated ids count once per id.
+Nulls and empty texts have no words.  Items that repeat an id count once per id.  Windows of items with
+a null ``item_id`` are hits like any other; only ``n_items`` and ``items_sha256`` need an id.
 Documents that repeat an id and its text each get the same row back; a null ``doc_id`` is kept.
 """
 
@@ -64,7 +65,7 @@ def benchmark_windows(items: DataFrame, span: int = 10) -> DataFrame:
                         "length": pa.array(np.full(len(fps), length), pa.int32()), "fp": fps,
                         "text": [words.text(a + j, a + j + length) for j in range(len(fps))]})
 
-    return (items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
+    return (items.where("text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
             .mapInArrow(windows, "item_id bigint, length int, fp bigint, text string").distinct())
 
 

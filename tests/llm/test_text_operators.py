@@ -52,6 +52,24 @@ def test_decontamination_equals_brute_force(spark):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, _, n, _ in want if not n and i is not None)
 
 
+def test_items_without_an_id_contaminate(spark, tmp_path):
+    from tests.compare import difference
+
+    import duckdb
+
+    texts = [(1, prose(9, 60)), (2, prose(9, 60) + " " + prose(2, 10)), (3, prose(2, 10)), (4, prose(70, 30)), (5, None)]
+    docs = documents(spark, texts)
+    bench = spark.createDataFrame([(None, prose(9, 20)), (None, prose(9, 15, 3)), (2, prose(2, 10))], "item_id bigint, text string")
+    got = {r.doc_id: (r.n_hit, list(r["items"])) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got[1][0] >= 20 and got[1][1] == [] and got[2][1] == got[3][1] == ["2"] and got[4] == got[5] == (0, [])
+    assert {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()} == {4, 5}
+    con = duckdb.connect()
+    for name, rows in (("documents", docs.select("doc_id", "text")), ("benchmark", bench)):
+        rows.write.parquet(str(tmp_path / name))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path / name}/*.parquet')")
+    assert difference(decontaminate.report(docs, bench), con, checks.OP1) is None
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, bench = documents(spark, [(1, "a b")]), spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.report(docs.limit(0), bench).count() == 0
