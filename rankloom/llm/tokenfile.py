@@ -11,8 +11,8 @@ A file holds consecutive documents in ascending doc_id order:
     frame ends             u64 for each document, from the end of this index
     frames                 each document's ids, little-endian, compressed by itself
 
-so any document is read with two short reads.  The dictionary is trained on the id arrays of a
-bounded sample of documents; its hash ties files to it.  Spark's own writer commits the files, as
+so any document is read with two short reads.  The dictionary is trained on bounded slices of
+the id arrays of a sample of documents; its hash ties files to it.  Spark's own writer commits the files, as
 rows (part, number, first token, content) of a Parquet table in a folder that all tasks share,
 beside a one-row table with the dictionary: lost or repeated tasks leave nothing half written.
 
@@ -40,7 +40,7 @@ from rankloom.llm.tokens import encoder
 
 MAGIC, _HEAD = b"TOKZ1\0", struct.Struct("<6sHQQ")
 NO_ID = -(1 << 63)
-#: The dictionary's size, the documents it is trained on, and the ids of one document at most there.
+#: The dictionary's size, the documents it is trained on, and the characters and ids of one document at most there.
 DICTIONARY_BYTES, SAMPLE, SAMPLE_IDS = 1 << 16, 1000, 4096
 #: A file is closed after so many bytes of frames.
 FILE_BYTES = 1 << 22
@@ -91,14 +91,18 @@ class TokenFile:
 
 
 def train(docs: DataFrame, path: str, end_id: int) -> bytes:
-    """The shared dictionary, trained in one task on at most ``SAMPLE`` documents of ordinary length."""
-    chosen = (docs.where(F.length("text") <= SAMPLE_IDS).select(F.xxhash64("doc_id", "text").alias("h"), "text")
-              .orderBy("h").limit(SAMPLE))
+    """The shared dictionary, trained in one task on at most ``SAMPLE`` documents.
+
+    Of a text of more than ``SAMPLE_IDS`` characters, a slice at a place that follows from its hash takes part.
+    """
+    place = F.pmod("h", F.greatest(F.lit(1), F.length("text") - SAMPLE_IDS + 1)).cast("int") + 1
+    chosen = (docs.where("text IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("h"), "text")
+              .select("h", F.substr("text", place, F.lit(SAMPLE_IDS)).alias("text")).orderBy("h").limit(SAMPLE))
     last = np.array([end_id], "<u2").tobytes()
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         encode = encoder(path)
-        return pd.DataFrame({"raw": [trained([encode(t) + last for t in part.sort_values("h")["text"]])]})
+        return pd.DataFrame({"raw": [trained([(encode(t) + last)[:2 * SAMPLE_IDS] for t in part.sort_values("h")["text"]])]})
 
     rows = chosen.groupBy().applyInPandas(fit, "raw binary").collect()
     return bytes(rows[0].raw) if rows else b""

@@ -123,6 +123,18 @@ def test_token_files_round_trip(spark):
     assert tokenfile.report(docs.limit(0), BYTE_VOCABULARY, 0).count() == 0
 
 
+def test_long_documents_train_the_dictionary(spark):
+    texts = [(i, " ".join(prose(i * 50 + j, 100) for j in range(12))) for i in range(40)]
+    assert min(len(t) for _, t in texts) > tokenfile.SAMPLE_IDS
+    docs = documents(spark, texts)
+    raw = tokenfile.train(docs, BYTE_VOCABULARY, 0)
+    assert raw and raw == tokenfile.train(docs.repartition(3), BYTE_VOCABULARY, 0)
+    (row,) = tokenfile.write(docs.limit(1), BYTE_VOCABULARY, 0, raw).collect()
+    assert tokenfile.TokenFile(row.content, raw).ids(0).size == row.n_tokens
+    with pytest.raises(ValueError):
+        tokenfile.TokenFile(row.content, b"")
+
+
 def test_one_document_is_read_by_its_index_and_the_dictionary_is_checked():
     import zstandard
 
