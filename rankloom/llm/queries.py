@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import checks, decontaminate, licenses, linededup, minhash, neighbours, packing, pii, quality, tokenfile, urlfilter
+from rankloom.llm import checks, decontaminate, licenses, linededup, minhash, negatives, neighbours, packing, pii, quality, tokenfile, urlfilter
 from rankloom.llm.common import table
 
 #: The installed package that holds vocabulary files; a path is a parameter of the operators.
@@ -57,6 +57,10 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -68,9 +72,11 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 CHECKS: dict[str, str] = {
     "op1_decontamination": checks.OP1,
     "op7_line_dedup": checks.OP7,
+    "op13_hard_negatives": checks.OP13,
 }
