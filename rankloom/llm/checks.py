@@ -56,6 +56,21 @@ SELECT d.doc_id, CAST(coalesce(before, 0) AS BIGINT) AS lines_before, CAST(coale
 FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words('text')} AS w FROM documents),
+c AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d),
+q AS (SELECT DISTINCT item_id, text, unnest({_words('text')}) AS t FROM benchmark),
+p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+s AS (SELECT item_id, text, r, doc_id,
+             CAST(sum(CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+                      * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total)))) AS BIGINT) AS score
+      FROM q JOIN p USING (t) JOIN f USING (t) CROSS JOIN c GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW w AS (PARTITION BY item_id, text ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
 OP13 = """
 WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
