@@ -183,7 +183,12 @@ def linked_in_families(docs: DataFrame, members: DataFrame, size: int, percent:
             .select("id", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                     F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")))
     sets = stage(sets_of(docs, named.select("id"), size)).dropDuplicates(["id"])
-    tasks = grid.join(sets, "id").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return linked_pairs(grid.join(sets, "id"), percent)
+
+
+def linked_pairs(grid: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the two sides of each (family, i, j) of rows with id, side and grams, or within its one side."""
+    tasks = grid.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, names, held_sets, sides = None, [], [], []

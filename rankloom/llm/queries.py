@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import checks, decontaminate, lexical, licenses, linededup, minhash, negatives, neighbours, packing, pii, quality, tokenfile, urlfilter
+from rankloom.llm import checks, decontaminate, lexical, licenses, linededup, minhash, negatives, neighbours, packing, pii, quality, setjoin, tokenfile, urlfilter
 from rankloom.llm.common import table
 
 #: The installed package that holds vocabulary files; a path is a parameter of the operators.
@@ -57,6 +57,10 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.report(table(spark, sf_dir, "embeddings"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.report(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_lexical_search": op12_lexical_search,
     "op13_hard_negatives": op13_hard_negatives,
 }
