@@ -9,7 +9,9 @@ from rankloom.catalog.registry import CHECKS, Tables, query
 from rankloom.functions import urls as U
 from rankloom.operators import upsert as UP
 from rankloom.plans import usage
+from rankloom.session import new_folder
 from rankloom.sinks.files import usage_rows, view_rows
+from rankloom.sinks.manifest import RangedTable
 from rankloom.sources import vendor
 
 
@@ -35,9 +37,12 @@ def backfill_beside_every_competitor(t: Tables):
     UNION ALL SELECT crawl_run_id, from_url, concat(normalized_to_url, '?v=2') FROM {links} WHERE crawl_run_id = 2""")
 def replace_run(t: Tables):
     old = t.links.select("crawl_run_id", "from_url", "normalized_to_url")
-    fresh = old.where(F.col("crawl_run_id") == 2).withColumn(
+    table = RangedTable(t.spark, new_folder(t.spark, "runs"), "crawl_run_id", ["from_url", "normalized_to_url"], rows_per_file=100_000)
+    table.create(old)
+    fresh = table.read().where(F.col("crawl_run_id") == 2).withColumn(
         "normalized_to_url", F.concat("normalized_to_url", F.lit("?v=2")))
-    return UP.replace_children(old, fresh, "crawl_run_id", fresh.select("crawl_run_id"))
+    table.replace(fresh.select("crawl_run_id"), fresh)
+    return table.read()
 
 
 @query("k9_replace_open", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.catalog.audits import ISSUES_CTE, SCORES_CTE, issues_of
@@ -10,8 +11,8 @@ from rankloom.catalog.keywords import KEYWORDS_CTE, scored
 from rankloom.catalog.ranks import MOVEMENT_CTE
 from rankloom.catalog.registry import CHECKS, Tables, half_up, query
 from rankloom.plans import audit, overview, rankings, usage
-from rankloom.session import stage
-
+from rankloom.session import new_folder, stage
+from rankloom.sinks.files import read_report, write_report
 
 
 def as_of():
@@ -178,3 +179,74 @@ def report_gap(t: Tables):
         SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, title, source) AS rn FROM {recommendations} WHERE status = 'OPEN')""")
 def report_recommendations(t: Tables):
     return overview.section_recommendations(t.recommendations)
+
+
+def _builders(t: Tables) -> dict:
+    """The section tables of every project, each built when its report asks for it."""
+    return {
+        "Project": lambda: report_project(t), "Audit summary": lambda: report_audit_summary(t),
+        "Audit issues": lambda: overview.section_audit_issues(issues_of(t), t.page_runs), "Keywords": lambda: report_keywords(t),
+        "Rankings": lambda: report_rankings(t), "Competitors": lambda: report_competitors(t), "Keyword gap": lambda: report_gap(t),
+        "Recommendations": lambda: report_recommendations(t)}
+
+
+def _written(t: Tables, kind: str) -> DataFrame:
+    """A report type of every project, written as files and read back."""
+    folder = new_folder(t.spark, "reports")
+    write_report(overview.report(kind, _builders(t), t.projects), t.projects, folder)
+    return read_report(t.spark, folder)
+
+
+def _text(column: str) -> str:
+    """SQL of one CSV field."""
+    text = f"coalesce(CAST({column} AS VARCHAR), '')"
+    return f"""CASE WHEN regexp_matches({text}, '[,"\\r\\n]') THEN '"' || replace({text}, '"', '""') || '"' ELSE {text} END"""
+
+
+def _section_sql(place: int, title: str, query_name: str, columns: list[str], order: str, empty: str | None = None) -> str:
+    """SQL of the lines of one section of every project, from the check of the section's own query."""
+    fields = " || ',' || ".join(_text(c) for c in columns)
+    none = f"""UNION ALL SELECT project_id, {place}, 2, 0, '{empty}' FROM all_projects WHERE project_id NOT IN (SELECT project_id FROM s{place})""" if empty else ""
+    return f"""s{place} AS ({CHECKS[query_name]}),
+    l{place} AS (SELECT project_id, {place} AS place, unnest([0, 1, 3]) AS kind, 0 AS n, unnest(['# {title}', '{",".join(columns)}', '']) AS line FROM all_projects
+        UNION ALL SELECT project_id, {place}, 2, row_number() OVER (PARTITION BY project_id ORDER BY {order}), {fields} FROM s{place}
+        WHERE project_id IN (SELECT project_id FROM all_projects) {none})"""
+
+
+def _report_sql(*sections: str) -> str:
+    union = " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(len(sections)))
+    return f"""WITH all_projects AS (SELECT CAST(n_nationkey AS BIGINT) AS project_id FROM nation), {", ".join(sections)}
+    SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY place, kind, n) - 1 AS INTEGER) AS line_no, line FROM ({union})"""
+
+
+_PROJECT_SECTION = _section_sql(0, "Project", "q31_report_project", ["field", "value"], "list_position(['name', 'domain', 'country', 'language', 'device'], field)")
+_BEST = "coalesce(opportunity, 0) DESC"
+
+
+@query("k10_rankings_report", _report_sql(_PROJECT_SECTION, _section_sql(
+    1, "Rankings", "q31_report_rankings", ["keyword", "current", "previous", "change", "best", "worst"],
+    ", ".join(f"{c} NULLS FIRST" for c in ("keyword", "current", "previous", "best", "worst")), "(no tracked keywords),,,,,")))
+def rankings_report(t: Tables):
+    return _written(t, "RANKINGS")
+
+
+@query("k10_competitors_report", _report_sql(
+    _PROJECT_SECTION,
+    _section_sql(1, "Competitors", "q31_report_competitors", ["domain", "label"], "domain, label", "(none),"),
+    _section_sql(2, "Keyword gap", "q31_report_gap", ["keyword", "your_rank", "bucket", "volume", "difficulty", "opportunity"],
+                 f"{_BEST}, keyword, your_rank NULLS FIRST, bucket, volume NULLS FIRST, difficulty NULLS FIRST")))
+def competitors_report(t: Tables):
+    return _written(t, "COMPETITORS")
+
+
+@query("k10_keywords_report", _report_sql(_PROJECT_SECTION, _section_sql(
+    1, "Keywords", "q31_every_report_keyword", ["keyword", "intent", "volume", "cpc", "difficulty", "opportunity", "provider"],
+    f"{_BEST}, " + ", ".join(f"{c} NULLS FIRST" for c in ("keyword", "intent", "volume", "cpc", "difficulty", "provider")))))
+def keywords_report(t: Tables):
+    return _written(t, "KEYWORDS")
+
+
+# Its audit and recommendation parts have advice texts that no check repeats; tests compare their lines.
+@query("k10_overview_report")
+def overview_report(t: Tables):
+    return _written(t, "SEO_OVERVIEW")

@@ -10,6 +10,8 @@ from rankloom.functions.numbers import rounded
 from rankloom.operators.upsert import replace_children
 from rankloom.plans import serp
 from rankloom.plans.keywords import saturation_by_search
+from rankloom.session import new_folder, stage
+from rankloom.sinks.manifest import RangedTable
 from rankloom.sources import vendor
 
 RESULTS_CTE = """
@@ -193,3 +195,47 @@ def replace_snapshots(t: Tables):
     fresh = (results.withColumnRenamed("serp_search_id", "snapshot_id").join(kept, "snapshot_id")
              .select(*columns))
     return replace_children(results, fresh, "serp_search_id", keyed.select("serp_search_id"))
+
+
+# Searches of two of five projects arrive anew; a cache key lies in projects of one remainder, so the others keep their rows.
+_ARRIVED = "project_id % 5 < 2"
+_REFRESHED = f"""
+    c AS (SELECT *, {CACHE_KEY_SQL} AS cache_key FROM {{searches}} WHERE {_ARRIVED}),
+    n AS (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY searched_at DESC, serp_search_id DESC) AS rn,
+                 min(serp_search_id) OVER (PARTITION BY cache_key) AS kept_id FROM c)"""
+
+
+def _refreshed(t: Tables):
+    """Stored results and features after the arrival of some searches."""
+    results = stage(results_of(t).select("serp_search_id", "position", "result_type", "domain", "url"))
+    tables = []
+    for name, rows, order in (("results", results, ["position", "url"]), ("features", t.serp_features, ["feature_type"])):
+        tables.append(RangedTable(t.spark, new_folder(t.spark, name), "serp_search_id", order, rows_per_file=100_000))
+        tables[-1].create(rows)
+    arrived = t.searches.where(_ARRIVED).withColumn("cache_key", cache_key_of_search())
+    serp.refresh_snapshots(*tables, arrived, results, t.serp_features)
+    return tables
+
+
+@query("k4_refreshed_results", f"""
+    WITH {RESULTS_CTE}, {_REFRESHED}
+    SELECT serp_search_id, position, result_type, domain, url FROM results WHERE serp_search_id NOT IN (SELECT serp_search_id FROM c)
+    UNION ALL SELECT kept_id, position, result_type, domain, url FROM n JOIN results r ON r.serp_search_id = n.serp_search_id WHERE rn = 1""")
+def refreshed_results(t: Tables):
+    return _refreshed(t)[0].read()
+
+
+@query("k4_refreshed_features", f"""
+    WITH {_REFRESHED}, f AS (
+        SELECT serp_search_id, feature_type FROM {{serp_features}} WHERE serp_search_id NOT IN (SELECT serp_search_id FROM c)
+        UNION ALL SELECT kept_id, feature_type FROM n JOIN {{serp_features}} f ON f.serp_search_id = n.serp_search_id WHERE rn = 1)
+    SELECT serp_search_id, feature_type, count(*) AS copies FROM f GROUP BY ALL""")
+def refreshed_features(t: Tables):
+    return _refreshed(t)[1].read().groupBy("serp_search_id", "feature_type").agg(F.count("*").alias("copies"))
+
+
+@query("q15_serp_detail_features", """
+    SELECT serp_search_id, project_id, keyword, feature_type, count(*) AS copies FROM {searches} JOIN {serp_features} USING (serp_search_id) GROUP BY ALL""")
+def serp_detail_features(t: Tables):
+    rows = serp.serp_detail_features(t.searches, t.serp_features)
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")).select("serp_search_id", "project_id", "keyword", "feature_type", "copies")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankloom.catalog.registry import Tables, half_up, query
 from rankloom.operators import upsert as UP
-from rankloom.operators.ranking import page_of
+from rankloom.operators.ranking import PageIndex, page_of
 from rankloom.plans import gsc
 from rankloom.plans.rankings import share_of_max
 from rankloom.session import new_folder
@@ -82,6 +82,14 @@ def gsc_pages(t: Tables):
     return gsc.by_dimension(stored_pages(t), "page", as_of())
 
 
+@query("l1_deep_page", """
+    SELECT property_id, date, query, batch_seq, clicks, count(*) OVER () AS total FROM {gsc_rows}
+    ORDER BY clicks DESC, batch_seq LIMIT 5 OFFSET 4995""")
+def deep_page(t: Tables):
+    rows = t.gsc_rows.select("property_id", "date", "query", "batch_seq", "clicks")
+    return PageIndex(rows, [F.desc("clicks"), F.asc("batch_seq")]).page(1000, 5)
+
+
 @query("l1_gsc_queries_page_2", f"""
     WITH q AS ({_STORED.format(dim='query')})
     SELECT property_id, query, {_MEASURES.format(position='position')} FROM q

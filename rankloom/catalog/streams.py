@@ -25,7 +25,7 @@ def stream_of(t: Tables, derived: str, given: str) -> DataFrame:
 def rank_stream(t: Tables):
     folder = new_folder(t.spark, "ranks")
     jobs.refresh_movements(stream_of(t, "rank_observations", "events"), folder)
-    return jobs.current_state(t.spark, folder, ["tracked_keyword_id"]).drop("last_checked_at")
+    return jobs.current_movements(t.spark, folder).drop("last_checked_at")
 
 
 @query("t2_search_console_stream", f"""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.session import stage
+from rankloom.session import new_folder, stage
 
 
 #: Tasks that share a group in the first step.
@@ -60,11 +60,36 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str) -> D
             .withColumn(out, (F.col("_inside") + F.col("_before")).cast("int")).select(*df.columns, out))
 
 
-def page_with_total(df: DataFrame, order: list[Column], page: int = 1, size: int = 50) -> tuple[DataFrame, int]:
-    """One page of an ordered listing, and the exact number of rows of the whole listing (L1)."""
-    return page_of(df, order, page, size), df.count()
+class PageIndex:
+    """An ordered listing stored in slices with their sizes, for pages at any depth (L1).
+
+    Rows are range-partitioned by ``order``, which has to end in a unique key, and written slice by slice.  The sizes of
+    the slices, a row for each shuffle partition, give the total and the slices that a page lies in: page
+    1,000 opens those alone, and no page sorts more than its slices.
+    """
+
+    def __init__(self, listing: DataFrame, order: list[Column]):
+        spark = listing.sparkSession
+        self.order, self.columns = order, listing.columns
+        sliced = listing.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()).sortWithinPartitions(*order)
+        folder = new_folder(spark, "pages")
+        sliced.write.partitionBy("_slice").parquet(folder)
+        self.stored = spark.read.schema(sliced.schema).parquet(folder)
+        self.starts, self.total = [], 0
+        for r in sorted(self.stored.groupBy("_slice").agg(F.count("*").alias("n")).collect(), key=lambda r: r["_slice"]):
+            self.starts.append((r["_slice"], self.total, self.total + r["n"]))
+            self.total += r["n"]
+
+    def page(self, page: int = 1, size: int = 50) -> DataFrame:
+        """The rows of a page, and ``total``: how many the whole listing has."""
+        first = (max(1, page) - 1) * size
+        touched = [(s, a) for s, a, b in self.starts if a < first + size and b > first]
+        rows = self.stored.where(F.col("_slice").isin([s for s, _ in touched]))
+        start = touched[0][1] if touched else first
+        return (rows.orderBy(*self.order).offset(first - start).limit(size).select(*self.columns)
+                .withColumn("total", F.lit(self.total).cast("long")))
 
 
 def page_of(df: DataFrame, order: list[Column], page: int = 1, size: int = 50) -> DataFrame:
-    """One page of an ordered listing (L1); the exact total is ``df.count()``."""
+    """One page near the front of an ordered listing (L1); ``PageIndex`` has deep ones and the total."""
     return df.orderBy(*order).offset((max(1, page) - 1) * size).limit(size)

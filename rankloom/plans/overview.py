@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.scores import SEVERITIES
 from rankloom.operators.ranking import latest, top_n
 from rankloom.plans import crawl
+from rankloom.session import stage
+from rankloom.sinks.files import Section
 
 
 def connected_projects(properties: DataFrame, connections: DataFrame) -> DataFrame:
@@ -73,9 +75,49 @@ REPORT_SECTIONS = {
 }
 
 
-def report(kind: str, builders: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
-    """The section tables of a report type; only its own builders run (Q31)."""
-    return {title: builders[title]() for title in REPORT_SECTIONS[kind]}
+# The line of a section that has no rows.
+EMPTY_SECTIONS = {
+    "Rankings": ["(no tracked keywords)", "", "", "", "", ""],
+    "Competitors": ["(none)", ""],
+    "Recommendations": ["(none yet — run recalculate)", "", "", "", ""],
+}
+
+
+def section_order(title: str) -> list[Column]:
+    """Order of a section's rows."""
+    best = F.coalesce("opportunity", F.lit(0.0)).desc()
+    return {
+        "Project": [F.expr(f"array_position({PROJECT_FIELDS}, field)")],
+        "Audit summary": [F.asc("health_score")],
+        "Audit issues": [F.desc("affected"), F.asc("rule")],
+        "Keywords": [best, *[F.asc(c) for c in ("keyword", "intent", "volume", "cpc", "difficulty", "provider")]],
+        "Rankings": [F.asc(c) for c in ("keyword", "current", "previous", "best", "worst")],
+        "Competitors": [F.asc("domain"), F.asc("label")],
+        "Keyword gap": [best, *[F.asc(c) for c in ("keyword", "your_rank", "bucket", "volume", "difficulty")]],
+        "Recommendations": [F.desc("score"), *[F.asc(c) for c in ("title", "source", "type", "severity")]],
+    }[title]
+
+
+def report(kind: str, builders: dict[str, Callable[[], DataFrame]], projects: DataFrame) -> dict[str, Section]:
+    """The sections of a report type; only its own builders run (Q31).
+
+    Projects without a completed audit have a section that says so instead of the audit's.
+    """
+    sections: dict[str, Section] = {}
+    audited = None
+    for title in REPORT_SECTIONS[kind]:
+        rows = builders[title]()
+        if title == "Audit summary":
+            rows = stage(rows)
+            audited = rows.select("project_id").distinct()
+            none = projects.select("project_id").join(audited, "project_id", "left_anti")
+            sections["Audit"] = Section(none.withColumn("info", F.lit("no completed audit")), [F.asc("info")], owners=none)
+        own = audited if title.startswith("Audit") else None
+        sections[title] = Section(rows, section_order(title), EMPTY_SECTIONS.get(title), own)
+    return sections
+
+
+PROJECT_FIELDS = "array('name', 'domain', 'country', 'language', 'device')"
 
 
 def section_project(projects: DataFrame) -> DataFrame:

@@ -12,28 +12,44 @@ def newest_first() -> list[Column]:
     return [F.desc("observed_at"), F.desc("event_id")]
 
 
-def movement(observations: DataFrame, newest: int | None = None) -> DataFrame:
-    """Current, previous, change, best and worst of all observations, or the ``newest`` ones.
+KEY = "tracked_keyword_id"
+
+
+def rank_summary(observations: DataFrame) -> DataFrame:
+    """What a set of observations says about each keyword, in a form that merges with other sets'.
 
-    The newest row counts as current even without a rank; previous is the first rank after
-    it.  All but the previous rank are combined before the shuffle, and that one needs the two
-    newest ranked rows of a keyword.
+    ``newest`` and the two newest with a rank are structs in order of time; all but those two are combined before
+    the shuffle, and these need two rows of a keyword.
     """
-    key = "tracked_keyword_id"
-    rows = observations if newest is None else top_n(observations, [key], newest_first(), newest)
-    at = F.struct("observed_at", "event_id")
-    whole = rows.groupBy(key).agg(
-        F.max_by("rank", at).alias("current_rank"), F.max_by("ranking_url", at).alias("current_url"),
-        F.max("observed_at").alias("last_checked_at"), F.min("rank").alias("best_rank"),
-        F.max("rank").alias("worst_rank"), F.count("*").alias("observations"), F.max(at).alias("_at"))
-    ranked = top_n(rows.where(F.col("rank").isNotNull()), [key], newest_first(), 2, "_nth")
-    two = ranked.groupBy(key).agg(F.max(F.when(F.col("_nth") == 1, at)).alias("_first_at"),
-                                  F.max(F.when(F.col("_nth") == 1, F.col("rank"))).alias("_first"),
-                                  F.max(F.when(F.col("_nth") == 2, F.col("rank"))).alias("_second"))
-    previous = F.when(F.col("_first_at") == F.col("_at"), F.col("_second")).otherwise(F.col("_first"))
-    return (whole.join(two, key, "left").withColumn("previous_rank", previous)
-            .select(key, "current_rank", "current_url", "last_checked_at", "previous_rank", "best_rank", "worst_rank", "observations",
-                    (F.col("previous_rank") - F.col("current_rank")).alias("change")))
+    at = F.struct("observed_at", "event_id", "rank", "ranking_url")
+    whole = observations.groupBy(KEY).agg(
+        F.max(at).alias("newest"), F.min("rank").alias("best_rank"), F.max("rank").alias("worst_rank"), F.count("*").alias("observations"))
+    ranked = top_n(observations.where(F.col("rank").isNotNull()), [KEY], newest_first(), 2)
+    two = ranked.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("observed_at", "event_id", "rank")), asc=False).alias("ranked"))
+    return whole.join(two, KEY, "left")
+
+
+def merged_summaries(summaries: DataFrame) -> DataFrame:
+    """One summary per keyword; a keyword has one in each set, so these are few."""
+    pairs = F.sort_array(F.flatten(F.collect_list("ranked")), asc=False)
+    return summaries.groupBy(KEY).agg(
+        F.max("newest").alias("newest"), F.min("best_rank").alias("best_rank"), F.max("worst_rank").alias("worst_rank"),
+        F.sum("observations").alias("observations"), F.slice(pairs, 1, 2).alias("ranked"))
+
+
+def movement_of(summaries: DataFrame) -> DataFrame:
+    """Movement from summaries: the newest row counts as current even without a rank, previous is the first rank after it."""
+    first, second = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
+    is_newest = (first["observed_at"] == F.col("newest.observed_at")) & (first["event_id"] == F.col("newest.event_id"))
+    return (summaries.withColumn("previous_rank", F.when(is_newest, second["rank"]).otherwise(first["rank"]))
+            .select(KEY, F.col("newest.rank").alias("current_rank"), F.col("newest.ranking_url").alias("current_url"),
+                    F.col("newest.observed_at").alias("last_checked_at"), "previous_rank", "best_rank", "worst_rank", "observations",
+                    (F.col("previous_rank") - F.col("newest.rank")).alias("change")))
+
+
+def movement(observations: DataFrame, newest: int | None = None) -> DataFrame:
+    """Current, previous, change, best and worst of all observations, or the ``newest`` ones."""
+    return movement_of(rank_summary(observations if newest is None else top_n(observations, [KEY], newest_first(), newest)))
 
 
 def movement_list(tracked: DataFrame, observations: DataFrame) -> DataFrame:

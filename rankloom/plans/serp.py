@@ -9,6 +9,8 @@ from rankloom.functions import urls as U
 from rankloom.functions.keywords import with_normalized_keyword
 from rankloom.functions.numbers import rounded
 from rankloom.operators.ranking import latest, top_n
+from rankloom.session import stage
+from rankloom.sinks.manifest import RangedTable
 
 CACHE_DAYS = 7
 
@@ -102,6 +104,18 @@ def replace_snapshots(searches: DataFrame) -> DataFrame:
             .withColumnRenamed("_first", "serp_search_id"))
 
 
+def refresh_snapshots(stored_results: RangedTable, stored_features: RangedTable, arrived: DataFrame, results: DataFrame, features: DataFrame) -> None:
+    """Replace results and features of the cache keys among ``arrived`` by their newest search's (K4).
+
+    ``arrived`` are all searches of these keys; only files that hold some of them are rewritten.
+    """
+    kept = stage(replace_snapshots(arrived).select("snapshot_id", F.col("serp_search_id").alias("_kept")))
+    for table, rows in ((stored_results, results), (stored_features, features)):
+        fresh = (rows.join(kept, F.col("serp_search_id") == F.col("snapshot_id")).drop("serp_search_id", "snapshot_id")
+                 .withColumnRenamed("_kept", "serp_search_id").select(*rows.columns))
+        table.replace(arrived.select("serp_search_id"), fresh)
+
+
 def competitor_overview(results: DataFrame, searches: DataFrame,
                         competitors: DataFrame) -> DataFrame:
     """Appearances and mean rank per competitor."""
@@ -138,3 +152,8 @@ def serp_detail(searches: DataFrame, results: DataFrame) -> DataFrame:
     return searches.select("serp_search_id", "project_id", "keyword").join(
         results.select("serp_search_id", "position", "result_type", "domain", "url"),
         "serp_search_id")
+
+
+def serp_detail_features(searches: DataFrame, features: DataFrame) -> DataFrame:
+    """Features of each search beside its results: one row per feature, in its place (Q15)."""
+    return searches.select("serp_search_id", "project_id", "keyword").join(features, "serp_search_id")

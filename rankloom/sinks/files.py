@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.scores import usage_units
+from rankloom.operators.ranking import numbered
 
 CSV_OPTIONS = {"header": "true", "nullValue": "", "emptyValue": "", "escape": '"'}
 
@@ -23,21 +25,70 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def section_folder(title: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "_", title.lower()).strip("_")
+#: A project's report is cut into files of so many lines; one after the other they are the report.
+LINES_PER_FILE = 100_000
 
 
-def write_report(sections: dict[str, DataFrame], path: str, partition: str | None = "project_id") -> None:
-    """One CSV folder per section, split by project; nulls become empty fields.
+@dataclass
+class Section:
+    """A titled table of a report: its rows by ``project_id``, their order, the line that stands for none, and
+    the projects that have the section, where not all do."""
 
-    Sections are tables of their own here: a distributed write has no single file to put
-    ``# section`` marks in, so the mark is the folder name.
+    rows: DataFrame
+    order: list[Column]
+    empty: list[str] | None = None
+    owners: DataFrame | None = None
+
+    def columns(self) -> list[str]:
+        return [c for c in self.rows.columns if c != "project_id"]
+
+
+def csv_line(values: list[Column]) -> Column:
+    """Values as one CSV line: nulls are empty, what holds a comma, quote or line break is quoted."""
+    fields = []
+    for v in values:
+        text = F.coalesce(v.cast("string"), F.lit(""))
+        fields.append(F.when(text.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text))
+    return F.concat_ws(",", *fields)
+
+
+def report_lines(sections: dict[str, Section], projects: DataFrame) -> DataFrame:
+    """project_id, line_no (from 0) and line of every project's report: ``# title``, header, rows, blank line."""
+    lines = []
+    for place, (title, section) in enumerate(sections.items()):
+        columns, owners = section.columns(), projects.select("project_id").distinct()
+        if section.owners is not None:
+            owners = owners.join(section.owners, "project_id", "left_semi")
+        marks = [(0, csv_line([F.lit(f"# {title}")])), (1, csv_line([F.lit(c) for c in columns])), (3, F.lit(""))]
+        lines.append(owners.select("project_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(0).alias("n"), x.alias("line")) for k, x in marks])).alias("x"))
+                     .select("project_id", F.lit(place).alias("place"), "x.*"))
+        own = section.rows.join(owners, "project_id", "left_semi")
+        lines.append(numbered(own, ["project_id"], section.order, "_n").select(
+            "project_id", F.lit(place).alias("place"), F.lit(2).alias("kind"), F.col("_n").alias("n"), csv_line([F.col(c) for c in columns]).alias("line")))
+        if section.empty:
+            lines.append(owners.join(section.rows.select("project_id"), "project_id", "left_anti").select(
+                "project_id", F.lit(place).alias("place"), F.lit(2).alias("kind"), F.lit(0).alias("n"), csv_line([F.lit(v) for v in section.empty]).alias("line")))
+    every = reduce(DataFrame.unionByName, lines)
+    return numbered(every, ["project_id"], [F.asc("place"), F.asc("kind"), F.asc("n")], "_at").select("project_id", (F.col("_at") - 1).alias("line_no"), "line")
+
+
+def write_report(sections: dict[str, Section], projects: DataFrame, path: str, lines_per_file: int = LINES_PER_FILE) -> None:
+    """One CSV report per project under ``project_id=…``, all its sections in order.
+
+    A task writes at most ``lines_per_file`` lines of a project, so a large report has several files, which
+    ``part`` numbers; every other report is one file.
     """
-    for title, rows in sections.items():
-        writer = rows.write.mode("overwrite").options(**CSV_OPTIONS)
-        if partition and partition in rows.columns:
-            writer = writer.partitionBy(partition)
-        writer.csv(f"{path}/{section_folder(title)}")
+    placed = report_lines(sections, projects).withColumn("part", F.expr(f"CAST(line_no DIV {int(lines_per_file)} AS INT)"))
+    (placed.repartition("project_id", "part").sortWithinPartitions("project_id", "part", "line_no").select("project_id", "part", "line")
+     .write.mode("overwrite").option("lineSep", "\r\n").partitionBy("project_id", "part").text(path))
+
+
+def read_report(spark: SparkSession, path: str, lines_per_file: int = LINES_PER_FILE) -> DataFrame:
+    """project_id, line_no and line of the written reports."""
+    files = spark.read.schema("value string, project_id long, part int").text(path, wholetext=True)
+    text = F.expr("substring(value, 1, length(value) - 2)")  # the last line ends too
+    lines = files.select("project_id", "part", F.posexplode(F.split(text, "\r\n")).alias("at", "line"))
+    return lines.select("project_id", (F.col("part") * lines_per_file + F.col("at")).cast("int").alias("line_no"), "line")
 
 
 # Columns of the exported views.

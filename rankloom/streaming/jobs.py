@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from rankloom.operators.ranking import latest
 from rankloom.operators.upsert import upsert
-from rankloom.plans.rankings import movement
-from rankloom.session import new_folder, stage
+from rankloom.plans.rankings import merged_summaries, movement_of, rank_summary
+from rankloom.session import stage
+from rankloom.sinks.manifest import BatchTable
 
 GSC_QUERY_GRAIN = ["property_id", "date", "query", "country", "device"]
-CACHE_TTL = "7 days"
-HISTORY_BUCKETS = 64
+TTL_MICROS = 7 * 86_400 * 1_000_000
 
 
 def run_batches(rows: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str,
@@ -25,30 +27,23 @@ def run_batches(rows: DataFrame, handle: Callable[[DataFrame, int], None], check
     job.awaitTermination()
 
 
-def current_state(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """Latest update per key."""
-    rows = spark.read.parquet(f"{folder}/updates")
-    return latest(rows, keys, [F.desc("batch")]).drop("batch")
+def rank_table(spark: SparkSession, folder: str) -> BatchTable:
+    return BatchTable(spark, folder, merged_summaries)
 
 
 def refresh_movements(observations: DataFrame, folder: str) -> None:
-    """Append new observations and recompute the movement of the keywords they touch.
+    """Each batch adds what it says about its keywords; history is never read again.
 
-    The history lies in buckets by keyword; a batch reads those that its keywords fall into.
+    A summary holds a keyword's newest observation, its two newest ranks, best, worst and count.
+    Summaries of any split of the observations, in any order, merge to the same one.
     """
-    table = f"{folder}/observations"
-    bucket = F.pmod(F.xxhash64("tracked_keyword_id"), F.lit(HISTORY_BUCKETS)).cast("int")
+    run_batches(observations, lambda batch, batch_id: rank_table(batch.sparkSession, folder).add(rank_summary(batch), batch_id),
+                f"{folder}/checkpoint")
 
-    def refresh(batch: DataFrame, batch_id: int) -> None:
-        placed = batch.withColumn("bucket", bucket)
-        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={batch_id}")
-        hit = [r.bucket for r in placed.select("bucket").distinct().collect()]
-        seen = batch.sparkSession.read.parquet(table).where(F.col("bucket").isin(hit)).drop("batch", "bucket")
-        touched = batch.select("tracked_keyword_id").distinct()
-        fresh = movement(seen.join(touched, "tracked_keyword_id", "left_semi"))
-        fresh.write.mode("overwrite").parquet(f"{folder}/updates/batch={batch_id}")
 
-    run_batches(observations, refresh, f"{folder}/checkpoint")
+def current_movements(spark: SparkSession, folder: str) -> DataFrame:
+    """Movement per keyword as of the last batch."""
+    return movement_of(rank_table(spark, folder).read())
 
 
 def sync_search_console(rows: DataFrame, folder: str, grain: list[str], newest_first: list[Column]) -> None:
@@ -77,72 +72,94 @@ def sync_search_console(rows: DataFrame, folder: str, grain: list[str], newest_f
     run_batches(rows, merge, f"{folder}/checkpoint")
 
 
+class AcceptedSearches(StatefulProcessor):
+    """A key's accepted searches, in order; a search is new unless one lies at most seven days before it."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.accepted = handle.getValueState("accepted", "at array<bigint>", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        held = self.accepted.get()
+        known, new = list(held[0]) if held else [], []
+        for at in sorted({r.at for r in rows if r.at is not None}):
+            before = bisect_right(known, at)
+            if not before or at - known[before - 1] >= TTL_MICROS:
+                known.insert(before, at)
+                new.append(Row(cache_key=key[0], at=at))
+        if new or self.ttl_ms is not None:
+            self.accepted.update((known,))
+        yield from new
+
+    def close(self) -> None:
+        pass
+
+
+def _accepted(searches: DataFrame, folder: str, ttl_ms: int | None) -> DataStreamWriter:
+    searches.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
+                                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keyed = searches.select("cache_key", F.unix_micros(F.col("searched_at").cast("timestamp")).alias("at")).groupBy("cache_key")
+    new = keyed.transformWithState(AcceptedSearches(ttl_ms), "cache_key string, at bigint", "Append", "None" if ttl_ms is None else "ProcessingTime")
+    return (new.select("cache_key", F.timestamp_micros("at").alias("searched_at")).writeStream.outputMode("append").format("parquet")
+            .option("path", f"{folder}/updates").option("checkpointLocation", f"{folder}/checkpoint"))
+
+
 def cache_searches(searches: DataFrame, folder: str) -> None:
     """One search per cache key until seven days have passed, however late a search arrives.
 
-    A search is new unless an accepted one lies at most seven days before it.  A batch accepts the
-    earliest new search of each key, and goes on while searches are left that none covers; the
-    number of rounds is bounded by the weeks that the batch spans.
+    A search is new unless an accepted one lies at most seven days before it.  The accepted searches of
+    a key are its state, so a batch reads those of its own keys only; they are kept for good, as a search may
+    arrive months late.  A task takes the rows that one batch holds of a key together; the source bounds a batch.
     """
-    def accept(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        left = stage(batch.select("cache_key", "searched_at"))
-        # What this batch wrote in a run that broke off does not count.
-        known = _updates(spark, folder, left).where(F.col("batch") != batch_id).select("cache_key", "searched_at")
-        taken = left.limit(0)
-        while True:
-            seen = known.unionByName(taken).select("cache_key", F.col("searched_at").alias("since"))
-            covered = (F.col("searched_at") >= F.col("since")) & (F.col("searched_at") < F.col("since") + F.expr(f"INTERVAL {CACHE_TTL}"))
-            left = stage(left.alias("l").join(seen.alias("s"), (F.col("l.cache_key") == F.col("s.cache_key")) & covered, "left_anti"))
-            if left.isEmpty():
-                break
-            taken = stage(taken.unionByName(left.groupBy("cache_key").agg(F.min("searched_at").alias("searched_at"))))
-        taken.write.mode("overwrite").parquet(f"{folder}/updates/batch={batch_id}")
-
-    run_batches(searches, accept, f"{folder}/checkpoint")
-
-
-def _updates(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
-    """All batches written so far with their number; none before the first."""
-    try:
-        return spark.read.parquet(f"{folder}/updates")
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return like.limit(0).withColumn("batch", F.lit(0))
+    _accepted(searches, folder, None).trigger(availableNow=True).start().awaitTermination()
+
+
+def cache_searches_on(searches: DataFrame, folder: str, forget_after: timedelta, every: str = "10 seconds") -> StreamingQuery:
+    """T3 as a job that goes on: a key without any search for ``forget_after`` (of the clock) is forgotten."""
+    return _accepted(searches, folder, int(forget_after.total_seconds() * 1000)).trigger(processingTime=every).start()
 
 
 USAGE_GRAIN = ["day", "organization_id", "service"]
 
 
-def _add_up(rows: DataFrame, sums: Callable[[DataFrame], DataFrame], folder: str) -> None:
-    """Write each batch's own sums: nothing is kept in memory, and repeating a batch changes nothing."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        sums(batch).write.mode("overwrite").parquet(f"{folder}/updates/batch={batch_id}")
+def _summed(grain: list[str], sums: list[str]) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: rows.groupBy(*grain).agg(*[F.sum(c).alias(c) for c in sums])
 
-    run_batches(rows, write, f"{folder}/checkpoint")
+
+def usage_table(spark: SparkSession, folder: str) -> BatchTable:
+    return BatchTable(spark, folder, _summed(USAGE_GRAIN, ["units", "calls"]))
 
 
 def meter_usage(usage: DataFrame, folder: str) -> None:
     """T4: each batch's units per organisation, service and day, late events included."""
-    _add_up(usage, lambda batch: batch.groupBy(F.col("created_at").cast("date").alias("day"), "organization_id", "service").agg(
-        F.sum("units").alias("units"), F.count("*").alias("calls")), folder)
+    def sums(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(F.col("created_at").cast("date").alias("day"), "organization_id", "service").agg(
+            F.sum("units").alias("units"), F.count("*").alias("calls"))
+
+    run_batches(usage, lambda batch, batch_id: usage_table(batch.sparkSession, folder).add(sums(batch), batch_id), f"{folder}/checkpoint")
 
 
 def daily_usage(spark: SparkSession, folder: str) -> DataFrame:
-    """The metered days: batch sums added up; a month is summed from its days."""
-    return spark.read.parquet(f"{folder}/updates").groupBy(*USAGE_GRAIN).agg(
-        F.sum("units").alias("units"), F.sum("calls").alias("calls"))
+    """The metered days; a month is summed from its days."""
+    return usage_table(spark, folder).read()
+
+
+def crawl_table(spark: SparkSession, folder: str) -> BatchTable:
+    return BatchTable(spark, folder, _summed(["crawl_run_id"], ["pages_crawled", "pages_failed"]))
 
 
 def count_fetches(fetches: DataFrame, folder: str) -> None:
     """T5: each batch's counters per crawl run."""
     failed = F.col("error").isNotNull() | (F.coalesce("status_code", F.lit(0)) >= 400)
-    _add_up(fetches, lambda batch: batch.groupBy("crawl_run_id").agg(
-        F.count("*").alias("pages_crawled"), F.count(F.when(failed, 1)).alias("pages_failed")), folder)
+
+    def sums(batch: DataFrame) -> DataFrame:
+        return batch.groupBy("crawl_run_id").agg(F.count("*").alias("pages_crawled"), F.count(F.when(failed, 1)).alias("pages_failed"))
+
+    run_batches(fetches, lambda batch, batch_id: crawl_table(batch.sparkSession, folder).add(sums(batch), batch_id), f"{folder}/checkpoint")
 
 
 def crawl_progress(spark: SparkSession, folder: str) -> DataFrame:
     """Running counters per crawl run."""
-    return spark.read.parquet(f"{folder}/updates").groupBy("crawl_run_id").agg(
-        F.sum("pages_crawled").alias("pages_crawled"), F.sum("pages_failed").alias("pages_failed"))
+    return crawl_table(spark, folder).read()

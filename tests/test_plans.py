@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import linkgraph
 from rankloom.operators import upsert as UP
-from rankloom.operators.ranking import numbered, page_of
+from rankloom.operators.ranking import PageIndex, numbered, page_of
 from rankloom.operators.rules import catalogue, rule_table, upsert_rules
 from rankloom.plans import audit, crawl, gap, gsc, overview, rankings, recommend, serp, usage
 from rankloom.plans import keywords as KP
@@ -327,13 +327,54 @@ def test_coverage_and_exports(spark):
 
 
 def test_report_files(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a,b", None), (2, "c", 3)], "project_id int, keyword string, volume int")
-    files.write_report({"Keyword gap": rows}, str(tmp_path / "report"))
-    (part,) = glob.glob(str(tmp_path / "report/keyword_gap/project_id=1/*.csv"))
-    assert list(csv.reader(open(part))) == [["keyword", "volume"], ["a,b", ""]]
+    rows = spark.createDataFrame([(1, "a,b", None), (1, 'say "x"\nagain', 2), (2, "c", 3)], "project_id bigint, keyword string, volume int")
+    projects = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "project_id bigint, name string")
+    sections = {"Names": files.Section(projects, [F.asc("name")]),
+                "Keyword gap": files.Section(rows, [F.asc("keyword")], ["(none)", ""]),
+                "Some": files.Section(rows.select("project_id", "volume"), [F.asc("volume")], owners=projects.where("project_id = 2"))}
+    for n in (4, files.LINES_PER_FILE):
+        path = str(tmp_path / f"report{n}")
+        files.write_report(sections, projects, path, n)
+        text = {}
+        for i in (1, 2, 3):
+            parts = sorted(glob.glob(f"{path}/project_id={i}/part=*/*.txt"), key=lambda f: int(f.split("part=")[1].split("/")[0]))
+            text[i] = "".join(open(f, newline="").read() for f in parts)
+        assert list(csv.reader(text[1].split("\r\n")))[:-1] == [
+            ["# Names"], ["name"], ["x"], [], ["# Keyword gap"], ["keyword", "volume"], ["a,b", ""], ['say "x"\nagain', "2"], []]
+        assert text[2] == "# Names\r\nname\r\ny\r\n\r\n# Keyword gap\r\nkeyword,volume\r\nc,3\r\n\r\n# Some\r\nvolume\r\n3\r\n\r\n"
+        assert text[3].endswith("# Keyword gap\r\nkeyword,volume\r\n(none),\r\n\r\n")
+        back = files.read_report(spark, path, n).where("project_id = 2").orderBy("line_no").collect()
+        assert [r.line_no for r in back] == list(range(12)) and back[6].line == "c,3"
+
+
+def test_reports_have_the_sections_of_their_type(spark):
+    projects = spark.createDataFrame([(1, "a", "a.com", "US", "en", "D"), (2, "b", "b.com", "US", "en", "D")],
+                                     "project_id bigint, name string, domain string, country string, language string, device string")
+    summary = spark.createDataFrame([(1, 93.1, 41, 2)], "project_id bigint, health_score double, pages_crawled int, rules_firing int")
+    issues = spark.createDataFrame([(1, "R1", "ERROR", "META", 3, "x"), (1, "R2", "ERROR", "META", 9, "y")],
+                                   "project_id bigint, rule string, severity string, category string, affected int, recommendation string")
+    built = []
+    builders = {title: (lambda title=title, rows=rows: built.append(title) or rows) for title, rows in
+                {"Project": overview.section_project(projects), "Audit summary": summary, "Audit issues": issues, "Keywords": None}.items()}
+    lines = files.report_lines(overview.report("AUDIT", builders, projects), projects).orderBy("line_no").collect()
+    assert built == ["Project", "Audit summary", "Audit issues"]
+    own = {i: [r.line for r in lines if r.project_id == i] for i in (1, 2)}
+    assert own[1][8:] == ["# Audit summary", "health_score,pages_crawled,rules_firing", "93.1,41,2", "", "# Audit issues",
+                          "rule,severity,category,affected,recommendation", "R2,ERROR,META,9,y", "R1,ERROR,META,3,x", ""]
+    assert own[2][8:] == ["# Audit", "info", "no completed audit", ""]
     assert set(overview.REPORT_SECTIONS) == {"SEO_OVERVIEW", "AUDIT", "KEYWORDS", "RANKINGS", "COMPETITORS"}
 
 
+def test_deep_pages_open_their_slices_only(spark):
+    rows = spark.range(1000).select("id", (F.col("id") * 7 % 10).alias("v"))
+    index = PageIndex(rows.repartition(4), [F.desc("v"), F.asc("id")])
+    want = [r.id for r in rows.orderBy(F.desc("v"), "id").collect()]
+    for page, size in ((1, 50), (7, 33), (100, 10), (31, 33), (500, 10), (0, 5)):
+        got = index.page(page, size).collect()
+        assert [r.id for r in got] == want[(max(page, 1) - 1) * size:][:size] and all(r.total == 1000 for r in got)
+    assert PageIndex(rows.limit(0), [F.asc("id")]).page(1).count() == 0
+
+
 def test_replacing_a_run_keeps_the_others(spark, tmp_path):
     path = str(tmp_path / "results")
     files.replace_runs(spark.createDataFrame([(1, "a"), (2, "b")], "crawl_run_id int, url string"), path)
