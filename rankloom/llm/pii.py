@@ -31,7 +31,7 @@ VOTES = ("v_form", "v_list", "v_words", "v_sense")
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: A match begins where a run of its first class does, or where the match before it ended.
-EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: Single blanks and hyphens between digits are joined to them first, so that one class is enough.
 JOINT, SPARE = "￿", "￾"
