@@ -106,9 +106,10 @@ def hits(staged: DataFrame, windows: DataFrame) -> DataFrame:
     stretches = (staged.where(F.size("stretches") > 0).select("doc_id", "row_key", F.explode("stretches").alias("s"))
                  .select("doc_id", "row_key", "s.*").withColumn("salt", salt))
     met = stretches.join(known, ["fp", "length", "salt"])
+    # A stretch is split once, as the element of a list of one: a run of one word may be a stretch of a whole text.
     extended = met.select("doc_id", "row_key", "length", "salt", F.explode(F.expr(
-        "transform(sequence(0, last - first), i -> struct(first + i AS start,"
-        " array_join(slice(split(context, ' '), i + 1, length), ' ') AS text))")).alias("w")).select(
+        "transform(array(split(context, ' ')), w -> transform(sequence(0, last - first), i -> struct(first + i AS start,"
+        " array_join(slice(w, i + 1, length), ' ') AS text)))[0]")).alias("w")).select(
         "doc_id", "row_key", "length", "salt", "w.*")
     return extended.join(texts, ["length", "text", "salt"]).drop("salt")
 

@@ -55,6 +55,16 @@ def test_vectors_that_take_no_part_ties_and_few_candidates(spark):
     assert neighbours.report(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e-200, 1e-320, 1e200, 1e308])
+def test_vectors_of_any_length(spark, size):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(size * x) if i == 20 else float(x) for x in rng.uniform(-1, 1, 6)]) for i in range(60)] + [(80, [0.5] * 6), (100, [0.5] * 6)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = neighbours.report(table).toPandas()
+    assert sorted(got.groupby("query_id").size().items()) == [(q, 20) for q in (0, 20, 40, 80, 100)]
+    assert set(got[got.query_id == 80].vec_id) >= {100} and not got.score.isna().any()
+
+
 # --- tokens ---------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("path", [BYTE_VOCABULARY, WORD_VOCABULARY])
@@ -104,7 +114,6 @@ def test_added_tokens_in_token_files_and_packing(spark):
 
 def ids_of(path, text, end):
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     return np.array([*library.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
@@ -243,6 +252,8 @@ PRIVATE = [
     "mail a.b+c@x-y.example.com, or x@y or @z.de a@b.c_d@e.f a@b.c..d@e.f", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 001.002.003.0004 9999.1.1.1", "4111 1111 1111 1111 and 4111-1111-1111-1112",
     "card 4111111111111111 4111  1111 1111 1111, 12345", "+1 (555) 123-4567 +49.30.123 +1234567890123456 +1 2", "ä€😀 x@y.zz 日本 10.0.0.1 +33 1 23 45 67 89", None, "", "no data at all",
     "5500 0000 0000 0004 5500000000000004 - 1", "+1 (234) 555-0100 9.8.7.6", "\uffff4111\uffff1111 1111 1111 1111", "a@b.c" * 50, "1 2 3 4 5 6 7 8 9 0 " * 400, "+" * 300 + "1", "7" * 4000,
+    # Labels, digits and signs by the thousand: no pattern may recurse or go back.
+    "x@" + "a." * 100_000 + "com", "x@" + "a-" * 100_000, "7" * 100_000, "+" * 100_000 + "1", "1." * 100_000, "+1" + " 2" * 50_000,
 ]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +46,23 @@ def test_decontamination_equals_brute_force(spark):
     bench = spark.createDataFrame([(k, v) for k, v in items.items()] + [(None, prose(9, 20))], "item_id bigint, text string")
     got = decontaminate.contamination(documents(spark, texts), bench).collect()
     assert len(got) == len(texts)
-    want = sorted(((i, *brute.contamination(t, items)) for i, t in texts), key=repr)
+    # Windows of the item without an id are hits, but no item is met by them.
+    met = [(i, *brute.contamination(t, items | {None: prose(9, 20)})) for i, t in texts]
+    want = sorted(((i, n, hit, [x for x in ids if x != "None"]) for i, n, hit, ids in met), key=repr)
     assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got), key=repr) == want
     clean = decontaminate.clean_documents(documents(spark, texts), bench)
     assert clean.columns == ["doc_id", "text", "fp", "row_key", "id"]
     assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, _, n, _ in want if not n and i is not None)
 
 
+def test_a_run_of_one_word_is_extended_in_linear_time(spark):
+    bench = spark.createDataFrame([(1, "0 " * 12), (2, prose(2, 10))], "item_id bigint, text string")
+    docs = documents(spark, [(1, "0 " * 120_000), (2, "start " + "0 " * 9 + "end"), (3, "0 " * 10 + prose(2, 10))])
+    begin = time.time()
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {1: (120_000, 120_000, ["1"]), 2: (11, 0, []), 3: (20, 20, ["1", "2"])} and time.time() - begin < 90
+
+
 def test_items_without_an_id_contaminate(spark, tmp_path):
     from tests.compare import difference
 
