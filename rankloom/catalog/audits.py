@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.catalog.pages import TEXT_SQL, TITLE_SQL, UNESCAPE_SQL
-from rankloom.catalog.registry import CHECKS, Tables, half_up, query
-from rankloom.functions.scores import BUCKET_WEIGHTS, CATEGORY_BUCKET
+from rankloom.catalog.registry import Tables, half_up, query
 from rankloom.operators.ranking import page_of
 from rankloom.operators.rules import rule_table, upsert_rules
 from rankloom.plans import audit, crawl
@@ -20,7 +19,7 @@ CRAWLED_CTE = f"""
     pg AS (
         SELECT crawl_run_id, page_id, url, depth, status_code, error, response_time_ms, redirect_target, is_robots_blocked,
                CASE WHEN parsed THEN {TITLE_SQL} END AS title,
-               CASE WHEN parsed AND page_id % 4 <> 0 THEN 'About page ' || CAST(page_id % 40 AS VARCHAR) || ' & more' END AS meta_description,
+               CASE WHEN parsed AND page_id % 4 <> 0 THEN 'About page ' || CAST(page_id % 40 AS VARCHAR) || ' & more' || CASE WHEN page_id % 40 >= 33 THEN repeat(' and further things', 9) ELSE '' END END AS meta_description,
                CASE WHEN NOT parsed OR page_id % 11 = 0 THEN NULL WHEN page_id % 11 = 1 THEN origin || '/gone' ELSE url END AS canonical,
                CASE WHEN parsed THEN len(regexp_extract_all(html, '<h1')) ELSE 0 END AS h1_count,
                CASE WHEN parsed THEN len(string_split({TEXT_SQL}, ' ')) ELSE 0 END AS word_count,
@@ -105,12 +104,18 @@ def rules_cte() -> str:
     return f"rules(code, name, severity, category) AS (VALUES {rows})"
 
 
-_BUCKET_CASE = "CASE category " + " ".join(f"WHEN '{c}' THEN '{b}'" for c, b in CATEGORY_BUCKET.items()) + " END"
+# Fixed values, also in functions.scores: the bucket of each category, and the weight of each bucket.
+_BUCKET_CASE = """CASE category WHEN 'Crawlability' THEN 'crawlability' WHEN 'Redirects' THEN 'crawlability' WHEN 'Indexability' THEN 'indexability'
+    WHEN 'Canonical' THEN 'indexability' WHEN 'International' THEN 'indexability' WHEN 'HTTPS' THEN 'technical' WHEN 'Structured Data' THEN 'technical'
+    WHEN 'Metadata' THEN 'metadata' WHEN 'Content' THEN 'content' WHEN 'Links' THEN 'links' WHEN 'Images' THEN 'links' WHEN 'Performance' THEN 'performance' END"""
+_BUCKETS = ("crawlability", "indexability", "technical", "metadata", "content", "links", "performance")
+_WEIGHTS = """('crawlability', 0.15e0), ('indexability', 0.15e0), ('technical', 0.20e0), ('metadata', 0.15e0),
+    ('content', 0.15e0), ('links', 0.10e0), ('performance', 0.10e0)"""
 ISSUES_CTE = f"""{HITS_CTE}, {rules_cte()},
     issues AS (SELECT h.crawl_run_id, r.*, affected_count, r.name || ' — ' || CAST(affected_count AS VARCHAR) || ' page(s) affected' AS message
                FROM (SELECT crawl_run_id, code, count(*) AS affected_count FROM hits GROUP BY crawl_run_id, code) h JOIN rules r ON r.code = h.code)"""
 SCORES_CTE = f"""{ISSUES_CTE},
-    buckets(bucket, weight) AS (VALUES {", ".join(f"('{b}', {w}e0)" for b, w in BUCKET_WEIGHTS.items())}),
+    buckets(bucket, weight) AS (VALUES {_WEIGHTS}),
     lost AS (SELECT i.crawl_run_id, {_BUCKET_CASE} AS bucket,
                     sum(CASE severity WHEN 'CRITICAL' THEN 60.0e0 WHEN 'ERROR' THEN 25.0e0 WHEN 'WARNING' THEN 10.0e0 ELSE 3.0e0 END
                         * least(1.0e0, CAST(affected_count AS DOUBLE) / greatest(1, pages_crawled))) AS deduction
@@ -152,20 +157,16 @@ def issues(t: Tables):
     return issues_of(t).drop("advice", "enabled")
 
 
-@query("k8_q4_instances", f"""
-    WITH {HITS_CTE} SELECT crawl_run_id, code, url FROM (
-        SELECT *, row_number() OVER (PARTITION BY crawl_run_id, code ORDER BY url) AS rn FROM hits) WHERE rn <= 500""")
+@query("k8_every_instance", f"WITH {HITS_CTE} SELECT crawl_run_id, code, url FROM hits")
+@query("k8_q4_instances", f"WITH {HITS_CTE} SELECT crawl_run_id, code, url FROM hits")
 def instances(t: Tables):
     return audit.instances(hits_of(t))
 
 
-# The check above looks at the first 500 of an issue; these two hold all instances, and that listing.
-@query("k8_every_instance", CHECKS["k8_q4_instances"].replace("WHERE rn <= 500", ""))
-def every_instance(t: Tables):
-    return audit.instances(hits_of(t))
-
-
-@query("k8_first_500_instances", CHECKS["k8_q4_instances"])
+# The listing of the first 500 of an issue.
+@query("k8_first_500_instances", f"""
+    WITH {HITS_CTE} SELECT crawl_run_id, code, url FROM (
+        SELECT *, row_number() OVER (PARTITION BY crawl_run_id, code ORDER BY url) AS rn FROM hits) WHERE rn <= 500""")
 def first_instances(t: Tables):
     return audit.instances(hits_of(t), 500)
 
@@ -185,9 +186,9 @@ _SUMMARY = f"""
     WITH {SCORES_CTE},
     sev AS (SELECT crawl_run_id, {", ".join(f"count(*) FILTER (WHERE severity = '{s.upper()}') AS {s}" for s in ("critical", "error", "warning", "notice"))},
                    count(*) AS rules_firing, CAST(sum(affected_count) AS BIGINT) AS issues_found FROM issues GROUP BY crawl_run_id),
-    wide AS (SELECT crawl_run_id, {", ".join(f"max(score) FILTER (WHERE bucket = '{b}') AS {b}" for b in BUCKET_WEIGHTS)},
+    wide AS (SELECT crawl_run_id, {", ".join(f"max(score) FILTER (WHERE bucket = '{b}') AS {b}" for b in _BUCKETS)},
                     {half_up('sum(score * weight)', 1)} AS health_score FROM scores GROUP BY crawl_run_id)
-    SELECT r.crawl_run_id, pages_crawled, critical, error, warning, notice, rules_firing, issues_found, {", ".join(BUCKET_WEIGHTS)}, health_score
+    SELECT r.crawl_run_id, pages_crawled, critical, error, warning, notice, rules_firing, issues_found, {", ".join(_BUCKETS)}, health_score
     FROM {{page_runs}} r JOIN sev ON sev.crawl_run_id = r.crawl_run_id JOIN wide ON wide.crawl_run_id = r.crawl_run_id"""
 
 
@@ -225,6 +226,15 @@ def issue_page(t: Tables):
     return rows.select("crawl_run_id", "code", "severity", "affected_count")
 
 
+@query("l4_recent_issues", f"""
+    WITH {ISSUES_CTE}, d AS (SELECT i.*, project_id, created_at FROM issues i JOIN {{page_runs}} r ON r.crawl_run_id = i.crawl_run_id)
+    SELECT crawl_run_id, code, min(created_at) OVER p AS first_seen, max(created_at) OVER p AS last_seen FROM d
+    WINDOW p AS (PARTITION BY project_id, code) ORDER BY last_seen DESC, crawl_run_id, code LIMIT 20""")
+def recent_issues(t: Tables):
+    rows = audit.seen(issues_of(t), t.page_runs)
+    return page_of(audit.issue_list(rows), audit.issue_order("recent"), size=20).select("crawl_run_id", "code", "first_seen", "last_seen")
+
+
 @query("q5_page_explorer", f"""
     WITH {CRAWLED_CTE}
     SELECT page_id, url, status_code, title, indexability, depth FROM pg

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.catalog.keywords import KEYWORDS_CTE, scored
-from rankloom.catalog.registry import CHECKS, Tables, query
+from rankloom.catalog.registry import Tables, query
 from rankloom.functions import urls as U
 from rankloom.operators import upsert as UP
 from rankloom.plans import usage
@@ -15,20 +15,18 @@ from rankloom.sinks.manifest import RangedTable
 from rankloom.sources import vendor
 
 
-@query("s12_u4_competitor_backfill", """
+_BACKFILL = """
     WITH e AS (SELECT project_id, organization_id, unnest(from_json(competitors, '["VARCHAR"]')) AS entry FROM {projects} WHERE NOT is_deleted),
     d AS (SELECT *, regexp_replace(regexp_extract(regexp_replace(lower(trim(entry)), '^https?://', ''), '^[^/?#:]*'), '^www[.]', '') AS domain FROM e WHERE trim(entry) <> '')
     SELECT project_id, organization_id, domain, min(trim(entry)) AS original_input, TRUE AS is_active FROM d
     WHERE regexp_matches(domain, '^[a-z0-9-]{1,63}([.][a-z0-9-]{1,63})*[.][a-z]{2,}$')
-      AND (project_id, domain) NOT IN (SELECT project_id, domain FROM {competitors} WHERE project_id % 2 = 0)
-    GROUP BY project_id, organization_id, domain""")
-def competitor_backfill(t: Tables):
-    return vendor.competitor_backfill(t.projects, t.competitors.where(F.col("project_id") % 2 == 0))
+      AND (project_id, domain) NOT IN (SELECT project_id, domain FROM {competitors})
+    GROUP BY project_id, organization_id, domain"""
 
 
-# The same beside the whole table; above, odd projects stand for ones whose competitors are not carried over yet.
-@query("s12_every_competitor", CHECKS["s12_u4_competitor_backfill"].replace(" WHERE project_id % 2 = 0", ""))
-def backfill_beside_every_competitor(t: Tables):
+@query("s12_every_competitor", _BACKFILL)
+@query("s12_u4_competitor_backfill", _BACKFILL)
+def competitor_backfill(t: Tables):
     return vendor.competitor_backfill(t.projects, t.competitors)
 
 

@@ -25,7 +25,7 @@ NAV_SQL = "len(regexp_extract_all(html, '<li><a href=\"/'))"
 @query("s2_page_signals", f"""
     WITH p AS (SELECT *, {TEXT_SQL} AS visible, {TITLE_SQL} AS title FROM {{fetched_pages}})
     SELECT page_id, title, CAST(coalesce(length(title), 0) AS INTEGER) AS title_length,
-           CASE WHEN page_id % 4 <> 0 THEN 'About page ' || CAST(page_id % 40 AS VARCHAR) || ' & more' END AS meta_description,
+           CASE WHEN page_id % 4 <> 0 THEN 'About page ' || CAST(page_id % 40 AS VARCHAR) || ' & more' || CASE WHEN page_id % 40 >= 33 THEN repeat(' and further things', 9) ELSE '' END END AS meta_description,
            CASE page_id % 11 WHEN 0 THEN NULL WHEN 1 THEN regexp_extract(url, '^https?://[^/]*') || '/gone' ELSE url END AS canonical,
            CASE WHEN page_id % 19 = 3 THEN 'NOINDEX,nofollow' END AS robots_meta,
            CAST(len(regexp_extract_all(html, '<h1')) AS INTEGER) AS h1_count,

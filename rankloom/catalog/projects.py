@@ -132,23 +132,21 @@ def report_audit_issues(t: Tables):
     return overview.section_audit_issues(issues_of(t), t.page_runs).drop("recommendation")
 
 
-@query("q31_report_keywords", f"""
+_REPORT_KEYWORDS = f"""
     WITH {KEYWORDS_CTE},
     c AS (SELECT s.* EXCLUDE (project_id), p.project_id FROM scored s JOIN {{projects}} p ON p.organization_id = s.organization_id WHERE s.project_id IS NULL
           UNION ALL SELECT s.* EXCLUDE (project_id), s.project_id FROM scored s WHERE s.project_id IS NOT NULL),
     top AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY opportunity DESC, keyword, keyword_id) AS rn FROM c)
-    SELECT project_id, keyword, intent, search_volume AS volume, cpc, difficulty, opportunity, provider FROM top WHERE rn <= 500""")
-def report_keywords(t: Tables):
-    return overview.section_keywords(scored(t), t.projects)
+    SELECT project_id, keyword, intent, search_volume AS volume, cpc, difficulty, opportunity, provider FROM top"""
 
 
-# The check above looks at the first 500 of a project; these two hold the whole list, and that listing.
-@query("q31_every_report_keyword", CHECKS["q31_report_keywords"].replace("WHERE rn <= 500", ""))
-def every_report_keyword(t: Tables):
+@query("q31_every_report_keyword", _REPORT_KEYWORDS)
+@query("q31_report_keywords", _REPORT_KEYWORDS)
+def report_keywords(t: Tables):
     return overview.section_keywords(scored(t), t.projects)
 
 
-@query("q31_first_500_report_keywords", CHECKS["q31_report_keywords"])
+@query("q31_first_500_report_keywords", f"{_REPORT_KEYWORDS} WHERE rn <= 500")
 def first_report_keywords(t: Tables):
     return overview.section_keywords(scored(t), t.projects, n=500)
 
@@ -240,7 +238,7 @@ def competitors_report(t: Tables):
 
 
 @query("k10_keywords_report", _report_sql(_PROJECT_SECTION, _section_sql(
-    1, "Keywords", "q31_every_report_keyword", ["keyword", "intent", "volume", "cpc", "difficulty", "opportunity", "provider"],
+    1, "Keywords", "q31_report_keywords", ["keyword", "intent", "volume", "cpc", "difficulty", "opportunity", "provider"],
     f"{_BEST}, " + ", ".join(f"{c} NULLS FIRST" for c in ("keyword", "intent", "volume", "cpc", "difficulty", "provider")))))
 def keywords_report(t: Tables):
     return _written(t, "KEYWORDS")

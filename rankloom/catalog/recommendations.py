@@ -153,6 +153,12 @@ def every_gap(t: Tables):
     return R.from_gap(parts(t)[0])
 
 
+# No open gap of the given tables is worth 50; many are worth 20.
+@query("q24_gaps_worth_20", CHECKS["q24_from_gap"].replace("rn <= 25 AND", "").replace("WHERE pick <= 10", "").replace("opportunity >= 50", "opportunity >= 20"))
+def gaps_worth_20(t: Tables):
+    return R.from_gap(parts(t)[0], least=20.0)
+
+
 _COLLECTED = " UNION ALL ".join(
     f"SELECT project_id, source FROM ({CHECKS[name]})" for name in (
         "q19_from_audit", "q20_from_striking_distance", "q21_from_decliners", "q22_from_keywords",
@@ -193,6 +199,12 @@ def recommendation_page(t: Tables):
         "recommendation_id", "score", "severity")
 
 
+@query("l9_recent_recommendations", """
+    SELECT recommendation_id, score, created_at FROM {recommendations} ORDER BY created_at DESC, project_id, title LIMIT 50""")
+def recent_recommendations(t: Tables):
+    return page_of(R.recommendation_list(t.recommendations), R.list_order("recent")).select("recommendation_id", "score", "created_at")
+
+
 @query("a17_status_counts", "SELECT project_id, status, count(*) AS recommendations FROM {recommendations} GROUP BY project_id, status")
 def status_counts(t: Tables):
     return R.status_counts(t.recommendations)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankloom.catalog.registry import Tables, half_up, query
+from rankloom.catalog.registry import CHECKS, Tables, half_up, query
 from rankloom.functions import keywords as K
 from rankloom.functions import numbers as N
 from rankloom.functions import scores as S
 from rankloom.functions import text as T
 from rankloom.functions import urls as U
+from rankloom.session import new_folder
+from rankloom.sinks.files import read_split, write_split
 from rankloom.sources.robots import is_allowed, robots_rules
 
 _TRACKING = ", ".join(f"'{p}'" for p in U.TRACKING_PARAMS)
@@ -240,6 +242,30 @@ def location_code(t: Tables):
                        .alias("location_code"))
 
 
+_PLACED = f"""p AS (SELECT c_custkey, upper(substr(n_name, 1, 2)) AS country, location_code FROM {{customer}} JOIN {{nation}} ON n_nationkey = c_nationkey
+    JOIN ({CHECKS['f20_location_code']}) USING (c_custkey))"""
+
+
+def _located(t: Tables, state: str):
+    """All requests split into accepted and quarantined ones, and one of the two read back."""
+    rows = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", F.substring("n_name", 1, 2).alias("country"))
+    explicit = F.when(F.col("c_custkey") % 10 == 0, (1000 + F.col("c_custkey") % 7).cast("int"))
+    placed = rows.withColumn("location_code", S.location_code(F.col("country"), explicit))
+    folder = new_folder(t.spark, "locations")
+    write_split(placed.withColumn("reason", S.location_reject_reason(F.col("location_code"), F.col("country"))), "reason", folder)
+    return read_split(t.spark, folder, state)
+
+
+@query("f20_accepted_locations", f"WITH {_PLACED} SELECT c_custkey, location_code FROM p WHERE location_code IS NOT NULL")
+def accepted_locations(t: Tables):
+    return _located(t, "accepted").select("c_custkey", "location_code")
+
+
+@query("f20_quarantined_locations", f"WITH {_PLACED} SELECT c_custkey, 'no location mapping for country ' || country AS reason FROM p WHERE location_code IS NULL")
+def quarantined_locations(t: Tables):
+    return _located(t, "quarantined").select("c_custkey", "reason")
+
+
 @query("f22_severity_rank", """
     SELECT severity, CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'ERROR' THEN 1 WHEN 'WARNING' THEN 2 WHEN 'NOTICE' THEN 3 ELSE 9 END AS severity_rank,
            count(*) AS rows
@@ -273,6 +299,19 @@ def contains(t: Tables):
     return t.documents.where(T.contains_ci(F.col("text"), "THE of")).select("doc_id")
 
 
+# The loopback network in six spellings, and public addresses in the same.
+@query("f27_numeric_hosts", """
+    SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'private_ip' END AS reason FROM pages""")
+def numeric_hosts(t: Tables):
+    n, last = F.col("page_id"), F.col("page_id") % 250 + 1
+    number = F.when(n % 2 == 0, F.lit(127)).otherwise(F.lit(8)).cast("long")
+    whole = number * 16777216 + last
+    hosts = [F.format_string("%d.%d", number, last), whole.cast("string"), F.concat(F.lit("0x"), F.lower(F.hex(whole))),
+             F.format_string("0%o.0.%d", number, last), F.format_string("0x%x.0x0.%d", number, last), F.format_string("0%o.0x0.00.0%o", number, last)]
+    host = F.element_at(F.array(*hosts), (F.floor(n / 2) % 6 + 1).cast("int"))
+    return t.pages.select("page_id", U.url_reject_reason(F.concat(F.lit("http://"), host, F.lit("/x"))).alias("reason"))
+
+
 @query("f27_url_reject_reason", """
     WITH u AS (
         SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'http://127.' || CAST(page_id % 256 AS VARCHAR) || '.2.3:9000/'

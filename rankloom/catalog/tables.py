@@ -67,9 +67,12 @@ DERIVED = {
                       CAST(page_id % 3 AS STRING), '.example.com/p', CAST(page_id AS STRING)) AS url,
                concat(CASE WHEN page_id % 17 = 2 THEN 'http' ELSE 'https' END, '://site',
                       CAST(page_id % 3 AS STRING), '.example.com/p', CAST(page_id AS STRING)) AS normalized_url,
-               replace(replace(html, '<head>', concat('<head>',
+               replace(replace(CASE WHEN page_id % 12 = 2
+                   THEN '<html lang="en"><head><title>The same page again</title></head><body><h1>Same</h1><p>the same words</p></body></html>'
+                   WHEN page_id % 9 = 4 THEN replace(html, '</title>', concat(repeat(' and a longer title', 4), '</title>')) ELSE html END,
+                   '<head>', concat('<head>',
                    CASE WHEN page_id % 4 <> 0 THEN concat('<meta name="description" content=" About page ',
-                        CAST(page_id % 40 AS STRING), ' &amp; more ">') ELSE '' END,
+                        CAST(page_id % 40 AS STRING), ' &amp; more', CASE WHEN page_id % 40 >= 33 THEN repeat(' and further things', 9) ELSE '' END, ' ">') ELSE '' END,
                    CASE WHEN page_id % 19 = 3 THEN '<META name="robots" content=NOINDEX,nofollow>' ELSE '' END,
                    CASE page_id % 11 WHEN 0 THEN '' WHEN 1 THEN '<link rel="canonical" href="/gone">'
                         ELSE concat('<link href=" /p', CAST(page_id AS STRING), '" rel="canonical"/>') END,
@@ -219,7 +222,8 @@ DERIVED = {
                CAST(5 + o_orderkey % 5 AS DOUBLE) / 10.0 AS confidence,
                CAST((o_orderkey * 37) % 1001 AS DOUBLE) / 10.0 AS score,
                concat('Recommendation ', CAST(o_orderkey AS STRING)) AS title,
-               CASE o_orderkey % 7 WHEN 0 THEN 'DISMISSED' WHEN 1 THEN 'IN_PROGRESS' WHEN 2 THEN 'COMPLETED' ELSE 'OPEN' END AS status
+               CASE o_orderkey % 7 WHEN 0 THEN 'DISMISSED' WHEN 1 THEN 'IN_PROGRESS' WHEN 2 THEN 'COMPLETED' ELSE 'OPEN' END AS status,
+               o_orderdate AS created_at
         FROM {orders}""",
     "jobs": """
         SELECT o_orderkey AS job_id, o_custkey % 25 AS project_id,

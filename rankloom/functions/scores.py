@@ -76,6 +76,11 @@ def location_code(country: Column, explicit: Column) -> Column:
     return F.coalesce(F.nullif(explicit, F.lit(0)), known)
 
 
+def location_reject_reason(code: Column, country: Column) -> Column:
+    """Why a search cannot be located, null where it can."""
+    return F.when(code.isNull(), F.concat(F.lit("no location mapping for country "), F.upper(country)))
+
+
 def severity_rank(severity: Column) -> Column:
     """0 for critical … 3 for notice, 9 for anything else."""
     return lookup(severity, {s: i for i, s in enumerate(SEVERITIES)}, 9)

@@ -267,9 +267,34 @@ def _v4_number(host: Column) -> Column:
         octets, F.lit(0).cast("long"), lambda acc, o: acc * 256 + o))
 
 
+def numeric_host(host: Column) -> Column:
+    """The IPv4 address that a host of one to four numbers stands for, null for other hosts.
+
+    Numbers are decimal, octal (leading 0) or hexadecimal (leading 0x); the last one fills the bytes that are
+    left, so 127.1, 0x7f.1, 0177.0.0.1 and 2130706433 are all the same address.
+    """
+    part = r"(?:0x[0-9a-f]*|[0-9]+)"
+    bare = lambda x: F.coalesce(F.nullif(F.ltrim(x, F.lit("0")), F.lit("")), F.lit("0"))
+
+    def value(x: Column) -> Column:
+        digits = F.when(x.startswith("0x"), bare(F.substr(x, F.lit(3)))).otherwise(bare(x))
+        octal = x.startswith("0") & ~x.startswith("0x")
+        number = F.when(x.startswith("0x"), F.conv(digits, 16, 10)).when(octal & digits.rlike("^[0-7]+$"), F.conv(digits, 8, 10)).when(~octal, digits)
+        return F.when(F.length(digits) <= 12, number.try_cast("long"))
+
+    def joined(numbers: Column) -> Column:
+        n = F.size(numbers)
+        fits = F.forall(F.slice(numbers, 1, n - 1), lambda v: F.coalesce(v <= 255, F.lit(False))) & (
+            F.element_at(numbers, -1) < F.pow(F.lit(256.0), 5 - n).cast("long"))
+        head = F.aggregate(F.slice(numbers, 1, n - 1), F.lit(0).cast("long"), lambda acc, v: acc * 256 + v)
+        return F.when(fits, head * F.pow(F.lit(256.0), 5 - n).cast("long") + F.element_at(numbers, -1))
+
+    return F.when(host.rlike(rf"^{part}(?:\.{part}){{0,3}}$"), let(F.transform(F.split(host, r"\."), value), joined))
+
+
 def url_reject_reason(url: Column) -> Column:
     """Why a URL must not be crawled, null when it is safe (static part of F27)."""
     host = F.regexp_replace(host_of(url), r"\.+$", "")
     return let(F.struct(url.alias("url"), F.coalesce(scheme_of(url), F.lit("")).alias("scheme"),
                         _authority(url).alias("authority"), host.alias("host"),
-                        _v4_number(host).alias("number"), _v6_digits(host).alias("digits")), _reject)
+                        numeric_host(host).alias("number"), _v6_digits(host).alias("digits")), _reject)

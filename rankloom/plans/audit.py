@@ -183,6 +183,13 @@ def audit_summary(issue_rows: DataFrame, runs: DataFrame) -> DataFrame:
     return (severity_counts(issue_rows, runs).join(wide, RUN).join(health(scores), RUN))
 
 
+def seen(issue_rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Issues with the first and the last run of their project in which the rule fired (L4)."""
+    dated = issue_rows.join(runs.select(RUN, "project_id", "created_at"), RUN)
+    spans = dated.groupBy("project_id", "code").agg(F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
+    return dated.drop("created_at").join(spans, ["project_id", "code"])
+
+
 def issue_list(issue_rows: DataFrame, severity: str | None = None, category: str | None = None,
                search: str | None = None) -> DataFrame:
     """Filtered issues with a severity rank to sort by (Q3, L4)."""

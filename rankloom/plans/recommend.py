@@ -168,11 +168,11 @@ def from_ranks(tracked: DataFrame, observations: DataFrame) -> DataFrame:
         keyword=F.col("keyword"), url=F.col("current_url"))
 
 
-def from_gap(gap: DataFrame, head: int | None = None, n: int | None = None) -> DataFrame:
-    """Missing or weak keywords worth 50 or more (Q24), or ``n`` of those among the first ``head`` gap rows."""
+def from_gap(gap: DataFrame, head: int | None = None, n: int | None = None, least: float = 50.0) -> DataFrame:
+    """Missing or weak keywords worth ``least`` or more (Q24), or ``n`` of those among the first ``head`` gap rows."""
     order = [F.coalesce("opportunity", F.lit(0.0)).desc(), F.asc("keyword"), F.asc("tracked_keyword_id")]
     first_rows = top_n(gap, ["project_id"], order, head)
-    open_rows = first_rows.where(F.col("bucket").isin("missing", "weak") & (F.col("opportunity") >= 50))
+    open_rows = first_rows.where(F.col("bucket").isin("missing", "weak") & (F.col("opportunity") >= least))
     first = top_n(open_rows, ["project_id"], order, n)
     return _recommend(
         first, "COMPETITOR", "GAP", F.lit("NOTICE"), rounded(F.col("opportunity") / 10, 1),

@@ -97,13 +97,19 @@ def read_table(spark: SparkSession, root: str, name: str, **equal) -> DataFrame:
 
 
 def read_jdbc(spark: SparkSession, url: str, name: str, partition_column: str | None = None,
-              bounds: tuple[int, int] | None = None, partitions: int = 32, **options) -> DataFrame:
-    """The same table from a relational database; a numeric column splits the read."""
+              bounds: tuple[int, int] | None = None, partitions: int = 32, equal: dict | None = None, **options) -> DataFrame:
+    """The same table from a relational database; a numeric column splits the read.
+
+    Equality filters are evaluated by the database, in each part's query.
+    """
     reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
     if partition_column and bounds:
         reader = reader.options(partitionColumn=partition_column, lowerBound=bounds[0],
                                 upperBound=bounds[1], numPartitions=partitions)
-    return reader.load()
+    rows = reader.load()
+    for column, value in (equal or {}).items():
+        rows = rows.where(F.col(column) == value)
+    return rows
 
 
 def write_table(rows: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:

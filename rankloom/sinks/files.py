@@ -25,6 +25,17 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def write_split(rows: DataFrame, reason: str, path: str) -> None:
+    """Rows without a reject reason, and the rest with it, as two tables of one pass."""
+    state = F.when(F.col(reason).isNull(), "accepted").otherwise("quarantined")
+    rows.withColumn("state", state).write.mode("overwrite").partitionBy("state").parquet(path)
+
+
+def read_split(spark: SparkSession, path: str, state: str) -> DataFrame:
+    """``accepted`` or ``quarantined`` rows; only their folder is read."""
+    return spark.read.parquet(path).where(F.col("state") == state).drop("state")
+
+
 #: A project's report is cut into files of so many lines; one after the other they are the report.
 LINES_PER_FILE = 100_000
 

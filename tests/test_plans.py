@@ -397,3 +397,25 @@ def test_stored_tables(spark, tmp_path):
     schemas.write_table(rows, root, "gsc_query_data")
     assert schemas.read_table(spark, root, "gsc_query_data", date=at(2).date()).count() == 1
     assert schemas.duplicate_keys(schemas.read_table(spark, root, "gsc_query_data"), "gsc_query_data").count() == 1
+
+
+def test_jdbc_reads_in_parts_with_pushed_filters(spark, tmp_path):
+    from rankloom import schemas
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.range(200).select(F.col("id").alias("TRACKED_KEYWORD_ID"), (F.col("id") % 3).alias("PROJECT_ID"), F.concat(F.lit("k"), F.col("id")).alias("KEYWORD"))
+    rows.write.format("jdbc").options(url=url, dbtable="TRACKED").save()
+    read = schemas.read_jdbc(spark, url, "TRACKED", "TRACKED_KEYWORD_ID", (0, 200), 4, equal={"PROJECT_ID": 1})
+    assert read.rdd.getNumPartitions() == 4
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(PROJECT_ID,1)" in plan.replace(" ", "")
+    assert sorted(r.TRACKED_KEYWORD_ID for r in read.collect()) == list(range(1, 200, 3))
+
+
+def test_every_spelling_of_an_address_is_seen(spark):
+    from rankloom.functions import urls as U
+
+    same = ["127.0.0.1", "127.1", "127.0.1", "2130706433", "0x7f.1", "0x7f000001", "0177.0.0.1", "017700000001", "0x7F.0.0.1", "127.0.0.1.", "00000177.1", "0x0000007f.0.0.0x1"]
+    other = ["8.8.8.8", "134744072", "0x8.8.8.8", "127.example.com", "1.2.3.4.5", "256.1.1.1", "127.0.0.256", "4294967296", "08.1.1.1", "127..1", "0x7g.1", "99999999999999999999"]
+    rows = spark.createDataFrame([(h,) for h in same + other], "host string").select("host", U.url_reject_reason(F.concat(F.lit("http://"), "host", F.lit("/"))).alias("reason"))
+    assert {r.host for r in rows.where("reason = 'private_ip'").collect()} == set(same)
