@@ -294,6 +294,25 @@ def test_click_depth_equals_breadth_first_search(spark):
     assert got == want
 
 
+def test_click_depth_of_a_long_chain(spark, monkeypatch):
+    # Visited tables are merged several times over; each level holds one URL, and links back are plenty.
+    monkeypatch.setattr(linkgraph, "SALTS", 1)
+    monkeypatch.setattr(linkgraph, "FAN_IN", 2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        edges = [(1, f"u{i}", f"u{j}") for i in range(24) for j in (i + 1, i // 2, 0)] + [(2, "a", "b"), (2, "b", "c"), (2, "c", "d")]
+        links = spark.createDataFrame(edges, "crawl_run_id int, from_url string, to_url string").coalesce(1)
+        seeds = spark.createDataFrame([(1, "u0", 0), (2, "a", 0)], "crawl_run_id int, url string, depth int").coalesce(1)
+        got = {(r.crawl_run_id, r.url): r.depth for r in linkgraph.click_depth(seeds, links).collect()}
+        assert got == {(1, f"u{i}"): i for i in range(25)} | {(2, u): n for n, u in enumerate("abcd")}
+        capped = {(r.crawl_run_id, r.url): r.depth for r in linkgraph.click_depth(seeds, links, max_pages=3).collect()}
+        assert capped == {(1, "u0"): 0, (1, "u1"): 1, (1, "u2"): 2, (2, "a"): 0, (2, "b"): 1, (2, "c"): 2}
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith(("visited", "edges"))]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_duplicates_and_frontier(spark):
     pages = spark.createDataFrame([(1, "a", "h1"), (1, "b", "h1"), (2, "c", "h1"), (1, "d", None)], "crawl_run_id int, url string, content_hash string")
     assert {r.url for r in audit.mark_duplicates(pages).where("is_duplicate").collect()} == {"a", "b"}
