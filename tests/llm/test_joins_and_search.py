@@ -185,7 +185,7 @@ def test_negatives_equal_brute_force(spark, monkeypatch, block, anchors):
 
 def test_negatives_of_huge_components_and_few_rows(spark):
     rows = [(0, [1e7, 3.0], 1), (1, [1e7, 2.0], 1), (2, [9.9e6 + 0.3, 1.0], 2), (3, [9e6, 1.0], 3), (4, [1e200, 1.0], 2), (5, [1e-300, 1.0], 2), (100, [-1e15, 1.0], 4), (101, [-1e2, 1.0], 4), (102, [-1e2, 1.0], 5)]
-    assert negatives_of(spark, rows) == mined(rows) and len(mined(rows)) >= 2
+    assert negatives_of(spark, rows) == mined(rows) and len(mined(rows)) == 1
     assert negatives_of(spark, rows[:1]) == [] and negatives_of(spark, []) == []
 
 
