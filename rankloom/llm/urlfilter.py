@@ -2,7 +2,8 @@
 
 URLs that a rule decides are the labelled ones.  Features are the URL's length, path depth, digit
 ratio, character entropy, numbers of parameters, host labels and hyphens, and for the host's last
-label the share of blocked URLs and the number of labelled ones.  Everything is DataFrame
+label the share of blocked URLs and the number of labelled ones.  A labelled URL's share is counted
+over the folds that it is not in, or its own label would be one of its features.  Everything is DataFrame
 operations; the trees are fitted by Spark's own learner on at most ``sample`` labelled URLs (those
 with the smallest hash of their id), while the suffix statistics count all of them.
 
@@ -24,7 +25,7 @@ from rankloom.llm.common import begin, stage
 #: Fixed values of the contract: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 SAMPLE = 20_000
-TREES, DEPTH = 12, 3
+TREES, DEPTH, FOLDS = 12, 3, 5
 FEATURES = ["f_length", "f_depth", "f_digits", "f_entropy", "f_parameters", "f_labels", "f_hyphens", "f_host", "f_suffix_share", "f_suffix_count"]
 
 
@@ -71,18 +72,23 @@ def featured(pages: DataFrame) -> DataFrame:
 
 
 def suffix_statistics(pages: DataFrame) -> DataFrame:
-    """Per host suffix the smoothed share of blocked URLs among the labelled ones, and how many there are."""
-    return (pages.where("said IS NOT NULL").groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("said") == "block").alias("blocked"))
-            .select(F.col("suffix").alias("_suffix"), ((F.col("blocked") + 1) / (F.col("n") + 2)).alias("share"), F.log1p("n").alias("many")))
+    """Per host suffix the numbers of labelled and of blocked URLs, in all and by fold (``n_of``, ``blocked_of``)."""
+    blocked = F.col("said") == "block"
+    return pages.where("said IS NOT NULL").groupBy(F.col("suffix").alias("_suffix")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(blocked).alias("blocked"),
+        F.array(*[F.count_if(F.col("fold") == f) for f in range(FOLDS)]).alias("n_of"),
+        F.array(*[F.count_if(blocked & (F.col("fold") == f)) for f in range(FOLDS)]).alias("blocked_of"))
 
 
 def judged(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict and the model's likelihood that the URL is to be blocked."""
     spark = begin(pages.sparkSession)
-    plain = featured(ruled(pages.select("page_id", "url"), rules))
+    plain = featured(ruled(pages.select("page_id", "url"), rules)).withColumn(
+        "fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int"))
     known = stage(suffix_statistics(plain))
+    n, blocked = (F.coalesce(c, F.lit(0)) - F.when(F.col("said").isNotNull(), F.get(f"{c}_of", F.col("fold"))).otherwise(0) for c in ("n", "blocked"))
     rows = (plain.join(known, plain["suffix"] == known["_suffix"], "left").drop("_suffix")
-            .withColumn("f_suffix_share", F.coalesce("share", F.lit(0.5))).withColumn("f_suffix_count", F.coalesce("many", F.lit(0.0)))
+            .withColumn("f_suffix_share", (blocked + 1) / (n + 2)).withColumn("f_suffix_count", F.log1p(F.coalesce("n", F.lit(0))))
             .fillna(0.0, FEATURES))
     labelled = stage(rows.where("said IS NOT NULL").select("page_id", (F.col("said") == "block").cast("double").alias("label"), *FEATURES)
                      .orderBy(F.xxhash64("page_id"), "page_id").limit(sample))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import io
+import os
 import random
 import zlib
 
@@ -14,6 +16,7 @@ from tokenizers import Tokenizer
 from rankloom.llm import licenses, neighbours, packing, pii, tokenfile, urlfilter
 from rankloom.llm.queries import BYTE_VOCABULARY, WORD_VOCABULARY
 from rankloom.llm.tokens import Encoder
+from rankloom.session import new_folder, stage
 from tests.llm import brute
 from tests.llm.conftest import prose
 
@@ -138,10 +141,41 @@ def test_long_documents_train_the_dictionary(spark):
     docs = documents(spark, texts)
     raw = tokenfile.train(docs, BYTE_VOCABULARY, 0)
     assert raw and raw == tokenfile.train(docs.repartition(3), BYTE_VOCABULARY, 0)
-    (row,) = tokenfile.write(docs.limit(1), BYTE_VOCABULARY, 0, raw).collect()
-    assert tokenfile.TokenFile(row.content, raw).ids(0).size == row.n_tokens
-    with pytest.raises(ValueError):
-        tokenfile.TokenFile(row.content, b"")
+    (row,) = tokenfile.write(docs.limit(1), BYTE_VOCABULARY, 0, raw, new_folder(spark, "tokens")).collect()
+    with open(tokenfile.opened(row.path)[1], "rb") as source:
+        assert tokenfile.TokenFile(source, raw).ids(0).size == row.n_tokens
+        source.seek(0)
+        with pytest.raises(ValueError):
+            tokenfile.TokenFile(source, b"")
+
+
+def test_one_document_is_read_by_seeking(spark):
+    texts = [(i, prose(i, 60)) for i in range(300)] + [(77, prose(900, 30)), (None, "no id")] + [(400, prose(1000 + i, 20)) for i in range(300)]
+    docs = documents(spark, texts)
+    raw = tokenfile.train(docs, BYTE_VOCABULARY, 0)
+    files = stage(tokenfile.write(docs, BYTE_VOCABULARY, 0, raw, new_folder(spark, "tokens"), part_bytes=20_000))
+    rows = files.orderBy("part", "number").collect()
+    # Rows of one id are split as well; each part knows its range of ids.
+    assert len(rows) > 3 and sum(r.first_id == r.last_id == 400 for r in rows) >= 1
+    for i in (0, 77, 299, 400, None):
+        got = tokenfile.document(files, raw, i)
+        assert sorted(map(bytes, got)) == sorted(bytes(ids_of(BYTE_VOCABULARY, t, 0).astype("<u2")) for k, t in texts if k == i)
+    assert tokenfile.document(files, raw, 12345) == []
+
+    class Counted(io.FileIO):
+        reads, taken = 0, 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            self.reads, self.taken = self.reads + 1, self.taken + len(out)
+            return out
+
+    with Counted(tokenfile.opened(rows[1].path)[1]) as source:
+        held = tokenfile.TokenFile(source, raw)
+        before, size = source.taken, int(held.ends[5] - held.ends[4])
+        assert held.ids(5).size == held.sizes[5]
+        assert (source.reads, source.taken) == (3, before + size) and before == 24 * (len(held.sizes) + 1)
+        assert source.taken < os.path.getsize(source.name) / 2
 
 
 def test_one_document_is_read_by_its_index_and_the_dictionary_is_checked():
@@ -152,10 +186,10 @@ def test_one_document_is_read_by_its_index_and_the_dictionary_is_checked():
     press = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw)) if raw else zstandard.ZstdCompressor()
     frames = [press.compress(a.tobytes()) for a in arrays]
     content = tokenfile.file_bytes([None, *range(1, 400)], [len(a) for a in arrays], frames, tokenfile.dictionary_hash(raw))
-    held = tokenfile.TokenFile(content, raw)
+    held = tokenfile.TokenFile(io.BytesIO(content), raw)
     assert held.ids(237).tolist() == arrays[237].tolist() and held.doc_ids[0] == tokenfile.NO_ID
     with pytest.raises(ValueError):
-        tokenfile.TokenFile(content, raw + b"x")
+        tokenfile.TokenFile(io.BytesIO(content), raw + b"x")
 
 
 def test_packing_covers_every_id_once(spark):
@@ -246,6 +280,19 @@ def test_the_trees_learn_from_labelled_urls(spark):
     assert sum(got[5000 + i] == "block" for i in range(20)) >= 18 and sum(got[6000 + i] == "allow" for i in range(20)) >= 18
 
 
+def test_a_label_is_not_among_its_own_features(spark):
+    # One labelled URL a suffix: its share must be that of a suffix nobody knows, whatever its own label says.
+    rules = [(f"t{i}", "/", "block" if i % 2 else "allow") for i in range(200)]
+    rows = spark.createDataFrame([(i, f"http://h.t{i}/{'ab'[i % 7 % 2]}") for i in range(200)], "page_id bigint, url string")
+    known = urlfilter.suffix_statistics(urlfilter.featured(urlfilter.ruled(rows, rules)).withColumn("fold", F.lit(3)))
+    assert {(r.n, r.n_of[3] - r.n, r.blocked_of[3] - r.blocked) for r in known.collect()} == {(1, 0, 0)}
+    # Balanced labels that no feature tells apart are judged near even: an own label among the features would show.
+    rows = [(i, f"http://h{i:03d}.io/{'x' * 5}") for i in range(400)]
+    rules = [(f"h{i:03d}.io", "/", "block" if i * 7 % 11 < 5 else "allow") for i in range(300)]
+    got = urlfilter.judged(spark.createDataFrame(rows, "page_id bigint, url string"), rules).collect()
+    assert sum(abs(r.likely - 0.5) < 0.35 for r in got) >= 380
+
+
 # --- personal data --------------------------------------------------------------------------
 
 PRIVATE = [
