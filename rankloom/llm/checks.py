@@ -36,7 +36,8 @@ FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)
 OP7 = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents
            WHERE text IS NOT NULL),
-w AS (SELECT *, CASE WHEN trim(body) = '' THEN 0 ELSE len(regexp_split_to_array(trim(body), '\\s+')) END AS words FROM l),
+w AS (SELECT *, CASE WHEN bare = '' THEN 0 ELSE len(regexp_split_to_array(bare, '[ \\t\\x0b\\f\\r]+')) END AS words
+   FROM (SELECT *, trim(body, concat(' ', chr(9), chr(11), chr(12), chr(13))) AS bare FROM l)),
 s AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY line) AS up_to FROM w),
 p AS (SELECT a.doc_id, a.line AS a, b.line AS b FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.line >= a.line
       AND b.up_to - a.up_to + a.words >= 40),
@@ -56,6 +57,9 @@ SELECT d.doc_id, CAST(coalesce(before, 0) AS BIGINT) AS lines_before, CAST(coale
 FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
+# The same with runs of one word.
+LINE_DEDUP_EVERY_RUN = OP7.replace(">= 40", ">= 1")
+
 OP12 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words('text')} AS w FROM documents),
 c AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d),

@@ -14,6 +14,9 @@ together they cover the maximal repeated runs, beginnings and ends.
 All of it is DataFrame operations.  Frequent lines and pairs are counted before they are shuffled,
 and ranks within a large class are summed over slices of the partner's rank.
 
+The measure decides what counts as a run: 40 words by default, so that short common lines of otherwise
+different documents stay; one word deletes all later copies of any line with a word in it.
+
 Null ids take no part and keep their text; a null text stays null.  Rows that repeat a ``doc_id`` and
 its text count as one document.  Copies that overlap their own original leave it whole.
 """
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import begin, same, stage
 
 MIN_WORDS = 40
+#: The characters between words.
+SPACE = " \t\x0b\f\r"
 #: Classes of one slice are numbered together.
 SLICE = 4096
 
@@ -35,10 +40,10 @@ def line_table(docs: DataFrame) -> DataFrame:
     split = (docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
              .select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row_key"),
                      F.posexplode(F.split("text", "\n")).alias("line", "body")))
-    blank = F.trim("body") == ""
+    bare = F.trim("body", F.lit(SPACE))
     return split.select("doc", "row_key", "line", F.xxhash64("body").alias("h1"),
                         F.hash("body", F.length("body")).alias("h2"),
-                        F.when(blank, 0).otherwise(F.size(F.split(F.trim("body"), r"\s+"))).alias("words"))
+                        F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"\s+"))).alias("words"))
 
 
 def repeated(lines: DataFrame, min_words: int) -> DataFrame:

@@ -12,8 +12,9 @@ bucket all classes are compared with the one that shares most buckets with other
 whole sets.  Whatever then still lies in one bucket but in different components is compared
 block by block inside tasks that return only links, so no candidate is left out.
 
-Texts with no words (null, empty, white space) have an empty set and no link.  Repeated rows of one
-``doc_id`` must be equal in text; each gets its row back.
+Texts with no words (null, empty, white space) have an empty set and no link.  Rows that repeat a ``doc_id``
+are one document with the sets of all its texts: it is linked where one of them is, and each row gets its
+own number of shingles and the document's component.  Rows without an id take no part and are kept.
 """
 
 from __future__ import annotations
@@ -160,29 +161,30 @@ def _forest(names: list, sets: list[np.ndarray], side: np.ndarray, percent: int)
     out = []
     for i, j in np.argwhere(linked).tolist():
         x, y = root(int(rows[i])), root(int(cols[j]))
-        if x != y:
+        if x != y and names[rows[i]] != names[cols[j]]:
             parent[x] = y
             out.append((names[rows[i]], names[cols[j]]))
     return out
 
 
-def linked_in_families(docs: DataFrame, members: DataFrame, size: int, percent: int, block: int = 512) -> DataFrame:
+def linked_in_families(docs: DataFrame, members: DataFrame, size: int, percent: int, block: int = 512, weight: int = 1 << 20) -> DataFrame:
     """Links (a, b) within families: classes joined through buckets whose members are not yet one component.
 
-    A family is cut into blocks of about ``block`` members, and a task holds two blocks.  All their
+    A family is cut into blocks of about ``block`` members and ``weight`` shingles (column n of ``members``) at most
+    on average, and a task holds two blocks.  All their
     pairs are compared there, but only links come out, at most one fewer than there are members.
     """
     lowest = members.groupBy("bucket").agg(F.min("id").alias("low"))
     family = components(members.join(lowest, "bucket").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
-    ids = members.select("id").distinct()
-    named = stage(ids.join(family, ids.id == family.node, "left").select("id", F.coalesce("root", "id").alias("family")))
-    held = named.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    ids = members.groupBy("id").agg(F.max("n").alias("n"))
+    named = stage(ids.join(family, ids.id == family.node, "left").select("id", "n", F.coalesce("root", "id").alias("family")))
+    held = named.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / weight)).alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     grid = (named.join(held, "family").withColumn("own", own)
             .select("id", "family", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
             .select("id", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                     F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")))
-    sets = stage(sets_of(docs, named.select("id"), size)).dropDuplicates(["id"])
+    sets = stage(sets_of(docs, named.select("id"), size)).distinct()
     tasks = grid.join(sets, "id").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,13 +196,13 @@ def linked_in_families(docs: DataFrame, members: DataFrame, size: int, percent:
                                               names=["a", "b"])
 
         for batch in batches:
-            for name, f, i, j, side, grams in zip(*(batch[c].to_pylist() for c in ("id", "family", "i", "j", "side", "grams"))):
+            for name, f, i, j, side, grams in zip(*(batch[c].to_pylist() for c in ("id", "family", "i", "j", "side")), batch["grams"]):
                 if (f, i, j) != at:
                     if at:
                         yield links()
                     at, names, held_sets, sides = (f, i, j), [], [], []
                 names.append(name)
-                held_sets.append(np.frombuffer(grams, np.uint64))
+                held_sets.append(np.frombuffer(grams.as_py(), np.uint64))
                 sides.append(side)
         if at:
             yield links()
@@ -225,21 +227,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     star = stage(famed.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb")).join(centres.select("bucket", "c.a", "c.na"), "bucket")
                  .where(f"a <> b AND {alike}").select("a", "b").distinct())
     sets = stage(sets_of(docs, star.select(F.explode(F.array("a", "b")).alias("id")), size))
-    links = stage(verified(star, sets.dropDuplicates(["id"]), percent))
+    links = stage(verified(star, sets.distinct(), percent))
     roots = components(links)
-    rooted = famed.join(roots, famed.id == roots.node, "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    rooted = famed.join(roots, famed.id == roots.node, "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
     split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     open_ = stage(rooted.join(split, "bucket"))
-    found = stage(links.select("a", "b").unionByName(linked_in_families(docs, open_, size, percent)))
-    named = classes.select("digest", F.col("id").alias("class_id"))
+    classed = stage(signed.drop("bands").join(classes.select("digest", F.col("id").alias("class_id")), "digest", "left")
+                    .withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))))
+    # A document with several texts joins their classes.
+    own = classed.where("class_id <> doc_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
+    several = own.join(classed.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.count_if(F.col("digest").isNull()).alias("bare"))
+                       .where("low <> high OR bare > 0").select(F.col("doc_id").alias("a")), "a", "left_semi")
+    found = stage(links.select("a", "b").unionByName(linked_in_families(docs, open_, size, percent)).unionByName(several))
     final = components(found)
-    joined = signed.drop("bands").join(named, "digest", "left").join(final, F.col("class_id") == final.node, "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("root", "class_id", "doc_id").alias("component_id"))
+    return classed.join(final, F.col("class_id") == final.node, "left").select(
+        "doc_id", "n_shingles", F.coalesce("root", "class_id").alias("component_id"))
 
 
 def report(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The digest columns of the query."""
-    return near_duplicates(docs, size, percent).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return near_duplicates(docs, size, percent).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

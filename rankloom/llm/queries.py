@@ -33,6 +33,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
+def line_dedup_every_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"), min_words=1)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"), WORD_VOCABULARY, WORD_END)
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op5_url_filter": op5_url_filter,
     "op6_pii": op6_pii,
     "op7_line_dedup": op7_line_dedup,
+    "line_dedup_every_run": line_dedup_every_run,
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_quality_classifier": op10_quality_classifier,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Query] = {
 CHECKS: dict[str, str] = {
     "op1_decontamination": checks.OP1,
     "op7_line_dedup": checks.OP7,
+    "line_dedup_every_run": checks.LINE_DEDUP_EVERY_RUN,
     "op12_lexical_search": checks.OP12,
     "op13_hard_negatives": checks.OP13,
 }

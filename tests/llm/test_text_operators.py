@@ -123,10 +123,23 @@ def test_a_family_over_several_blocks_loses_no_link(spark):
         texts[i] = " ".join(words)
         words[i] = f"new{i}"
     docs = documents(spark, list(texts.items()))
-    members = spark.createDataFrame([(1, i, i) for i in texts], "bucket bigint, id bigint, root bigint")
-    found = [(r.a, r.b) for r in minhash.linked_in_families(docs, members, 3, 85, block=8).collect()]
-    want = brute.near_duplicates(texts, 3, 85)
-    assert brute.roots(texts, found) == {i: root for i, (_, root) in want.items()}
+    members = spark.createDataFrame([(1, i, i, 38) for i in texts], "bucket bigint, id bigint, root bigint, n bigint")
+    want = {i: root for i, (_, root) in brute.near_duplicates(texts, 3, 85).items()}
+    for bound in ({"block": 8}, {"weight": 200}):
+        found = [(r.a, r.b) for r in minhash.linked_in_families(docs, members, 3, 85, **bound).collect()]
+        assert brute.roots(texts, found) == want
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    one, two, three = prose(1, 60), prose(2, 60), prose(3, 60)
+    texts = [(9, one), (9, two), (4, two + " end"), (7, one), (5, three), (5, ""), (2, three + " end"), (6, None), (6, "alone here now"), (None, one), (None, None)]
+    docs = documents(spark, texts)
+    rows = minhash.report(docs, 3, 85).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in rows} == {
+        (9, 4, False), (4, 4, True), (7, 4, False), (5, 2, False), (2, 2, True), (6, 6, True), (None, None, True)}
+    assert sorted(r.n_shingles for r in rows if r.doc_id == 5) == [0, 58] and len(rows) == len(texts)
+    kept = minhash.one_of_each(docs, 3, 85).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 2, 4, 6, 6]
 
 
 def test_sketches_fill_every_coordinate_and_agree_like_the_sets():
@@ -157,6 +170,7 @@ LINES = [
     (12, "\n".join(prose(i, 12) for i in range(20, 40))), (13, "\n".join(prose(i, 12) for i in range(20, 40))),
     (14, "\n".join(prose(i, 12) for i in range(25, 45))), (15, "\n".join(["", prose(6, 30), "", prose(7, 30), ""])),
     (16, "\n".join(["x", prose(6, 30), "", prose(7, 30), "y"])), (17, "\n".join(["ab cd"] * 60)), (18, "\n".join([prose(5, 41), "tail"])), (19, "\n".join([prose(5, 41), "tail"])),
+    (20, "\n".join(["\t" + prose(8, 39) + " \f", "one end"])), (21, "\n".join(["\t" + prose(8, 39) + " \f", "other end"])), (22, "\t\n\x0b\n" + prose(9, 45) + "\r"), (23, prose(9, 45) + "\r"),
 ]
 
 
@@ -168,13 +182,18 @@ def test_line_dedup_equals_its_check(spark, tmp_path):
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", LINES)
-    rel = con.execute(checks.OP7)
-    names = [d[0] for d in rel.description]
-    want = {r[names.index("doc_id")]: tuple(r[names.index(c)] for c in ("lines_before", "lines_removed", "text")) for r in rel.fetchall()}
-    assert got == want
+
+    def checked(sql):
+        rel = con.execute(sql)
+        names = [d[0] for d in rel.description]
+        return {r[names.index("doc_id")]: tuple(r[names.index(c)] for c in ("lines_before", "lines_removed", "text")) for r in rel.fetchall()}
+
+    assert got == checked(checks.OP7)
+    every = {r.doc_id: (r.lines_before, r.lines_removed, r.text) for r in linededup.report(docs, 1).collect()}
+    assert every == checked(checks.LINE_DEDUP_EVERY_RUN) and every[9][1] == 1 and every[17][1] == 59 and every[20][1] == 0 and every[21][1] == 1
     assert got[2][2] == "head\nend" and got[3][1] == 0 and got[11][1] == 1 and got[13][2] == "" and got[4][1] == 2 and got[18][2] == "tail" and got[19][2] == ""
     left = linededup.with_lines_left(docs.unionByName(documents(spark, [(None, prose(5, 41)), (1, LINES[0][1])])))
-    assert {r.doc_id for r in left.collect()} == {i for i, _ in LINES} - {11, 13, 19} | {None}
+    assert {r.doc_id for r in left.collect()} == {i for i, _ in LINES} - {11, 13, 19, 23} | {None}
     assert left.columns == ["doc_id", "text", "fp", "row_key", "id"]
 
 
