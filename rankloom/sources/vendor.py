@@ -113,9 +113,21 @@ def gsc_rows(payloads: DataFrame, dimension: str, row: str = "row") -> DataFrame
         F.coalesce(F.col(row)["position"], F.lit(0.0)).alias("position"))
 
 
+GSC_PAGE = f"property_id long, batch_seq long, row {GSC_ROW}"
+
+
 def read_gsc_pages(spark: SparkSession, folder: str, dimension: str) -> DataFrame:
     """All landed result pages of a folder in one scan with a declared schema."""
-    raw = spark.read.schema(f"property_id long, batch_seq long, row {GSC_ROW}").json(folder)
+    return gsc_rows(spark.read.schema(GSC_PAGE).json(folder), dimension)
+
+
+def stream_gsc_pages(spark: SparkSession, folder: str, dimension: str, files_per_batch: int = 1000) -> DataFrame:
+    """The same as a stream: every landed file is read in exactly one batch, also across restarts.
+
+    What has been read is in the checkpoint of the query that writes the rows; a page counts as
+    landed once its file is in the folder under its final name.
+    """
+    raw = spark.readStream.schema(GSC_PAGE).option("maxFilesPerTrigger", files_per_batch).json(folder)
     return gsc_rows(raw, dimension)
 
 

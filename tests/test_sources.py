@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from rankloom.schemas import read_jdbc
 from rankloom.sources import html, robots, vendor
 
 PAGE = """<!DOCTYPE html>
@@ -206,3 +207,40 @@ def test_landed_search_console_pages(spark, tmp_path):
     rows = vendor.read_gsc_pages(spark, str(tmp_path), "query").orderBy("date").collect()
     assert [(str(r.date), r.country, r.device, r.clicks, r.ctr) for r in rows] == [
         ("2024-01-01", "all", "DESKTOP", 3, 0.0), ("2024-01-02", "all", "DESKTOP", 3, 0.0)]
+
+
+def test_landed_pages_are_streamed_once_across_restarts(spark, tmp_path):
+    landed, out = tmp_path / "landed", tmp_path / "rows"
+    landed.mkdir()
+
+    def land(n):
+        rows = [{"property_id": 1, "batch_seq": n, "row": {"keys": [f"2024-01-{n + 1:02d}", f"q{k}", "at", ""], "clicks": k}} for k in range(3)]
+        (tmp_path / "page.json").write_text("\n".join(map(json.dumps, rows)))
+        (tmp_path / "page.json").rename(landed / f"page{n}.json")
+
+    def run():
+        query = (vendor.stream_gsc_pages(spark, str(landed), "query", 2).writeStream.trigger(availableNow=True)
+                 .option("checkpointLocation", str(tmp_path / "state")).format("parquet").start(str(out)))
+        query.awaitTermination()
+        return [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+
+    for n in range(5):
+        land(n)
+    assert run() == [6, 6, 3]
+    land(5)
+    assert run() == [3] and run() == []
+    got = spark.read.parquet(str(out)).select("batch_seq", "date", "query", "clicks")
+    want = vendor.read_gsc_pages(spark, str(landed), "query").select("batch_seq", "date", "query", "clicks")
+    assert got.count() == 18 and got.exceptAll(want).isEmpty()
+
+
+def test_a_database_evaluates_filters_of_each_part(spark, tmp_path):
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url, driver = "jdbc:derby:memory:landed;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    stored = spark.range(1000).select(F.col("id").alias("row_id"), (F.col("id") % 7).cast("int").alias("project_id"), (F.col("id") * 3).alias("clicks"))
+    stored.coalesce(1).write.jdbc(url, "clicks", properties=driver)
+    rows = read_jdbc(spark, url, "clicks", "row_id", (0, 1000), 4, {"project_id": 3}, **driver)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(project_id,3)" in plan.replace("PROJECT_ID", "project_id")
+    assert rows.rdd.getNumPartitions() == 4
+    assert sorted(tuple(r) for r in rows.collect()) == [(i, 3, 3 * i) for i in range(1000) if i % 7 == 3]
