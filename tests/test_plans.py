@@ -438,3 +438,14 @@ def test_every_spelling_of_an_address_is_seen(spark):
     other = ["8.8.8.8", "134744072", "0x8.8.8.8", "127.example.com", "1.2.3.4.5", "256.1.1.1", "127.0.0.256", "4294967296", "08.1.1.1", "127..1", "0x7g.1", "99999999999999999999"]
     rows = spark.createDataFrame([(h,) for h in same + other], "host string").select("host", U.url_reject_reason(F.concat(F.lit("http://"), "host", F.lit("/"))).alias("reason"))
     assert {r.host for r in rows.where("reason = 'private_ip'").collect()} == set(same)
+
+
+def test_a_trend_is_scaled_on_its_own_row(spark):
+    from rankloom.plans.keywords import trend_shares
+
+    rows = spark.createDataFrame([(1, [2, None, 8]), (2, [0]), (3, [None]), (4, None)], "keyword_id int, trend array<bigint>")
+    shares = trend_shares(rows)
+    assert sorted((tuple(r) for r in shares.collect()), key=str) == [
+        (1, 0, 2, 0.25), (1, 1, None, None), (1, 2, 8, 1.0), (2, 0, 0, 0.0), (3, 0, None, None)]
+    # A row for each key on the driver is what a broadcast of the largest months came to.
+    assert "Join" not in shares._jdf.queryExecution().toString()
