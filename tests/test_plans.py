@@ -449,3 +449,39 @@ def test_a_trend_is_scaled_on_its_own_row(spark):
         (1, 0, 2, 0.25), (1, 1, None, None), (1, 2, 8, 1.0), (2, 0, 0, 0.0), (3, 0, None, None)]
     # A row for each key on the driver is what a broadcast of the largest months came to.
     assert "Join" not in shares._jdf.queryExecution().toString()
+
+
+def test_numbering_moves_rows_once_after_slicing(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 4 > 0, F.col("id") % 2).alias("g"), F.col("id").alias("o"))
+    ranked = numbered(rows, ["g"], [F.asc("o")], "n")
+    want = {}
+    for r in sorted(ranked.collect(), key=lambda r: r.o):
+        want[r.g] = want.get(r.g, 0) + 1
+        assert r.n == want[r.g]
+    assert want == {None: 1000, 0: 1000, 1: 2000}
+    # One row for each slice at most is added by a join that leaves the others in place.
+    assert "SortMergeJoin" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_table_is_refreshed_without_the_other(spark, tmp_path):
+    from rankloom.sinks.manifest import RangedTable
+
+    features = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "serp_search_id long, feature_type string")
+    table = RangedTable(spark, str(tmp_path / "f"), "serp_search_id", ["feature_type"])
+    table.create(features)
+    arrived = spark.createDataFrame([(1, "k", dt.datetime(2024, 1, 1)), (2, "k", dt.datetime(2024, 1, 2))],
+                                    "serp_search_id long, cache_key string, searched_at timestamp_ntz")
+    serp.refresh_snapshots(arrived, [(table, features)])
+    assert sorted(tuple(r) for r in table.read().collect()) == [(1, "b"), (3, "c")]
+
+
+def test_only_items_of_used_searches_are_numbered(spark):
+    market = "project_id long, normalized_keyword string, country string, device string"
+    tracked = spark.createDataFrame([(7, True, 1, "k", "US", "D"), (8, False, 1, "x", "US", "D")], "tracked_keyword_id long, is_active boolean, " + market)
+    at = dt.datetime(2024, 1, 1)
+    searches = spark.createDataFrame([(i, 1, k, "US", "D", at + dt.timedelta(days=i)) for i, k in ((1, "k"), (2, "K"), (3, "x"))],
+                                     "serp_search_id long, project_id long, keyword string, country string, device string, searched_at timestamp_ntz")
+    used = gap.used_searches(tracked, searches)
+    assert [tuple(r) for r in used.collect()] == [(7, 2, 1)]
+    items = spark.createDataFrame([(1, 1), (2, 1), (2, 2), (3, 1)], "serp_search_id long, rank_absolute int")
+    assert sorted(tuple(r) for r in gap.items_of(used, items).collect()) == [(2, 1), (2, 2)]
