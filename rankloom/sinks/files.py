@@ -6,10 +6,12 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions.scores import usage_units
 from rankloom.operators.ranking import numbered
+from rankloom.session import stage
 
 CSV_OPTIONS = {"header": "true", "nullValue": "", "emptyValue": "", "escape": '"'}
 
@@ -63,24 +65,42 @@ def csv_line(values: list[Column]) -> Column:
     return F.concat_ws(",", *fields)
 
 
+def csv_values(values: list[str]) -> str:
+    """Fixed values as one CSV line."""
+    return ",".join('"' + v.replace('"', '""') + '"' if any(c in v for c in ',"\r\n') else v for v in values)
+
+
 def report_lines(sections: dict[str, Section], projects: DataFrame) -> DataFrame:
-    """project_id, line_no (from 0) and line of every project's report: ``# title``, header, rows, blank line."""
-    lines = []
+    """project_id, line_no (from 0) and line of every project's report: ``# title``, header, rows, blank line.
+
+    A section is computed once and stored; its rows are numbered within it.  Where it begins follows from the
+    sizes of the sections before, a row for each project and section.
+    """
+    all_owners, stored, sizes = projects.select("project_id").distinct(), [], []
+    for place, section in enumerate(sections.values()):
+        owners = all_owners if section.owners is None else all_owners.join(section.owners, "project_id", "left_semi")
+        stored.append(stage(section.rows.join(owners, "project_id", "left_semi")))
+        counts = stored[-1].groupBy("project_id").agg(F.count("*").alias("rows"))
+        sizes.append(owners.join(counts, "project_id", "left").select(
+            "project_id", F.lit(place).alias("place"), F.coalesce("rows", F.lit(0)).alias("rows"),
+            F.lit(csv_values(section.empty) if section.empty else None).cast("string").alias("none"), F.lit(csv_values(section.columns())).alias("header")))
+    # Title, header and blank line, and the rows or the line that stands for none.
+    size = F.lit(3) + F.when((F.col("rows") == 0) & F.col("none").isNotNull(), 1).otherwise(F.col("rows"))
+    before = W.partitionBy("project_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    spans = stage(reduce(DataFrame.unionByName, sizes).withColumn("size", size)
+                  .withColumn("first", F.coalesce(F.sum("size").over(before), F.lit(0))))
+    out = []
     for place, (title, section) in enumerate(sections.items()):
-        columns, owners = section.columns(), projects.select("project_id").distinct()
-        if section.owners is not None:
-            owners = owners.join(section.owners, "project_id", "left_semi")
-        marks = [(0, csv_line([F.lit(f"# {title}")])), (1, csv_line([F.lit(c) for c in columns])), (3, F.lit(""))]
-        lines.append(owners.select("project_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(0).alias("n"), x.alias("line")) for k, x in marks])).alias("x"))
-                     .select("project_id", F.lit(place).alias("place"), "x.*"))
-        own = section.rows.join(owners, "project_id", "left_semi")
-        lines.append(numbered(own, ["project_id"], section.order, "_n").select(
-            "project_id", F.lit(place).alias("place"), F.lit(2).alias("kind"), F.col("_n").alias("n"), csv_line([F.col(c) for c in columns]).alias("line")))
-        if section.empty:
-            lines.append(owners.join(section.rows.select("project_id"), "project_id", "left_anti").select(
-                "project_id", F.lit(place).alias("place"), F.lit(2).alias("kind"), F.lit(0).alias("n"), csv_line([F.lit(v) for v in section.empty]).alias("line")))
-    every = reduce(DataFrame.unionByName, lines)
-    return numbered(every, ["project_id"], [F.asc("place"), F.asc("kind"), F.asc("n")], "_at").select("project_id", (F.col("_at") - 1).alias("line_no"), "line")
+        own = spans.where(F.col("place") == place)
+        first = F.col("first")
+        marks = [F.struct((first + at).alias("line_no"), line.alias("line")) for at, line in (
+            (F.lit(0), F.lit(csv_values([f"# {title}"]))), (F.lit(1), F.col("header")), (F.lit(2), F.when(F.col("rows") == 0, F.col("none"))),
+            (F.col("size") - 1, F.lit("")))]
+        out.append(own.select("project_id", F.inline(F.array(*marks))).where("line IS NOT NULL"))
+        ranked = numbered(stored[place], ["project_id"], section.order, "_n")
+        out.append(ranked.join(own.select("project_id", "first"), "project_id").select(
+            "project_id", (first + 1 + F.col("_n")).alias("line_no"), csv_line([F.col(c) for c in section.columns()]).alias("line")))
+    return reduce(DataFrame.unionByName, out).withColumn("line_no", F.col("line_no").cast("int"))
 
 
 def write_report(sections: dict[str, Section], projects: DataFrame, path: str, lines_per_file: int = LINES_PER_FILE) -> None:

@@ -485,3 +485,21 @@ def test_only_items_of_used_searches_are_numbered(spark):
     assert [tuple(r) for r in used.collect()] == [(7, 2, 1)]
     items = spark.createDataFrame([(1, 1), (2, 1), (2, 2), (3, 1)], "serp_search_id long, rank_absolute int")
     assert sorted(tuple(r) for r in gap.items_of(used, items).collect()) == [(2, 1), (2, 2)]
+
+
+def test_a_report_computes_each_section_once(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    @F.udf("string")
+    def named(i):
+        with open(log, "a") as out:
+            out.write(f"{i}\n")
+        return f"row {i}"
+
+    rows = spark.range(6, numPartitions=1).select((F.col("id") % 2).alias("project_id"), named("id").alias("name"))
+    projects = spark.range(3).select(F.col("id").alias("project_id"))
+    lines = files.report_lines({"A": files.Section(rows, [F.asc("name")], ["(none)"]), "B": files.Section(rows.limit(0), [F.asc("name")])}, projects)
+    got = {p: [r.line for r in sorted(lines.where(F.col("project_id") == p).collect(), key=lambda r: r.line_no)] for p in (0, 2)}
+    assert got == {0: ["# A", "name", "row 0", "row 2", "row 4", "", "# B", "name", ""], 2: ["# A", "name", "(none)", "", "# B", "name", ""]}
+    with open(log) as calls:
+        assert len(calls.read().split()) == 6
