@@ -197,6 +197,22 @@ def test_line_dedup_equals_its_check(spark, tmp_path):
     assert left.columns == ["doc_id", "text", "fp", "row_key", "id"]
 
 
+def test_line_dedup_orders_no_deeper_than_its_shortest_runs(spark):
+    long = "\n".join(prose(i % 5, 12) for i in range(200))  # suffixes differ only at their ends
+    docs = documents(spark, [(1, long), (2, long), (3, "x\n" + long), (3, "x\n" + long)])
+    for min_words, levels in ((1, 1), (40, 3)):  # four lines hold 40 words
+        places = linededup.repeated(linededup.line_table(docs), min_words)
+        assert len(linededup.suffix_array(places)) == levels
+        assert places.count() == 600
+
+
+def test_words_of_a_line(spark):
+    bodies = ["", " ", "\t", "a", " a b ", "a  b", "a\tb c", "\x0ba\fb\r", "a\u00a0b", "ä ö  ", " \u3000 "]
+    rows = spark.createDataFrame([(b,) for b in bodies], "body string")
+    got = {r.body: r.n for r in rows.select("body", linededup.words_in(F.col("body")).alias("n")).collect()}
+    assert got == {b: len([w for w in b.translate(str.maketrans("\t\x0b\f\r", "    ")).split(" ") if w]) for b in bodies}
+
+
 def test_line_dedup_of_empty_and_unrepeated_tables(spark):
     assert linededup.report(documents(spark, []).limit(0)).count() == 0
     (row,) = linededup.report(documents(spark, [(1, "a\nb")])).collect()
