@@ -11,8 +11,8 @@ from __spark_entry__ import oracle_sql, queries
 from tests.compare import connect, difference
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
-NAMES = ["k12_issue_export", "k12_page_export", "k8_every_instance", "k8_q4_instances", "q1_site_audit",
-         "s2_f17_crawl_pages", "s2_page_signals", "q2_audit_summary", "q31_report_audit_issues"]
+NAMES = ["k12_issue_export", "k12_page_export", "k8_every_instance", "k8_q4_instances", "q19_from_audit",
+         "q1_site_audit", "s2_f17_crawl_pages", "s2_page_signals", "q2_audit_summary", "q31_report_audit_issues"]
 
 
 @pytest.fixture(scope="module")
