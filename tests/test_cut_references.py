@@ -12,8 +12,8 @@ from tests.compare import connect, difference
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 NAMES = ["k12_issue_export", "k12_page_export", "k8_every_instance", "k8_first_500_instances", "k8_q4_instances",
-         "q19_from_audit", "q1_site_audit", "s2_f17_crawl_pages", "s2_page_signals", "q2_audit_summary",
-         "q31_report_audit_issues"]
+         "q19_every_audit_finding", "q19_from_audit", "q1_site_audit", "s2_f17_crawl_pages", "s2_page_signals",
+         "q2_audit_summary", "q31_report_audit_issues"]
 
 
 @pytest.fixture(scope="module")
